@@ -9,6 +9,24 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import language
+
+    return language.digest(_docs(spark, sf_dir))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import secrets
+
+    return secrets.digest(_docs(spark, sf_dir))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import neighbours
+
+    return neighbours.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskloom.llm import packing
     from maskloom.llm.token_ids import tokenizer_path
@@ -26,6 +44,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(spark, path, token_store.stored_keys(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op9_packing": op9_packing, "op10_token_store": op10_token_store}
+QUERIES = {"op3_language": op3_language, "op7_secrets": op7_secrets, "op8_neighbours": op8_neighbours, "op9_packing": op9_packing, "op10_token_store": op10_token_store}
 
 ORACLE_SQL: dict[str, str] = {}
