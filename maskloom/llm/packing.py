@@ -91,7 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, rows = encoder(tokenizer), []
+        encode, rows = encoder(tokenizer).encode, []
         next_id = TaskContext.get().partitionId() << 32
 
         def emit(pieces: list) -> None:
@@ -110,8 +110,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         packer = WindowPacker(size, open_windows, min_cut, emit)
         for batch in batches:
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc_id, encode(t.as_py()) + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                packer.add(doc_id, ids + end)
                 if len(rows) >= 4096:
                     yield flush()
         packer.close()

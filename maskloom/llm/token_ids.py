@@ -1,30 +1,37 @@
 """Token ids of whole texts with a public tokenizer file, as raw little-endian unsigned 32-bit ids.
 
-The tokenizers library encodes a text one pre-token at a time, so a text may be cut wherever
-a pre-token surely ends. That holds before a single space between two characters that are not
-white space, for both byte-level and word-end vocabularies. Each distinct segment is encoded once
-and remembered; a text's ids are then the joined bytes of its segments. The memory holds two
+The tokenizers library encodes a text one pre-token at a time, so a text may be cut wherever a pre-token
+surely ends. That holds before a space or line feed that is followed by a character that is not white space, and
+between a word of letters and ASCII punctuation other than an apostrophe, for byte-level vocabularies and for those with word ends.
+A batch of texts is cut and its segments are numbered by Arrow; each distinct segment is encoded once
+and remembered; numpy then lays the ids of all segments end to end. The memory holds two
 generations of at most `KEEP` segments each, so it is bounded whatever the corpus."""
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-KEEP = 300_000
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+KEEP = 400_000
+#: Characters that are cut and encoded together, or one longer text.
+BATCH = 4_000_000
+_CUT = re.compile(r"(?=[ \n]\S)")
+#: A space or line feed before white space or the end, or the mark used below: such texts are cut by `_CUT`.
+_ODD = r"[ \n]([\s\p{Z}\x{85}\x{1c}-\x{1f}]|$)|\x00|\n$"
+#: A line feed or none, letters, and punctuation that does not belong to them.
+_WORD = re.compile(r"(\n?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
-def segments(text: str) -> list[str]:
-    """Pieces whose ids, in order, are the ids of `text`. They join to `text`."""
-    if _ODD.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+def spelled(part: str) -> str:
+    """The text that a segment stands for: `\\0` marks one to be taken as it is, a line feed begins its own, others have lost a space."""
+    return part if part[0] == "\n" else part[1:] if part[0] == "\0" else " " + part
 
 
 class IdEncoder:
@@ -39,28 +46,93 @@ class IdEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = segments(text)
-        try:
-            return b"".join(map(self.young.__getitem__, parts))
-        except KeyError:
-            pass
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words of letters, each after `before`: encoded in one text and told apart by pre-token."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            e = self.tokenizer.encode(before + before.join(some), add_special_tokens=False)
+            ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            ends = np.r_[np.flatnonzero(word[1:] != word[:-1]) + 1, len(ids)]
+            if len(ends) % len(some):  # another view of what letters are
+                out += self._each([before + x for x in some])
+                continue
+            raw, start = ids.tobytes(), 0
+            for end in (4 * ends[len(ends) // len(some) - 1 :: len(ends) // len(some)]).tolist():
+                out.append(raw[start:end])
+                start = end
+        return out
+
+    def _known(self, parts: list[str]) -> list[bytes]:
         if len(self.young) > KEEP:
             self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, []
-        for x in dict.fromkeys(parts):
-            if x not in young:
-                if x in old:
-                    young[x] = old[x]
-                else:
-                    missing.append(x)
-        if missing:
-            found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            for x, e in zip(missing, found):
-                young[x] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(young.__getitem__, parts))
+        young, old = self.young, self.old
+        found = list(map(young.get, parts))
+        words: dict[str, dict[str, None]] = {"": {}, "\n": {}}
+        missing, joined = {}, []
+        for x in [x for x, ids in zip(parts, found) if ids is None]:
+            if x in old:
+                young[x] = old[x]
+                continue
+            m = _WORD.fullmatch(x)
+            if not m or not m[2].isalpha():
+                missing[x] = None
+                continue
+            line, word, rest = m.groups()
+            for piece, wanted in ((line + word, words[line]), ("\0" + rest, missing)):
+                if piece != "\0" and piece not in young:
+                    if piece in old:
+                        young[piece] = old[piece]
+                    else:
+                        wanted[piece] = None
+            if rest:
+                joined.append((x, line + word, "\0" + rest))
+        young.update(zip(words[""], self._words(list(words[""]), " ")))
+        young.update(zip(words["\n"], self._words([x[1:] for x in words["\n"]], "\n")))
+        young.update(zip(missing, self._each([spelled(x) for x in missing])))
+        for x, word, rest in joined:
+            young[x] = young[word] + young[rest]
+        out = [young[x] if ids is None else ids for x, ids in zip(parts, found)]
+        for x in missing:
+            if len(x) > 64:  # not worth keeping
+                del young[x]
+        return out
+
+    def _batch(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, _ODD)
+        if pc.any(odd).as_py():
+            cut = pa.array([["\0" + p for p in _CUT.split(t) if p] if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist())], pa.list_(pa.string()))
+            texts = pc.if_else(odd, "", texts)
+        else:
+            cut = None
+        marked = pc.utf8_replace_slice(pc.replace_substring(texts, "\n", " \n"), 0, 0, "\0")
+        lists = pc.split_pattern(marked, " ")
+        if cut is not None:
+            lists = pc.if_else(odd, cut, lists)
+        coded = lists.flatten().dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, index = np.frombuffer(b"".join(known), "<u4"), coded.indices.to_numpy()
+        first, each = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        ends = np.r_[0, np.cumsum(each)]
+        raw = memoryview(ids[np.repeat(first - ends[:-1], each) + np.arange(ends[-1])].tobytes())
+        at = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        bounds = (4 * ends[at]).tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield bytes(raw[a:b])
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in order; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH, "right")))
+            yield from self._batch(texts.slice(at, upto - at))
+            at = upto
 
 
 @lru_cache(maxsize=4)

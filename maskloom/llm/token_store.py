@@ -91,15 +91,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, number, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, number, block = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         keys, times, sizes, parts, held, last, seen = [], [], [], [], 0, object(), 0
 
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, block, keys, times, sizes, b"".join(parts)), arrow)], schema=arrow)
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(t.as_py()) + end
+            for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids += end
                 seen = seen + 1 if k == last else 0
                 last = k
                 keys.append(k), times.append(seen), sizes.append(len(ids) // 4), parts.append(ids)

@@ -1,26 +1,36 @@
 """Packing and the token store against brute force with the tokenizers library."""
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from maskloom.llm import packing, token_store
 from maskloom.llm.shared import new_path
-from maskloom.llm.token_ids import IdEncoder, segments, tokenizer_path
+from maskloom.llm import token_ids
+from maskloom.llm.token_ids import IdEncoder, tokenizer_path
 
 TEXTS = [
     "Hello world, it's 10 o'clock.\nNew  line \t tab", "", None, " lead and trail ", "a" * 3000, "x y " * 5000, "\n\n\n", "déjà  vu — ça va?　ok",
-    "same text", "same text", "<|endoftext|> literal <|startoftext|>", "é combining ́x", "tab\tsep\r\nwin  ", "don't   we'll I'm  's 's",
+    "same text", "same text", "<|endoftext|> literal <|startoftext|>", "é combining ́x", "tab\tsep\r\nwin  ", "a\0b c \0d\ne", "\0", "x\n\ny  z\u00a0w", "one.\nTwo, three; four: five.", "A, b. c", " . , x", "don't   we'll I'm  's 's",
 ]
 
 
-def reference_ids(name, text, end):
+@lru_cache
+def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+    return t
+
+
+def reference_ids(name, text, end):
+    return library(name).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def docs_of(spark, rows):
@@ -32,12 +42,31 @@ def docs(spark):
     return docs_of(spark, [(i, t, "extra", 7) for i, t in enumerate(TEXTS)] + [(3, " lead and trail ", "extra", 7)])
 
 
+def ids_of(encode, texts):
+    return [np.frombuffer(x, "<u4").tolist() for x in encode.encode(pa.array(texts, pa.string()))]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_segments_give_the_whole_text_ids(name):
-    encode = IdEncoder(tokenizer_path(name))
-    for t in TEXTS:
-        assert "".join(segments(t or "")) == (t or "")
-        assert np.frombuffer(encode(t), "<u4").tolist() == reference_ids(name, t, 0)[:-1]
+@pytest.mark.parametrize("batch", [1, 300, 10**7])
+def test_batches_give_the_whole_text_ids(name, batch, monkeypatch):
+    monkeypatch.setattr(token_ids, "BATCH", batch)
+    assert ids_of(IdEncoder(tokenizer_path(name)), TEXTS) == [reference_ids(name, t, 0)[:-1] for t in TEXTS]
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\u00a0\0aZé'.,;:1ǅ-\u0301\u3000"), max_size=30), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_any_text(texts):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        assert ids_of(token_ids.encoder(tokenizer_path(name)), texts) == [reference_ids(name, t, 0)[:-1] for t in texts]
+
+
+def test_memory_of_segments_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_ids, "KEEP", 20)
+    encode = IdEncoder(tokenizer_path("byte_bpe_50k.json"))
+    for k in range(30):
+        t = " ".join(f"word{i} plain, end." for i in range(k, k + 9))
+        assert ids_of(encode, [t]) == [reference_ids("byte_bpe_50k.json", t, 0)[:-1]]
+        assert len(encode.young) + len(encode.old) < 150
 
 
 def test_pack_is_whole_and_gapless(docs):
