@@ -9,12 +9,46 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import quality
+
+    return quality.digest(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import decontamination
+
+    return decontamination.digest(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskloom.llm import language
 
     return language.digest(_docs(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import near_dedup
+
+    return near_dedup.digest(_docs(spark, sf_dir))
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import language_model
+
+    return language_model.digest(_docs(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import toxicity
+
+    return toxicity.digest(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskloom.llm import secrets
 
@@ -44,6 +78,9 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(spark, path, token_store.stored_keys(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op3_language": op3_language, "op7_secrets": op7_secrets, "op8_neighbours": op8_neighbours, "op9_packing": op9_packing, "op10_token_store": op10_token_store}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_decontamination, op3_language, op4_near_dedup, op5_language_model, op6_toxicity, op7_secrets, op8_neighbours, op9_packing, op10_token_store)
+}
 
 ORACLE_SQL: dict[str, str] = {}
