@@ -92,7 +92,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", profile_size:
                     yield pd.DataFrame({"lang": name, "gram": list(own), "n": list(own.values())})
                     own.clear()
         for name, own in held.items():
-            yield pd.DataFrame({"lang": name, "gram": list(own), "n": list(own.values())}).astype({"gram": "int64", "n": "int64"})
+            if own:
+                yield pd.DataFrame({"lang": name, "gram": list(own), "n": list(own.values())})
 
     counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     out = {}

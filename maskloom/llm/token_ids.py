@@ -45,6 +45,9 @@ class IdEncoder:
         self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # Lower-casing vocabularies that drop white space: a word has the same ids in any case and on any line.
+        one, other = self._each([" word", "\nWORD"])
+        self.folds = one == other
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,19 +85,21 @@ class IdEncoder:
                 missing[x] = None
                 continue
             line, word, rest = m.groups()
+            if self.folds and "\u0130" not in word and "\u03a3" not in word:  # the two whose lower case hangs on what follows
+                line, word = "", word.lower()
             for piece, wanted in ((line + word, words[line]), ("\0" + rest, missing)):
                 if piece != "\0" and piece not in young:
                     if piece in old:
                         young[piece] = old[piece]
                     else:
                         wanted[piece] = None
-            if rest:
+            if rest or line + word != x:
                 joined.append((x, line + word, "\0" + rest))
         young.update(zip(words[""], self._words(list(words[""]), " ")))
         young.update(zip(words["\n"], self._words([x[1:] for x in words["\n"]], "\n")))
         young.update(zip(missing, self._each([spelled(x) for x in missing])))
         for x, word, rest in joined:
-            young[x] = young[word] + young[rest]
+            young[x] = young[word] + (young[rest] if rest != "\0" else b"")
         out = [young[x] if ids is None else ids for x, ids in zip(parts, found)]
         for x in missing:
             if len(x) > 64:  # not worth keeping

@@ -60,7 +60,8 @@ def learn_terms(docs: DataFrame, labels: DataFrame, label: str, text: str = "tex
                 if len(held) > 400_000:
                     yield pd.DataFrame({"term": list(held), "clean": [x[0] for x in held.values()], "toxic": [x[1] for x in held.values()]})
                     held.clear()
-        yield pd.DataFrame({"term": list(held), "clean": [x[0] for x in held.values()], "toxic": [x[1] for x in held.values()]}).astype({"clean": "int64", "toxic": "int64"})
+        if held:
+            yield pd.DataFrame({"term": list(held), "clean": [x[0] for x in held.values()], "toxic": [x[1] for x in held.values()]})
 
     bad = sum(chosen.values())
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (len(chosen) - bad + 1.0))
