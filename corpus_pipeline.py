@@ -1,10 +1,63 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, secret scan, packing."""
+"""The corpus pipeline: from documents to packed token sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result is written as Parquet and
+read again as the next one's docs. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskloom.llm import decontamination, language, near_dedup, packing, secrets
+from maskloom.llm.shared import written
+from maskloom.llm.token_ids import tokenizer_path
+
+#: Documents whose nearest profile is farther than this (as a share of the most possible) are in no known language.
+FARTHEST = 0.98
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter or in no known language; a missing lang becomes the predicted one."""
+    found = language.predict(docs, language.learn(docs), docs.columns)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("distance") <= FARTHEST))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest key of each class of near-duplicates."""
+    return near_dedup.keep_one(docs, near_dedup.classes(docs))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which a benchmark item was found."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets by their kind; n_chars follows the text."""
+    out = secrets.redact(secrets.scan(docs))
+    return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences of 1024, one row per piece, with its ids."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+#: Rank profiles, edit matching and byte-pair packing are not expressible in SQL; tests/llm holds the brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", profile_size:
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str], text: str = "text") -> DataFrame:
-    """`columns` of docs and lang_pred, score, distance (0 to 1, of the winner)."""
+    """`columns` of docs, as they are, and lang_pred, score, distance (0 to 1, of the winner), which replace columns of these names."""
     names, size = sorted(profiles), max([1, *map(len, profiles.values())])
     tables = []
     for name in names:
@@ -126,15 +127,16 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str],
         best = int(np.argmin(d))
         return names[best], float(1 / np.exp(-40 * (d - d[best])).sum()), float(d[best])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = [c for c in columns if c not in ("lang_pred", "score", "distance")]
+    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double", "distance double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [one(t) for t in b["__text"]]
-            yield b.drop(columns="__text").assign(**{c: pd.Series([x[i] for x in found], dtype=kind) for i, (c, kind) in enumerate((("lang_pred", object), ("score", float), ("distance", float)))})
+            found = [one(t.as_py()) for t in b.column(len(kept))]
+            made = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(b.columns[: len(kept)] + made, [*kept, "lang_pred", "score", "distance"])
 
-    # An int column with nulls would reach Python as doubles; as text the kept columns are exact.
-    kept = docs.select(*[F.col(c).cast("string").alias(c) for c in columns], F.col(text).cast("string").alias("__text"))
-    out = kept.mapInPandas(run, ", ".join([f"`{c}` string" for c in columns] + ["lang_pred string", "score double", "distance double"]))
-    return out.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in columns], "lang_pred", "score", "distance")
+    return docs.select(*kept, F.col(text).cast("string").alias("__text")).mapInArrow(run, fields)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -83,4 +83,47 @@ QUERIES = {
     for f in (op1_quality, op2_decontamination, op3_language, op4_near_dedup, op5_language_model, op6_toxicity, op7_secrets, op8_neighbours, op9_packing, op10_token_store)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _secrets_sql() -> str:
+    """DuckDB SQL of the secret scan: matches and their places from the texts between them; entropy of each window on its own."""
+    from maskloom.llm import secrets as s
+
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+
+    def spans(name: str, kind: str, pattern: str, more: str = "") -> str:
+        p = quoted(pattern.replace(r"\x20", " "))
+        return f"""{name} AS (
+  SELECT doc_id, i, f[i] AS s, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0)::BIGINT AS a, '{kind}' AS kind{more}
+  FROM (SELECT doc_id, f, g, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS f, string_split_regex(t, {p}) AS g FROM d)))"""
+
+    allowed = " OR ".join(f"regexp_matches(s, {quoted(p)})" for p in s.ALLOWED)
+    rank = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(s.KINDS)) + " END"
+    bound = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in s.BOUNDS.items()) + " END"
+    w = s.WINDOW
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{spans("assigned", "assign", s.ASSIGN)},
+{spans("access", "access", s.ACCESS)},
+{spans("hexed", "hex", s.HEX)},
+base AS (
+  SELECT doc_id, a, a + length(s) AS b, kind FROM assigned WHERE length(regexp_extract(s, {quoted(s.ASSIGN.replace(chr(92) + "x20", " "))}, 2)) >= 8
+  UNION ALL SELECT doc_id, a, a + length(s), kind FROM access UNION ALL SELECT doc_id, a, a + length(s), kind FROM hexed),
+{spans("raw", "candidate", s.CANDIDATE)},
+candidates AS (
+  SELECT doc_id, i, s, a, CASE WHEN regexp_matches(s, '^([0-9a-f]+|[0-9A-F]+)$') THEN 'entropy_hex' WHEN regexp_matches(s, '^([0-9a-z]+|[0-9A-Z]+)$') THEN 'entropy_alnum' ELSE 'entropy_mixed' END AS kind
+  FROM raw WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT ({allowed})),
+windows AS (
+  SELECT doc_id, i, a, kind, k, list_aggregate(string_split(s[k + 1 : k + {w}], ''), 'entropy') AS h
+  FROM (SELECT *, unnest(range(0, length(s) - {w} + 1)) AS k FROM candidates)),
+hot AS (SELECT doc_id, i, a + min(k) AS a, a + max(k) + {w} AS b, kind FROM windows WHERE round({w} * h - {w} * {bound}, 6) >= 0 GROUP BY doc_id, i, a, kind),
+added AS (SELECT * FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = h.doc_id AND x.a < h.b AND h.a < x.b)),
+told AS (
+  SELECT doc_id, a, {rank} AS r, kind || ':' || a || ':' || b AS said, true AS own FROM base
+  UNION ALL SELECT doc_id, a, {rank}, kind || ':' || a || ':' || b, false FROM added),
+per AS (
+  SELECT doc_id, count(*) FILTER (own AND r = 0) AS n_assign, count(*) FILTER (own AND r = 1) AS n_access, count(*) FILTER (own AND r = 2) AS n_hex,
+    coalesce(string_agg(said, ',' ORDER BY a, r) FILTER (own), '') AS base, string_agg(said, ',' ORDER BY a, r) AS spans FROM told GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op7_secrets": _secrets_sql()}

@@ -2,7 +2,7 @@
 
 The tokenizers library encodes a text one pre-token at a time, so a text may be cut wherever a pre-token
 surely ends. That holds before a space or line feed that is followed by a character that is not white space, and
-between a word of letters and ASCII punctuation other than an apostrophe, for byte-level vocabularies and for those with word ends.
+between a word of letters and ASCII punctuation (no apostrophe) up to the next space, for byte-level vocabularies and for those with word ends.
 A batch of texts is cut and its segments are numbered by Arrow; each distinct segment is encoded once
 and remembered; numpy then lays the ids of all segments end to end. The memory holds two
 generations of at most `KEEP` segments each, so it is bounded whatever the corpus."""
@@ -23,15 +23,15 @@ KEEP = 400_000
 #: Characters that are cut and encoded together, or one longer text.
 BATCH = 4_000_000
 _CUT = re.compile(r"(?=[ \n]\S)")
-#: A space or line feed before white space or the end, or the mark used below: such texts are cut by `_CUT`.
-_ODD = r"[ \n]([\s\p{Z}\x{85}\x{1c}-\x{1f}]|$)|\x00|\n$"
-#: A line feed or none, letters, and punctuation that does not belong to them.
-_WORD = re.compile(r"(\n?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: A space or line feed before white space or the end, the mark used below, or the letter whose lower case is two: such texts are cut by `_CUT`.
+_ODD = r"[ \n]([\s\p{Z}\x{85}\x{1c}-\x{1f}]|$)|\x01|\x{130}"
+#: Punctuation that ends a word of letters and does not belong to it.
+_TAIL = r"(\p{L})([!-&(-/:-@\[-`{-~]+)( |$)"
 
 
 def spelled(part: str) -> str:
-    """The text that a segment stands for: `\\0` marks one to be taken as it is, a line feed begins its own, others have lost a space."""
-    return part if part[0] == "\n" else part[1:] if part[0] == "\0" else " " + part
+    """The text that a segment stands for: `\\1` marks one to be taken as it is, a line feed begins its own, others have lost a space."""
+    return part if part[0] == "\n" else part[1:] if part[0] == "\1" else " " + part
 
 
 class IdEncoder:
@@ -45,7 +45,6 @@ class IdEncoder:
         self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        # Lower-casing vocabularies that drop white space: a word has the same ids in any case and on any line.
         one, other = self._each([" word", "\nWORD"])
         self.folds = one == other
 
@@ -74,32 +73,15 @@ class IdEncoder:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         found = list(map(young.get, parts))
-        words: dict[str, dict[str, None]] = {"": {}, "\n": {}}
-        missing, joined = {}, []
+        words, lines, missing = [], [], []
         for x in [x for x, ids in zip(parts, found) if ids is None]:
             if x in old:
                 young[x] = old[x]
-                continue
-            m = _WORD.fullmatch(x)
-            if not m or not m[2].isalpha():
-                missing[x] = None
-                continue
-            line, word, rest = m.groups()
-            if self.folds and "\u0130" not in word and "\u03a3" not in word:  # the two whose lower case hangs on what follows
-                line, word = "", word.lower()
-            for piece, wanted in ((line + word, words[line]), ("\0" + rest, missing)):
-                if piece != "\0" and piece not in young:
-                    if piece in old:
-                        young[piece] = old[piece]
-                    else:
-                        wanted[piece] = None
-            if rest or line + word != x:
-                joined.append((x, line + word, "\0" + rest))
-        young.update(zip(words[""], self._words(list(words[""]), " ")))
-        young.update(zip(words["\n"], self._words([x[1:] for x in words["\n"]], "\n")))
+            else:
+                (words if x.isalpha() else lines if x[0] == "\n" and x[1:].isalpha() else missing).append(x)
+        young.update(zip(words, self._words(words, " ")))
+        young.update(zip(lines, self._words([x[1:] for x in lines], "\n")))
         young.update(zip(missing, self._each([spelled(x) for x in missing])))
-        for x, word, rest in joined:
-            young[x] = young[word] + (young[rest] if rest != "\0" else b"")
         out = [young[x] if ids is None else ids for x, ids in zip(parts, found)]
         for x in missing:
             if len(x) > 64:  # not worth keeping
@@ -109,11 +91,13 @@ class IdEncoder:
     def _batch(self, texts: pa.Array) -> Iterator[bytes]:
         odd = pc.match_substring_regex(texts, _ODD)
         if pc.any(odd).as_py():
-            cut = pa.array([["\0" + p for p in _CUT.split(t) if p] if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist())], pa.list_(pa.string()))
+            cut = pa.array([["\1" + p for p in _CUT.split(t) if p] if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist())], pa.list_(pa.string()))
             texts = pc.if_else(odd, "", texts)
         else:
             cut = None
-        marked = pc.utf8_replace_slice(pc.replace_substring(texts, "\n", " \n"), 0, 0, "\0")
+        # Lower-casing vocabularies that drop white space give a word the same ids in any case and on any line.
+        texts = pc.utf8_lower(pc.replace_substring(texts, "\n", " ")) if self.folds else pc.replace_substring(texts, "\n", " \n")
+        marked = pc.utf8_replace_slice(pc.replace_substring_regex(texts, _TAIL, "\\1 \1\\2\\3"), 0, 0, "\1")
         lists = pc.split_pattern(marked, " ")
         if cut is not None:
             lists = pc.if_else(odd, cut, lists)
