@@ -1,6 +1,6 @@
-"""All queries over the test tables with their DuckDB SQL, gathered from the operator modules."""
+"""All queries over the test tables with their DuckDB SQL, gathered from the plan modules."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from maskloom.plans import pixels, results  # noqa: F401
+from maskloom.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
