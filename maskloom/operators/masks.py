@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskloom.operators.boxes import in_lots
+
 AXES = ("z", "y", "x")
 
 
@@ -58,7 +60,7 @@ def connected_components(voxels: DataFrame, keys: list[str], axes: tuple[str, ..
         return g.assign(component=rank[back].astype(np.int32))
 
     schema = voxels.select(*keys, *axes).schema.add("component", T.IntegerType())
-    return voxels.select(*keys, *axes).groupBy(*keys).applyInPandas(run, schema)
+    return in_lots(voxels.select(*keys, *axes), keys, run, schema)
 
 
 def component_sizes(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -241,3 +241,13 @@ def format_duration(seconds: Column) -> Column:
         .when(m > 0, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", r))
     )
     return F.when(seconds.isNull() | F.isnan(seconds) | (seconds < 0) | (seconds == float("inf")), "unknown").otherwise(told)
+
+
+# Names of prompt modes.
+PROMPT_ALIASES = {"bbox": "box", "boxes": "box", "box": "box", "click": "point", "clicks": "point", "point": "point", "points": "point", "mask": "mask", "masks": "mask"}
+
+
+def prompt_modes(text: Column) -> Column:
+    """Canonical prompt modes of a comma list, in order, each once; unknown names are left out."""
+    names = F.create_map(*[F.lit(x) for kv in PROMPT_ALIASES.items() for x in kv])
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda m: F.try_element_at(names, F.lower(F.trim(m)))), lambda m: m.isNotNull()))
