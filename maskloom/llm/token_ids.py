@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 400_000
+KEEP = 300_000
 #: Characters that are cut and encoded together, or one longer text.
-BATCH = 4_000_000
+BATCH = 2_000_000
 _CUT = re.compile(r"(?=[ \n]\S)")
 #: A space or line feed before white space or the end, the mark used below, or the letter whose lower case is two: such texts are cut by `_CUT`.
 _ODD = r"[ \n]([\s\p{Z}\x{85}\x{1c}-\x{1f}]|$)|\x01|\x{130}"
