@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from maskloom.plans import catalog, masks, pixels, results, sampling, scans, streams  # noqa: F401
+from maskloom.plans import catalog, masks, pixels, records, results, sampling, scans, streams  # noqa: F401
 from maskloom.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
