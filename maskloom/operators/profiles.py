@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +32,26 @@ def per_file_cap(df: DataFrame, key: str, unit: Column, cap: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= cap).drop("__r")
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """`position` from 1 in the order of all rows, without one task that holds them all.
+
+    Rows are dealt by range and sorted; the checkpoint keeps the dealing for the counts and the numbers alike. The counts are a row per task."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="maskloom-"))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = counts.select("__part", before.alias("__before"))
+    return dealt.join(F.broadcast(heads), "__part").withColumn("position", (F.col("__before") + F.col("__row") + 1).cast("int")).drop("__part", "__row", "__before")
+
+
 def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
     """Rows at `k` evenly spaced positions of the order, first and last among them."""
     n = df.count()
-    wanted = sorted({int(round(i * (n - 1) / max(1, k - 1))) for i in range(min(k, n))})
-    rows = df.sparkSession.createDataFrame([(i + 1,) for i in wanted], "position int")
-    return df.withColumn("position", F.row_number().over(Window.orderBy(order))).join(F.broadcast(rows), "position")
+    wanted = sorted({int(round(i * (n - 1) / max(1, k - 1))) + 1 for i in range(min(k, n))})
+    return numbered(df, [order]).where(F.col("position").isin(wanted))
 
 
 def foreground_stats(df: DataFrame, key: str, value: str, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
