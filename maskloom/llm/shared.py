@@ -44,3 +44,18 @@ def discard(*tables: DataFrame) -> None:
 def crc_mod(key: str, mod: int):
     """crc32 of the key as text, modulo `mod`; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def tidy() -> None:
+    """Give memory that a finished task no longer needs back to the system: Python workers live on beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
