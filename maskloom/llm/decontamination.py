@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.llm.shared import tidy
 from maskloom.llm.words import normal
 
 SCHEMA = "doc_id long, item_id long, start int, end int, distance int"
@@ -206,8 +207,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         def run(batches: Iterator[pd.DataFrame], chosen: list = chosen) -> Iterator[pd.DataFrame]:
             matcher = Matcher(chosen, rate, shortest)
             for b in batches:
-                ids, found = b["id"].to_numpy(), matcher.find(b["text"].tolist())
+                ids, texts_ = b["id"].to_numpy(), b["text"]
+                found = [(lo + i, *rest) for lo in range(0, len(b), 2500) for i, *rest in matcher.find(texts_.iloc[lo : lo + 2500].tolist())]
                 yield pd.DataFrame([(int(ids[i]), item, s, e, d) for i, item, s, e, d in found], columns=["doc_id", "item_id", "start", "end", "distance"])
+            tidy()
 
         parts.append(texts.mapInPandas(run, SCHEMA))
     return reduce(DataFrame.unionByName, parts)

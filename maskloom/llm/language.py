@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import crc_mod
+from maskloom.llm.shared import crc_mod, tidy
 
 UNKNOWN = "und"
 
@@ -135,6 +135,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str],
             found = [one(t.as_py()) for t in b.column(len(kept))]
             made = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(b.columns[: len(kept)] + made, [*kept, "lang_pred", "score", "distance"])
+        tidy()
 
     return docs.select(*kept, F.col(text).cast("string").alias("__text")).mapInArrow(run, fields)
 

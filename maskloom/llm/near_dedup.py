@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import written
+from maskloom.llm.shared import tidy, written
 from maskloom.llm.words import hashed_words
 
 CELLS = 1 << 20
@@ -91,6 +91,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
             held = [np.unique(shingles(w) & np.uint32(CELLS - 1)) for w in hashed_words(b.column(0))]
             cells += np.bincount(np.concatenate(held), minlength=CELLS) if held else 0
         yield _emit_cells(cells)
+        tidy()
 
     return summed_cells(texts.select("text").mapInArrow(run, "part long, block int, n binary"), texts.sparkSession)
 
@@ -150,6 +151,7 @@ def signatures(texts: DataFrame, log_weights: np.ndarray, bands: int, rows: int)
                     key ^= key >> np.uint64(31)
                 contents.append(xxhash.xxh128_digest(words.tobytes())), keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "content", "keys"])
+        tidy()
 
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary, keys array<long>")
 
@@ -165,6 +167,7 @@ def vectors(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
             b = b.filter(ok)
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(w).tobytes() for w in hashed_words(b.column(1))], pa.binary())], ["doc_id", "shingles"])
+        tidy()
 
     return texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")).mapInArrow(run, "doc_id long, shingles binary")
 

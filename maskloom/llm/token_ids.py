@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 300_000
+KEEP = 200_000
 #: Characters that are cut and encoded together, or one longer text.
 BATCH = 2_000_000
 _CUT = re.compile(r"(?=[ \n]\S)")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from maskloom.llm.shared import tidy
 from maskloom.llm.token_ids import encoder
 
 _PAYLOAD = "shard int, block int, doc_ids array<long>, occurrences array<int>, lengths array<int>, ids binary"
@@ -109,6 +110,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
                     keys, times, sizes, parts, held, block = [], [], [], [], 0, block + 1
         if keys:
             yield closed()
+        tidy()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

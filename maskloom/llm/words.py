@@ -25,9 +25,13 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().translate(_GAPS).split())
 
 
-def hashed_words(texts: pa.Array, part: int = 4_000_000):
+def hashed_words(texts: pa.Array, part: int = 1_000_000):
     """For each text in turn the 64-bit hashes of its normal words."""
-    texts = texts.to_pylist()
+    for lo in range(0, len(texts), 1000):
+        yield from _hashed(texts.slice(lo, 1000).to_pylist(), part)
+
+
+def _hashed(texts: list, part: int):
     at = 0
     while at < len(texts):
         upto, size = at, 0
