@@ -1,7 +1,7 @@
 """Near-duplicates by consistent weighted sampling over TF-IDF word shingles.
 
 A text's shingles are runs of five normal words (of a shorter text: all its words), hashed to 32 bits; a shingle's weight is its
-count in the text times 1 + 0.2 ln(N / df) / ln N. Document frequencies are summed over all documents in 2^20 hashed cells, so the
+count in the text times 1 + 0.1 ln(N / df) / ln N. Document frequencies are summed over all documents in 2^20 hashed cells, so the
 table that goes to the tasks is bounded. Improved consistent weighted sampling draws `bands` * `rows` samples whose agreement is
 the weighted Jaccard similarity; random numbers come from tables indexed by a hash of shingle and sample.
 Texts that agree in all samples of a band meet in a bucket and are verified by their exact weighted Jaccard similarity.
@@ -99,7 +99,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 def weight_table(df: np.ndarray, total: int) -> np.ndarray:
     """ln of a single shingle's weight, by cell."""
     n = max(2, total)
-    return np.log(1 + 0.2 * np.clip(np.log(n / np.maximum(1, df)), 0, None) / np.log(n)).astype(np.float32)
+    return np.log(1 + 0.1 * np.clip(np.log(n / np.maximum(1, df)), 0, None) / np.log(n)).astype(np.float32)
 
 
 @lru_cache(maxsize=1)
