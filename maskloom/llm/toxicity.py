@@ -7,7 +7,8 @@
 3. Label model: over the counts of the patterns in all documents, a two-class generative model fitted by expectation
    maximisation (accuracy of each voter in each class; labelled training rows keep their class), then the correlations of the
    voters within the classes, whose covariance weighs the votes (linear discriminant), so that voters that repeat each other count once.
-4. Classifier: a logistic regression on the terms, fitted to the posterior labels of a bounded sample of documents, scores every text.
+4. Classifier: a logistic regression on the terms and on the three voters that have no terms (insults, two patterns), fitted to the
+   posterior labels of a bounded sample of documents and of each firing pattern of those three alone, scores every text.
 
 Texts are read twice: the sampled rows for the terms and all rows for votes and terms; no text is shuffled.
 
@@ -30,6 +31,8 @@ from maskloom.llm.shared import crc_mod, written
 # General English insults.
 INSULTS = ("idiot", "stupid", "moron", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "dumb", "jerk", "imbecile", "garbage", "filth", "vermin", "coward", "liar", "fool", "freak")
 VOTERS = 12
+#: The first voters need no learnt terms; they have columns of their own behind those of the terms.
+FIXED = 3
 _WORD = re.compile(r"\w+")
 _SHOUTED = re.compile(r"\b(YOU|SHUT UP|HATE)\b")
 _THREAT = re.compile(r"\b(kill|hurt|hate|destroy) (you|them|him|her|yourself)\b", re.I)
@@ -155,6 +158,11 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, size: int, rounds: int
     return w, bias
 
 
+def columns(terms: list[int], votes: int, size: int) -> list[int]:
+    """Columns of a text in the classifier: its terms (of `size`), then the voters without terms."""
+    return [*terms, *(size + v for v in range(FIXED) if votes >> v & 1)]
+
+
 def digest(docs: DataFrame, labels: DataFrame, fit_sample: int = 60_000) -> DataFrame:
     """Learn from labels with crc32(doc_id) mod 3 not 1 and score all documents."""
     terms, known = learn_terms(docs, labels.where(crc_mod("doc_id", 3) != 1), "toxic")
@@ -165,13 +173,17 @@ def digest(docs: DataFrame, labels: DataFrame, fit_sample: int = 60_000) -> Data
     model = LabelModel({r["votes"]: (r["free"], r["clean"], r["toxic"]) for r in tallied.collect()})
     total = max(1, rows.count())
     part = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(min(1.0, fit_sample / total) * (1 << 20))).select("terms", "votes").collect()
-    weights, bias = fit_linear([r["terms"] for r in part], np.array([model.posterior[r["votes"]] for r in part]), max(1, len(terms)))
+    # Patterns of the voters without terms that the sample has missed: their texts have no other column.
+    alone = sorted({v for v in model.posterior if v < 1 << FIXED} - {r["votes"] for r in part})
+    size = len(terms)
+    fitted = [columns(r["terms"], r["votes"], size) for r in part] + [columns([], v, size) for v in alone]
+    weights, bias = fit_linear(fitted, np.array([model.posterior[v] for v in [r["votes"] for r in part] + alone]), size + FIXED)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = np.array([bias + weights[list(x)].sum() for x in b["terms"]], float)
+            raw = np.array([bias + weights[columns(x, v, size)].sum() for x, v in zip(b["terms"], b["votes"])], float)
             yield pd.DataFrame({"id": b["id"], "score": 1 / (1 + np.exp(-np.clip(raw, -30, 30)))})
 
-    out = rows.select(F.col("doc_id").cast("string").alias("id"), "terms").mapInPandas(run, "id string, score double")
+    out = rows.select(F.col("doc_id").cast("string").alias("id"), "terms", "votes").mapInPandas(run, "id string, score double")
     out = out.select(F.col("id").cast("long").alias("doc_id"), "score")
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
