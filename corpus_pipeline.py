@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest key of each class of near-duplicates."""
-    return near_dedup.keep_one(docs, near_dedup.classes(docs))
+    """Keep one row of each class of near-duplicate rows, that with the smallest key; rows without a key count as well."""
+    return near_dedup.unique_rows(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ Texts that agree in all samples of a band meet in a bucket and are verified by t
 Shingles of candidates alone are made again for the verification; the others are kept out by a bounded bit map.
 
 Defined cases: null or empty texts, and those without a letter or digit, are each a class of their own; very long texts are read
-whole; rows with the same key are one document, with the greatest text; a null key is left out; an empty table gives no rows; other columns are not read.
+whole; rows with the same key are one document, with the text of the greatest hash, by which it is both placed in buckets and verified; a null
+key is left out; an empty table gives no rows; other columns are not read. `unique_rows` takes each row as a document, whatever its key.
 
 The result is one row per document: doc_id and class_id, the smallest key of its class."""
 
@@ -157,19 +158,22 @@ def signatures(texts: DataFrame, log_weights: np.ndarray, bands: int, rows: int)
 
 
 def vectors(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """doc_id and its sorted shingles, of the documents whose hashed key has a bit in `wanted`."""
+    """doc_id, content and sorted shingles, of the documents whose hashed key has a bit in `wanted`."""
     bits = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
             cell = b.column(2).to_numpy()
             ok = pa.array((bits.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool))
             b = b.filter(ok)
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(w).tobytes() for w in hashed_words(b.column(1))], pa.binary())], ["doc_id", "shingles"])
+                made = [(xxhash.xxh128_digest(w.tobytes()) if len(w) else None, shingles(w).tobytes()) for w in hashed_words(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.binary()) for x in zip(*made))], ["doc_id", "content", "shingles"])
         tidy()
 
-    return texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")).mapInArrow(run, "doc_id long, shingles binary")
+    return texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")).mapInArrow(run, "doc_id long, content binary, shingles binary")
 
 
 class Verifier:
@@ -256,9 +260,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     log_weights = weight_table(df, texts.count())
     signed = written(signatures(texts, log_weights, bands, rows), "signatures")
 
-    own_class = signed.where("content is null").select("doc_id").distinct().withColumn("rep", F.col("doc_id"))
-    # Repeated keys: one document; equal contents: one class.
-    one = signed.where("content is not null").groupBy("doc_id").agg(F.max(F.struct("content", "keys")).alias("x")).select("doc_id", "x.content", "x.keys")
+    # Repeated keys: one document, without words only if all its texts are; equal contents: one class.
+    every = signed.groupBy("doc_id").agg(F.max(F.struct("content", "keys")).alias("x")).select("doc_id", "x.content", "x.keys")
+    own_class, one = every.where("content is null").select("doc_id", F.col("doc_id").alias("rep")), every.where("content is not null")
     reps = written(one.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")), "reps")
     member = one.select("doc_id", "content").join(reps.select("content", "rep"), "content").select("doc_id", "rep")
 
@@ -275,7 +279,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         yield _emit_cells(cells)
 
     wanted = summed_cells(buckets.select(F.pmod(F.xxhash64("rep"), F.lit(CELLS)).alias("cell")).mapInArrow(mark, "part long, block int, n binary"), spark)
-    made = written(vectors(texts, wanted).groupBy("doc_id").agg(F.max("shingles").alias("shingles")).withColumnRenamed("doc_id", "rep"), "vectors")
+    made = written(vectors(texts, wanted).groupBy("doc_id").agg(F.max(F.struct("content", "shingles")).alias("x")).select(F.col("doc_id").alias("rep"), "x.shingles"), "vectors")
     table = spark.sparkContext.broadcast(log_weights)
 
     def link(g: pd.DataFrame) -> pd.DataFrame:
@@ -335,10 +339,23 @@ def _visits(large: DataFrame, guests: DataFrame, made: DataFrame, table, least:
 
 
 def keep_one(docs: DataFrame, named: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that stand for their class; of rows with the same key one."""
+    """The rows whose key stands for its class; rows that share such a key all stay, rows with a null key go."""
     stay = named.where("doc_id = class_id").select(F.col("doc_id").alias("__stay"))
     return docs.join(stay, docs[key] == stay["__stay"], "left_semi")
 
 
+def unique_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+    """One row of each class of near-duplicate rows: that of the smallest key, null last, then of the smallest hash of its text.
+
+    Every row is a document of its own, also those that share a key or have none. Rows without words are classes of their own,
+    but of exact copies with the same key one stays."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    named = classes(rows, "__row", text, **kw)
+    own = rows.select("__row", F.col(key).alias("k"), F.xxhash64(text).alias("h")).join(named, F.col("__row") == F.col("doc_id"))
+    best = own.groupBy("class_id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h", "__row")).alias("x")).select("x.*")
+    stay = best.groupBy("k", "h", F.when(F.col("none"), F.col("__row"))).agg(F.min("__row").alias("__row")).select("__row")
+    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return classes(docs)

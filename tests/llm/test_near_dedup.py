@@ -103,3 +103,39 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (103, 102), (7, 7)] + [(200, 200 + k) for k in range(1, 50)]
     got = {r.node: r.label for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[i] == 100 for i in range(100, 104)) and all(got[i] == 200 for i in range(200, 250))
+
+
+def test_the_stage_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(90))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, c), (3, c.upper()), (None, d), (None, e), (None, e + " x"), (None, a), (4, ""), (4, ""), (None, ""), (None, ""), (5, "!!"), (5, d + " y")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()))
+        kept_e = [t for i, t in got if i == 0 and t]
+        assert len(kept_e) == 1 and kept_e[0] in (e, e + " x")
+        assert got == sorted([(1, a), (2, b), (2, c), (0, kept_e[0]), (4, ""), (0, ""), (0, ""), (5, "!!"), (5, d + " y")])
+
+
+def test_a_key_with_several_texts_has_one_of_them(spark):
+    rng = random.Random(4)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(90))
+    for _ in range(2):
+        texts = [prose() for _ in range(12)]
+        rows = [(i, t) for i, t in enumerate(texts)] + [(i, texts[i] + " x") for i in range(0, 12, 2)] + [(100 + i, f"{texts[i]} y") for i in range(12)] + [(i, prose()) for i in range(12)] + [(50, ""), (50, texts[0])]
+        df = frame(spark, rows)
+        found = nd.classes(df).collect()
+        got = {r.doc_id: r.class_id for r in found}
+        assert len(found) == len(got)
+        # The text of the greatest hash is the document's: it decides alone.
+        import xxhash
+
+        own = {}
+        for i, t in rows:
+            w = next(hashed_words(pa.array([t])))
+            own[i] = max(own.get(i, (b"", "")), (xxhash.xxh128_digest(w.tobytes()) if len(w) else b"", t))
+        want = brute([(i, t) for i, (_, t) in own.items()], weights(spark, df))
+        assert got == want
