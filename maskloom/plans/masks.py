@@ -123,6 +123,15 @@ def stack_slices(spark, sf):
     return voxels(spark, sf).select("case_id", k.alias("k"), "z", "y", "x").where("k <= 20")
 
 
+# `stack_slices` and its SQL show the first 20 rows of a case; this is the whole stack.
+@query(f"WITH {VOXELS} SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY z, y, x) AS INT) AS k, z, y, x FROM voxels")
+def stack_slices_all(spark, sf):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("case_id").orderBy("z", "y", "x"))
+    return voxels(spark, sf).select("case_id", k.alias("k"), "z", "y", "x")
+
+
 @query(f"WITH {VOXELS} SELECT DISTINCT case_id, z FROM voxels WHERE label = 3")
 def has_foreground_2d(spark, sf):
     v = voxels(spark, sf)

@@ -92,3 +92,15 @@ def test_patterns_match_whole_values(spark):
     df = spark.createDataFrame([("12_a12.png",), ("12_12.png",), ("12_a13.png",), ("12_a12.png\n",)], "x string")
     got = df.select(p.matches(F.col("x")).alias("m"), p.group(F.col("x"), "id").alias("i"), p.extras(F.col("x")).alias("e")).collect()
     assert [(r.m, r.i, r.e) for r in got] == [(True, "12", {"part": "a"}), (True, "12", {}), (False, None, {}), (False, None, {})]
+
+
+def test_every_row_of_a_stack_gets_its_number(spark):
+    from maskloom.plans import registry
+    from maskloom.plans.views import voxels
+
+    sf = "/root/testdata/sf0.01"
+    want = {r.case_id: r["count"] for r in voxels(spark, sf).groupBy("case_id").count().collect()}
+    got = {r.case_id: (r.n, r.least, r.most, r.d) for r in registry.QUERIES["stack_slices_all"](spark, sf).groupBy("case_id").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("most"), F.countDistinct("k").alias("d")).collect()}
+    assert max(want.values()) > 20
+    assert got == {c: (n, 1, n, n) for c, n in want.items()}
+    print("rows", sum(want.values()))
