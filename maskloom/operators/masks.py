@@ -136,10 +136,14 @@ def window_select(slices: DataFrame, keys: list[str], n: int) -> DataFrame:
     return best.select(*keys, (-F.col("x.m")).alias("start"), F.col("x.full").alias("foreground_slices"), F.col("x.sum").alias("area"))
 
 
-def bbox(voxels: DataFrame, keys: list[str], shape: dict[str, int]) -> DataFrame:
-    """Half-open box of the foreground and whether cropping to it removes a quarter or more of the volume."""
+def bbox(voxels: DataFrame, keys: list[str], shape: dict[str, int], images: DataFrame | None = None) -> DataFrame:
+    """Half-open box of the foreground and whether cropping to it removes a quarter or more of the volume.
+
+    With `images` (one row for each `keys`), those without foreground have the full extent; else they have no row."""
     b = voxels.groupBy(*keys).agg(*[f(a).alias(f"{a}{i}") for a in shape for i, f in ((0, F.min), (1, F.max))])
     b = b.select(*keys, *[x for a in shape for x in (F.col(f"{a}0"), (F.col(f"{a}1") + 1).alias(f"{a}1"))])
+    if images is not None:
+        b = images.select(*keys).join(b, keys, "left").select(*keys, *[x for a, n in shape.items() for x in (F.coalesce(f"{a}0", F.lit(0)).alias(f"{a}0"), F.coalesce(f"{a}1", F.lit(n)).alias(f"{a}1"))])
     inside, all_ = F.lit(1), 1
     for a, n in shape.items():
         inside, all_ = inside * (F.col(f"{a}1") - F.col(f"{a}0")), all_ * n

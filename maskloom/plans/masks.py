@@ -88,6 +88,34 @@ def bbox_padded(spark, sf):
     return M.padded(M.bbox(voxels(spark, sf).where("x < 50"), ["case_id", "label"], SHAPE).drop("is_significant_crop"), SHAPE, 3)
 
 
+# The queries above and their SQL look at x < 50; these at every voxel, and at labels that a case does not have.
+_ENDS = "min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1"
+_FULL = "coalesce(z0, 0) AS z0, coalesce(z1, 8) AS z1, coalesce(y0, 0) AS y0, coalesce(y1, 64) AS y1, coalesce(x0, 0) AS x0, coalesce(x1, 64) AS x1"
+_ALL = f"{VOXELS}, own AS (SELECT case_id, label, {_ENDS} FROM voxels GROUP BY 1, 2), b AS (SELECT case_id, label, {_FULL} FROM (SELECT DISTINCT case_id FROM voxels) CROSS JOIN (SELECT unnest([1, 2, 3]) AS label) LEFT JOIN own USING (case_id, label))"
+
+
+def _boxes(spark, sf):
+    v = voxels(spark, sf)
+    images = v.select("case_id").distinct().crossJoin(F.broadcast(spark.range(1, 4).select(F.col("id").cast("int").alias("label"))))
+    return M.bbox(v, ["case_id", "label"], SHAPE, images)
+
+
+@query(f"WITH {_ALL} SELECT *, (z1 - z0) * (y1 - y0) * (x1 - x0) <= 0.75 * 32768 AS is_significant_crop FROM b")
+def bbox_3d_all(spark, sf):
+    return _boxes(spark, sf)
+
+
+@query(f"WITH {_ALL} SELECT case_id, label, greatest(0, z0 - 3) AS z0, least(8, z1 + 3) AS z1, greatest(0, y0 - 3) AS y0, least(64, y1 + 3) AS y1, greatest(0, x0 - 3) AS x0, least(64, x1 + 3) AS x1 FROM b")
+def bbox_padded_all(spark, sf):
+    return M.padded(_boxes(spark, sf).drop("is_significant_crop"), SHAPE, 3)
+
+
+@query(f"WITH {VOXELS}, own AS (SELECT case_id, {_ENDS} FROM voxels WHERE label IN (1, 2) GROUP BY 1) SELECT case_id, {_FULL} FROM (SELECT DISTINCT case_id FROM voxels) LEFT JOIN own USING (case_id)")
+def union_crop_all(spark, sf):
+    v = voxels(spark, sf)
+    return M.bbox(v.where("label in (1, 2)"), ["case_id"], SHAPE, v.select("case_id").distinct()).drop("is_significant_crop")
+
+
 @query(f"WITH {VOXELS} SELECT case_id % 3 AS tile_row, case_id % 5 AS tile_col, min(y + 512 * (case_id % 3)) AS y0, max(y + 512 * (case_id % 3)) + 1 AS y1, min(x + 512 * (case_id % 5)) AS x0, max(x + 512 * (case_id % 5)) + 1 AS x1 FROM voxels GROUP BY 1, 2")
 def bbox_tiles(spark, sf):
     v = voxels(spark, sf).withColumns({"tile_row": F.col("case_id") % 3, "tile_col": F.col("case_id") % 5})
@@ -189,6 +217,26 @@ def rle_area(spark, sf):
     return e.select("case_id", "label", M.rle_area("counts").alias("area"))
 
 
+# The run lengths of every slice; those above are of z = 3.
+def _runs(spark, sf):
+    return M.rle_encode(voxels(spark, sf), ["case_id", "label", "z"], F.col("x") * 64 + F.col("y"), 4096)
+
+
+@query()
+def rle_encode_all(spark, sf):
+    return _runs(spark, sf)
+
+
+@query(f"WITH {VOXELS} SELECT case_id, label, z, x * 64 + y AS p FROM voxels")
+def rle_decode_all(spark, sf):
+    return M.rle_decode(_runs(spark, sf), ["case_id", "label", "z"]).withColumn("p", F.col("p").cast("int"))
+
+
+@query(f"WITH {VOXELS} SELECT case_id, label, z, count(*) AS area FROM voxels GROUP BY 1, 2, 3")
+def rle_area_all(spark, sf):
+    return _runs(spark, sf).select("case_id", "label", "z", M.rle_area("counts").alias("area"))
+
+
 _S = f"{VOXELS}, s AS (SELECT case_id, label, y AS slice, count(*) AS area FROM voxels GROUP BY 1, 2, 3)"
 _AXIS = "ax AS (SELECT case_id, label, unnest(range(min(slice), max(slice) + 1)) AS slice FROM s GROUP BY 1, 2), full_axis AS (SELECT ax.case_id, ax.label, ax.slice, s.area FROM ax LEFT JOIN s USING (case_id, label, slice))"
 

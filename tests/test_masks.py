@@ -104,3 +104,10 @@ def test_every_row_of_a_stack_gets_its_number(spark):
     assert max(want.values()) > 20
     assert got == {c: (n, 1, n, n) for c, n in want.items()}
     print("rows", sum(want.values()))
+
+
+def test_an_image_without_foreground_has_the_full_extent(spark):
+    v = spark.createDataFrame([(1, 2, 60), (1, 3, 61)], "case_id int, y int, x int")
+    images = spark.createDataFrame([(1,), (2,)], "case_id int")
+    got = sorted(tuple(r) for r in M.bbox(v, ["case_id"], {"y": 8, "x": 64}, images).collect())
+    assert got == [(1, 2, 4, 60, 62, True), (2, 0, 8, 0, 64, False)]
