@@ -13,6 +13,7 @@ gives no rows; extra columns stay as they are unless they have a result's name,
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -40,40 +41,88 @@ ALLOWED = (
 )
 
 
+_SPAN = "array<struct<start:int,kind:string,end:int,text:string>>"
+#: Characters in a block of a text that is cut into many pieces.
+_BLOCK = 1024
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once: a lambda's variable, where an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, combine) -> Column:
+    """For each element the combination of all up to it, by doubling: in step s each takes in the one 2^s before (null: none)."""
+    steps = lambda xs: F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(xs), F.lit(1)).cast("double"))).cast("int"))
+    before = lambda a, i, s: F.get(a, i - F.call_function("shiftleft", F.lit(1), s))
+    return _let(values, lambda xs: F.aggregate(steps(xs), xs, lambda a, s: F.transform(a, lambda x, i: combine(x, before(a, i, s)))))
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """All matches as (start, kind, end, text): the texts between matches have the places."""
+    """All matches as (start, kind, end, text): the lengths of matches and of the texts between them, summed up, have the places."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,kind:string,end:int,text:string>>")
 
-    def step(a: Column, i: Column) -> Column:
-        start = a["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(found, i).alias("text")))).alias("out"))
+    def placed(m: Column) -> Column:
+        steps = F.transform(m["found"], lambda x, i: F.length(F.get(m["gaps"], i)) + F.length(x))
+        ends = _running(steps, lambda x, y: x + F.coalesce(y, F.lit(0)))
+        span = lambda e: lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), x.alias("text"))
+        return _let(ends, lambda e: F.transform(m["found"], span(e)))
 
-    places = F.aggregate(F.transform(found, lambda x, i: i), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), places).otherwise(empty)
+    places = _let(F.struct(found.alias("found"), gaps.alias("gaps")), placed)
+    return F.when(text.rlike(pattern), places).otherwise(F.array().cast(_SPAN))
 
 
 def _entropy_extent(s: Column, bound: Column) -> Column:
-    """(first, last) window start whose entropy reaches the bound, as a struct; nulls if none does."""
-    code = lambda i: F.ascii(F.substring(s, i, F.lit(1)))  # noqa: E731  i counts from 1
-    f = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
-    bump = lambda counts, at, by: F.transform(counts, lambda c, k: F.when(k == at, c + by).otherwise(c))
-    state = lambda counts, total, first, last: F.struct(counts.alias("counts"), total.alias("total"), first.alias("first"), last.alias("last"))
+    """(first, last) window start whose entropy reaches the bound, as a struct; nulls if none does.
+
+    With c the counts in a window, its entropy is log2(WINDOW) - sum(c log2 c) / WINDOW. From window to window the sum changes by
+    the count of the character that leaves, going down by one, and of the one that enters, going up."""
+    f = [0.0, 0.0] + [c * math.log2(c) for c in range(2, WINDOW + 1)]
+    up, down = (F.array(*(F.lit(f[c + 1] - f[c]) for c in range(WINDOW))), F.array(*(F.lit(f[max(0, c - 1)] - f[c]) for c in range(WINDOW + 1))))
     none = F.lit(None).cast("int")
 
-    def step(a: Column, i: Column) -> Column:
-        # Character i enters; from the 21st on, character i - WINDOW leaves first.
-        gone = F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1))
-        n_gone = F.when(i > WINDOW, F.get(a["counts"], gone)).otherwise(F.lit(0))
-        less = bump(a["counts"], gone, -1)
-        n_new = F.get(less, code(i))
-        total = a["total"] - f(n_gone) + f(n_gone - 1) - f(n_new) + f(n_new + 1)
-        hot = (i >= WINDOW) & (F.round(F.lit(WINDOW * 1.0) * (F.log2(F.lit(WINDOW * 1.0)) - bound) - total, 6) >= 0)
-        return state(bump(less, code(i), 1), total, F.coalesce(a["first"], F.when(hot, i - WINDOW)), F.when(hot, i - WINDOW).otherwise(a["last"]))
+    def scanned(given: Column) -> Column:
+        codes, least = given["codes"], given["least"]
+        count = lambda start, n, c: n - F.size(F.array_remove(F.slice(codes, start, n), c))
+
+        def step(a: Column, i: Column) -> Column:
+            # Character i (from 0) enters; from the 21st on, character i - WINDOW leaves first.
+            gone = F.when(i >= WINDOW, _let(F.get(codes, i - WINDOW), lambda c: count(i - WINDOW + 1, F.lit(WINDOW), c))).otherwise(F.lit(0))
+            held = F.least(i, F.lit(WINDOW - 1))
+            new = _let(F.get(codes, i), lambda c: count(i - held + 1, held, c))
+            change = F.get(down, gone) + F.get(up, new)
+
+            def noted(total: Column) -> Column:
+                hot = (i >= WINDOW - 1) & (total - least < 5e-7)  # sums of rounded logarithms
+                at = i - (WINDOW - 1)
+                return F.struct(total.alias("total"), F.coalesce(a["first"], F.when(hot, at)).alias("first"), F.when(hot, at).otherwise(a["last"]).alias("last"))
+
+            return _let(a["total"] + change, noted)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), F.struct(F.lit(0.0).alias("total"), none.alias("first"), none.alias("last")), step)
 
-    start = state(F.array_repeat(F.lit(0), 128), F.lit(0.0), none, none)
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step)
+    letters = F.transform(F.split(s, ""), lambda c: F.ascii(c))
+    return _let(F.struct(letters.alias("codes"), (F.lit(WINDOW * 1.0) * (F.lit(math.log2(WINDOW)) - bound)).alias("least")), scanned)
+
+
+def _apart(added: Column, base: Column) -> Column:
+    """Those of `added` that overlap no span of `base`: the furthest end of the base spans that start before their end is no later than their start."""
+    bare = F.lit(None).cast("int")
+    item = lambda at, base_end, x: F.struct(at.alias("at"), base_end.alias("base_end"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
+    # At the same place a candidate comes first (null before numbers): a base span that starts at its end is apart.
+    both = F.array_sort(F.concat(F.transform(base, lambda x: item(x["start"], x["end"], x)), F.transform(added, lambda x: item(x["end"], bare, x))), _by_place)
+
+    def kept(xs: Column) -> Column:
+        reach = _running(F.transform(xs, lambda x: x["base_end"]), lambda x, y: F.greatest(x, y))
+        free = lambda r: lambda x, i: x["base_end"].isNull() & (F.coalesce(F.get(r, i), F.lit(0)) <= x["start"])
+        return F.transform(_let(reach, lambda r: F.filter(xs, free(r))), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+
+    return _let(both, kept)
+
+
+def _by_place(x: Column, y: Column) -> Column:
+    rank = lambda v: v["at"] * 2 + F.when(v["base_end"].isNull(), 0).otherwise(1)
+    return (rank(x) - rank(y)).cast("int")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -85,7 +134,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     long_value = lambda x: F.length(F.regexp_extract(x["text"], ASSIGN, 2)) >= 8
     base = F.concat(
-        F.when(t.rlike(ASSIGN[:-2] + "{8,})"), F.filter(_spans(t, ASSIGN, "assign"), long_value)).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int,text:string>>")),
+        F.when(t.rlike(ASSIGN[:-2] + "{8,})"), F.filter(_spans(t, ASSIGN, "assign"), long_value)).otherwise(F.array().cast(_SPAN)),
         _spans(t, ACCESS, "access"),
         _spans(t, HEX, "hex"),
     )
@@ -94,14 +143,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     bounds = F.create_map([x for k, v in BOUNDS.items() for x in (F.lit(k), F.lit(v))])
     suspicious = lambda x: s(x).rlike("[0-9]") & s(x).rlike("[A-Za-z]") & ~s(x).rlike("|".join(f"({p})" for p in ALLOWED))
     candidates = F.filter(_spans(t, CANDIDATE, "candidate"), suspicious)
-    hot = F.filter(
-        F.transform("__candidates", lambda x: F.struct(x["start"].alias("start"), kind(x).alias("kind"), _entropy_extent(s(x), bounds[kind(x)]).alias("extent"))),
-        lambda x: x["extent"]["first"].isNotNull(),
-    )
+    judged = lambda x: _let(kind(x), lambda k: F.struct(x["start"].alias("start"), k.alias("kind"), _entropy_extent(s(x), bounds[k]).alias("extent")))
+    hot = F.filter(F.transform("__candidates", judged), lambda x: x["extent"]["first"].isNotNull())
     added = F.transform(hot, lambda x: F.struct((x["start"] + x["extent"]["first"]).alias("start"), x["kind"].alias("kind"), (x["start"] + x["extent"]["last"] + WINDOW).alias("end")))
-    apart = F.filter(added, lambda x: ~F.exists("base_spans", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     out = docs.withColumn("base_spans", plain(ranked(base))).withColumn("__candidates", candidates)
-    return out.withColumn("spans", F.when(F.size("__candidates") == 0, F.col("base_spans")).otherwise(plain(ranked(F.concat("base_spans", apart))))).drop("__candidates")
+    both = _let(_apart(added, F.col("base_spans")), lambda more: plain(ranked(F.concat("base_spans", more))))
+    return out.withColumn("spans", F.when(F.size("__candidates") == 0, F.col("base_spans")).otherwise(both)).drop("__candidates")
 
 
 def joined(spans: str) -> Column:
@@ -111,10 +158,24 @@ def joined(spans: str) -> Column:
 def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
     """The text with each span replaced by `[kind]`; overlapping spans become one, named by the first."""
     t = F.coalesce(F.col(text), F.lit(""))
-    step = lambda a, x: F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out")))
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(F.col(text)))
+
+    def done(given: Column) -> Column:
+        blocks, spans, reach = given["blocks"], given["spans"], given["reach"]
+        upto = lambda i: F.coalesce(F.get(reach, i), F.lit(0))  # noqa: E731  where the spans up to i end
+
+        def part(a: Column, b: Column) -> Column:
+            first = F.call_function("div", a, F.lit(_BLOCK)).cast("int")
+            some = F.slice(blocks, first + 1, F.call_function("div", b, F.lit(_BLOCK)).cast("int") - first + 1)
+            return F.when(b > a, F.substring(F.array_join(some, ""), a % _BLOCK + 1, b - a)).otherwise("")
+
+        heads = F.filter(F.transform(spans, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda h: h["x"]["start"] >= upto(h["i"] - 1))
+        said = F.transform(heads, lambda h: F.concat(part(upto(h["i"] - 1), h["x"]["start"]), F.lit("["), h["x"]["kind"], F.lit("]")))
+        return F.concat(F.array_join(said, ""), part(upto(F.size(spans) - 1), given["size"]))
+
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    reach = _running(F.transform("spans", lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+    whole = _let(F.struct(blocks.alias("blocks"), F.col("spans").alias("spans"), reach.alias("reach"), F.length(t).alias("size")), done)
+    return scanned.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text)))
 
 
 def digest(docs: DataFrame) -> DataFrame:

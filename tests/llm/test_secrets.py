@@ -1,8 +1,14 @@
 """The secret scan against a plain Python version."""
 
+import base64
 import hashlib
 import math
+import random
 import re
+import time
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from maskloom.llm import secrets
 
@@ -14,7 +20,7 @@ TEXTS = [
 ]
 
 
-def brute(text):
+def found(text):
     t = text or ""
     base = []
     for kind, p in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")):
@@ -34,6 +40,11 @@ def brute(text):
             a, b = m.start() + hot[0], m.start() + hot[-1] + w
             if not any(x < b and a < y for x, _, y in base):
                 more.append((a, secrets.KINDS.index(kind), b))
+    return base, more
+
+
+def brute(text):
+    base, more = found(text)
     say = lambda xs: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(xs))
     return (*[sum(k == i for _, k, _ in base) for i in range(3)], hashlib.sha256(say(base).encode()).hexdigest(), say(base + more))
 
@@ -55,6 +66,42 @@ def test_scan_empty_and_redact(spark):
     assert out == {0: "x [assign]\" y", 1: None, 2: "clean"}
 
 
+def redacted(text):
+    base, more = found(text)
+    out, at = "", 0
+    for a, k, b in sorted(base + more):
+        if a < at:
+            at = max(at, b)
+            continue
+        out += text[at:a] + f"[{secrets.KINDS[k]}]"
+        at = b
+    return out + text[at:]
+
+
+def test_long_runs_and_many_matches(spark):
+    """Time grows with the text: a long run of key characters, and many matches in one text."""
+    rng = random.Random(1)
+    run = base64.b64encode(rng.randbytes(180_000)).decode()
+    texts = [run, "token=abcdefgh12 \u00e9 " * 20_000, ("token=abcdefgh12 " + run[:50] + " q9Zr7Lm2Xc4Vb8Nw1Ks6 ") * 3000, "\U0001f600 " * 600 + "password=abcdefgh1 x " * 3 + "f3a9c1e7b5d2086497ac " * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r.doc_id: tuple(r)[1:] for r in secrets.digest(docs).collect()}
+    assert time.time() - began < 60
+    out = {r.doc_id: r.text for r in secrets.redact(secrets.scan(docs)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t) and out[i] == redacted(t), i
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(["token=", "abcdefgh", "q9Zr7Lm2Xc4V", "b8Nw1Ks6", "0f3a9c1e7b5d2086497ac", "AKIA", "ABCDEFGHIJ12", " ", "=", ":", "-", "'", "\u00e9", "\n"]), max_size=25).map("".join), min_size=20, max_size=40))
+def test_scan_any_text(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.redact(secrets.scan(docs)).collect():
+        assert r.text == redacted(texts[r.doc_id])
+    for r in secrets.digest(docs).collect():
+        assert tuple(r)[1:] == brute(texts[r.doc_id]), texts[r.doc_id]
+
+
 def test_scan_documents_whole(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
