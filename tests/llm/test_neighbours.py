@@ -64,3 +64,49 @@ def test_recall_on_the_table(spark):
         hits.append(len(got[q] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
     print("recall", np.mean(hits))
     assert np.mean(hits) >= 0.9
+
+
+def test_few_candidates_are_all_given(spark):
+    """Fewer candidates than k: all of them, whatever the visits reach."""
+    rng = np.random.default_rng(3)
+    for n, dim in ((15, 64), (30, 8)):
+        rows = [(20 * i if i % 3 == 0 else 20 * i + 1, rng.standard_normal(dim).astype(np.float32).tolist()) for i in range(n)]
+        rows += [(20 * n + 1, (1000 * rng.standard_normal(dim)).astype(np.float32).tolist())]  # one outlier flattens all others
+        got, want = run(spark, rows, k=20), brute(rows, 20)
+        assert {q: len(x) for q, x in got.items()} == {q: min(20, n) for q in want}
+        for q in want if n < 20 else ():
+            assert [v for _, v, _ in got[q]] == [v for _, v in want[q]]
+
+
+def test_repeated_ids_and_other_columns(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], "vec_id long, embedding array<double>, query_id int, score int, chunk int")
+    out = neighbours.digest(df)
+    assert out.columns == ["query_id", "rank", "vec_id", "score"]
+    assert {r.vec_id for r in out.collect()} == {1, 2}
+
+
+def test_visits_come_by_success():
+    """Codes over a bound, found by halves, are those of the full product, likeliest first."""
+    rng = np.random.default_rng(1)
+    m = rng.random((5, neighbours.CELLS))
+    m /= m.sum(1, keepdims=True)
+    full = neighbours._products(m)
+    s = neighbours.Success(m)
+    for reach in (0.1, 0.5, 0.9, 1.0):
+        got = s.visit(reach)
+        order = np.argsort(-full, kind="stable")
+        n = int(np.searchsorted(np.cumsum(full[order]), reach - 1e-9)) + 1
+        assert len(set(got.tolist())) == len(got) and abs(len(got) - n) <= 1
+        assert np.allclose(full[got], full[order[: len(got)]])
+    from math import erf
+
+    z = np.linspace(-6, 6, 99)
+    assert np.allclose(neighbours.normal_cdf(z), [0.5 * (1 + erf(x / 2**0.5)) for x in z], atol=1e-6)
+
+
+def test_blocks_and_chunks(spark):
+    """Small blocks and chunks give the same rows: candidates meet every chunk of the queries that visit their block."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-99, 99, 8).astype(float).tolist()) for i in range(600)]
+    assert run(spark, rows, k=5) == run(spark, rows, k=5, block=100, chunk=7)
