@@ -6,9 +6,10 @@ exact piece in a text; each hit says where the item would lie. Places of one ite
 item's runs of three characters for the budget (each edit breaks three) are dropped, the others verified with Myers'
 bit-parallel distance, for many places at once in numpy words of 64 bits; the text before an end is read backwards for the start.
 
-The items go to the tasks in groups of at most `group` items (a documented bound), one pass over the documents for each; documents are not shuffled.
+The items go to the tasks in groups of at most `group` items (a documented bound), one pass over the documents for each; a group is sent
+once and made ready once in each Python worker; documents are not shuffled.
 
-Defined cases: null or empty texts and items match nothing; an item of fewer than `shortest` normal characters has no error budget and
+Defined cases: null or empty texts and items match nothing; an item too short for any edit (fewer than 1 / rate normal characters)
 must stand as whole words; very long texts are read whole; equal items are found each; repeated rows are searched each; empty tables give
 no rows; other columns are not read.
 
@@ -16,6 +17,7 @@ The result is one row per document and item found: doc_id, item_id, start and en
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import tidy
+from maskloom.llm.shared import tidy, written
 from maskloom.llm.words import normal
 
 SCHEMA = "doc_id long, item_id long, start int, end int, distance int"
@@ -38,33 +40,43 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
 
 def _threes(coded: np.ndarray) -> np.ndarray:
     """Hashed runs of three characters, 0 to 2047."""
-    c = coded.astype(np.int64)
+    c = coded
     return (c[:-2] * 961 + c[1:-1] * 37 + c[2:]) * 0x9E3779B1 >> 7 & 2047
 
 
 class Patterns:
-    """Bit masks of many items by character, in 64-bit words; characters that no item has share number 0."""
+    """Bit masks of many items by character, in 64-bit words: one row for each character that an item has, so memory follows the items' lengths."""
 
     def __init__(self, texts: list[str]):
-        letters = sorted({ord(c) for t in texts for c in t})
-        self.table = np.zeros(0x110000, np.uint16 if len(letters) < 65535 else np.uint32)
-        self.table[letters] = np.arange(1, len(letters) + 1)
-        self.size = len(letters) + 1
+        coded = [self.coded(t) for t in texts]
         self.m = np.array([len(t) for t in texts], np.int64)
         self.words = (self.m + 63) // 64
-        # One block of `size` rows for each item, by its number of words.
-        self.threes = [_threes(self.coded(t)) for t in texts]
-        self.place, self.masks = np.zeros(len(texts), np.int64), {}
+        self.threes = [_threes(c) for c in coded]
+        owner = np.repeat(np.arange(len(texts)), self.m)
+        #: Pairs of item and character, in order; `row` is a pair's row among the masks of its item's number of words (row 0: no bit).
+        self.pairs, back = np.unique(self._pair(owner, np.concatenate([*coded, np.zeros(0, np.int64)])), return_inverse=True)
+        own_words, self.row, self.masks = self.words[self.pairs >> 21], np.zeros(len(self.pairs), np.int64), {}
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(self.m) - self.m, self.m)
         for w in np.unique(self.words).tolist():
-            own = np.flatnonzero(self.words == w)
-            self.masks[w] = np.zeros((len(own) * self.size, w), np.uint64)
-            self.place[own] = np.arange(len(own)) * self.size
-            for i in own.tolist():
-                for j, c in enumerate(self.coded(texts[i]).tolist()):
-                    self.masks[w][self.place[i] + c, j // 64] |= np.uint64(1 << (j % 64))
-
-    def coded(self, text: str) -> np.ndarray:
-        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            own = np.flatnonzero(own_words == w)
+            self.row[own] = np.arange(1, len(own) + 1)
+            self.masks[w] = np.zeros((len(own) + 1, w), np.uint64)
+            at = np.flatnonzero(self.words[owner] == w)
+            np.bitwise_or.at(self.masks[w], (self.row[back[at]], place[at] // 64), np.uint64(1) << (place[at] % 64).astype(np.uint64))
+
+    @staticmethod
+    def _pair(item: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return (item.astype(np.int64) << 21) | code
+
+    @staticmethod
+    def coded(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+    def rows_of(self, items: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The mask rows of characters for the items that they are held against."""
+        wanted = self._pair(items, codes)
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.row[at], 0)
 
     def possible(self, items: np.ndarray, texts: list[np.ndarray], budgets: np.ndarray) -> np.ndarray:
         """Whether a text has enough of the item's runs of three characters: each edit breaks three at most."""
@@ -96,9 +108,8 @@ class Patterns:
 
     def _lanes(self, w: int, items: np.ndarray, texts: list[np.ndarray], sizes: np.ndarray, anchored: bool) -> tuple[np.ndarray, np.ndarray]:
         n, longest = len(items), int(sizes.max())
-        codes = np.zeros((n, longest), np.int64)
-        codes[np.repeat(np.arange(n), sizes), np.concatenate([np.arange(k) for k in sizes.tolist()])] = np.concatenate(texts)
-        codes = np.ascontiguousarray((codes + self.place[items][:, None]).T)
+        codes, lane = np.zeros((longest, n), np.int64), np.repeat(np.arange(n), sizes)
+        codes[np.concatenate([np.arange(k) for k in sizes.tolist()]), lane] = self.rows_of(items[lane], np.concatenate(texts))
         one, top = np.uint64(1), np.uint64(63)
         last = ((self.m[items] - 1) % 64).astype(np.uint64)
         pv, mv = np.full((w, n), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((w, n), np.uint64)
@@ -128,7 +139,7 @@ class Patterns:
 class Matcher:
     """Finds a group of items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, shortest: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
         self.items: list[tuple[int, str, int]] = []
@@ -137,9 +148,9 @@ class Matcher:
             text = normal(text)
             if not text:
                 continue
-            budget = int(rate * len(text)) if len(text) >= shortest else 0
+            budget = int(rate * len(text))
             number = len(self.items)
-            self.items.append((item_id, text, budget if len(text) >= shortest else -1))
+            self.items.append((item_id, text, budget))
             for at, piece in pieces(text, budget):
                 table.setdefault(piece, []).append((number, at))
         self.automaton = ahocorasick.Automaton()
@@ -164,7 +175,7 @@ class Matcher:
             coded = self.forth.coded(text) if places else None
             for number, starts in places.items():
                 _, item, budget = self.items[number]
-                if budget < 0:
+                if not budget:
                     whole = [s for s in starts if (s == 0 or text[s - 1] == " ") and text[s + len(item) : s + len(item) + 1] in ("", " ")]
                     if whole:
                         out[i, number] = (0, min(whole), min(whole) + len(item))
@@ -195,24 +206,40 @@ class Matcher:
         return [(i, self.items[number][0], s, e, d) for (i, number), (d, s, e) in sorted(out.items())]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, shortest: int = 40, group: int = 20_000) -> DataFrame:
+_READY: dict[str, Matcher] = {}
+
+
+def ready(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
+    """The matcher of a group of items, made once in each Python worker; only the last group is kept."""
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = Matcher(items, rate)
+    return _READY[name]
+
+
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, group: int = 20_000) -> DataFrame:
     """All (document, item) with the item within its error budget (columns of SCHEMA)."""
     items = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null")
     groups = max(1, -(-items.count() // group))
     texts = docs.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
     parts = []
     for g in range(groups):
-        chosen = [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).collect()]
+        name = uuid.uuid4().hex
+        chosen = docs.sparkSession.sparkContext.broadcast([(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).collect()])
 
-        def run(batches: Iterator[pd.DataFrame], chosen: list = chosen) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(chosen, rate, shortest)
+        def run(batches: Iterator[pd.DataFrame], name: str = name, chosen=chosen) -> Iterator[pd.DataFrame]:
+            matcher = ready(name, chosen.value, rate)
             for b in batches:
                 ids, texts_ = b["id"].to_numpy(), b["text"]
                 found = [(lo + i, *rest) for lo in range(0, len(b), 2500) for i, *rest in matcher.find(texts_.iloc[lo : lo + 2500].tolist())]
                 yield pd.DataFrame([(int(ids[i]), item, s, e, d) for i, item, s, e, d in found], columns=["doc_id", "item_id", "start", "end", "distance"])
             tidy()
 
-        parts.append(texts.mapInPandas(run, SCHEMA))
+        part = texts.mapInPandas(run, SCHEMA)
+        if groups > 1:  # group by group: the driver holds one at a time
+            part = written(part, "contaminated")
+            chosen.destroy()
+        parts.append(part)
     return reduce(DataFrame.unionByName, parts)
 
 

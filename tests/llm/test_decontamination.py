@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from maskloom.llm import decontamination as d
 from maskloom.llm.words import normal
 
@@ -64,3 +66,33 @@ def test_groups_and_empty(spark):
     all_at_once = sorted(map(tuple, d.contaminated(docs, bench).collect()))
     assert sorted(map(tuple, d.contaminated(docs, bench, group=1).collect())) == all_at_once
     assert d.contaminated(docs.limit(0), bench).collect() == [] == d.contaminated(docs, bench.limit(0)).collect()
+
+
+def test_short_items_have_their_budget_as_well(spark):
+    """Items of 10 to 39 characters: a tenth of their characters, as for long ones."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeж") for _ in range(rng.randrange(2, 6)))
+    items = []
+    while len(items) < 40:
+        t = " ".join(word() for _ in range(rng.randrange(3, 9)))
+        if 10 <= len(t) < 40:
+            items.append((len(items), t))
+    items.append((40, "which planet is the very largest one"))
+    docs = [(k, " ".join(word() for _ in range(15)) + " " + edited(items[k % 41][1], rng.randrange(0, 5), rng) + " " + " ".join(word() for _ in range(15))) for k in range(160)]
+    docs.append((160, "say which planet is the very largesd one of all"))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.distance for r in d.contaminated(df, bench).collect()}
+    assert found[160, 40] == 1
+    for i, t in docs:
+        for item_id, item in items:
+            best = least_distance(normal(item), normal(t))
+            assert found.get((i, item_id), 99) == (best if best <= int(0.1 * len(normal(item))) else 99)
+
+
+def test_masks_follow_the_letters_of_each_item():
+    """Items in a large alphabet: a row for each of an item's own characters, not for each character of all items."""
+    items = ["".join(chr(0x4E00 + (97 * i + j) % 20000) for j in range(80)) for i in range(1000)]
+    p = d.Patterns(items)
+    assert sum(m.nbytes for m in p.masks.values()) <= 1001 * 80 * 2 * 8
+    best, end = p.best_ends(np.arange(3), [p.coded("x" + items[0]), p.coded(items[1][:-1]), p.coded(items[1])])
+    assert best.tolist() == [0, 1, 80] and end[0] == 81
