@@ -1,14 +1,19 @@
 """Near-duplicates by consistent weighted sampling over TF-IDF word shingles.
 
 A text's shingles are runs of five normal words (of a shorter text: all its words), hashed to 32 bits; a shingle's weight is its
-count in the text times 1 + 0.1 ln(N / df) / ln N. Document frequencies are summed over all documents in 2^20 hashed cells, so the
-table that goes to the tasks is bounded. Improved consistent weighted sampling draws `bands` * `rows` samples whose agreement is
+count in the text times 1 + ln(N / df). Document frequencies count a family of copies once, so that the shingles of a large group of near
+copies do not lose their weight with the group's size: a document's family is its smallest hashed pair of neighbouring words, which near copies
+nearly always share, and df is the number of families with the shingle. It is held as distinct-count registers (16 of 8 bits) in CELLS hashed cells over
+all documents, so the table that goes to the tasks is bounded; repeats change nothing, so it is the same however the rows are dealt. In a large corpus
+a cell holds many rare shingles: twice the median of the cells is taken off, and frequencies below that count as 1.
+
+Improved consistent weighted sampling draws `bands` * `rows` samples whose agreement is
 the weighted Jaccard similarity; random numbers come from tables indexed by a hash of shingle and sample.
 Texts that agree in all samples of a band meet in a bucket and are verified by their exact weighted Jaccard similarity.
 
 1. Texts with the same normal words form a class at once; only its smallest key goes on.
 2. Buckets of the same members are kept once. Small ones are compared within a task, each text only with those it
-   is not yet linked to. Buckets over `chunk` members are split: chunks are compared within; then the best linked texts of all
+   is not yet linked to. Buckets over `chunk` members or `chunk_words` words are split: chunks are compared within; then the best linked texts of all
    chunks visit each chunk; last, every member that is still apart from its bucket's largest component visits all chunks. So every
    candidate pair is either compared or already in one class, and no task holds more than `chunk` residents and one chunk of visitors.
 3. Components of the links by contraction with joins.
@@ -32,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import tidy, written
+from maskloom.llm.shared import discard, tidy, written
 from maskloom.llm.words import hashed_words
 
-CELLS = 1 << 20
-_BLOCK = 1 << 14
+CELLS, REGISTERS = 1 << 20, 16
+_BLOCK = 1 << 18
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
@@ -58,49 +63,75 @@ def _distinct(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.diff(np.r_[first, len(s)])
 
 
-def summed_cells(parts: DataFrame, spark) -> np.ndarray:
-    """Sum of partial cell tables (`part` long, `block` int, `n` binary of 64-bit counts) as one array of CELLS counts.
+def merged_cells(parts: DataFrame, registers: int) -> np.ndarray:
+    """The greatest of partial cell tables (`part` long, `block` int, `n` binary of one byte a place), as an array of registers x CELLS.
 
     Partial tables are merged 32 at a time, so a task's group is bounded."""
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [int(g["part"].iloc[0]) // 32], "block": [int(g["block"].iloc[0])], "n": [np.sum([np.frombuffer(x, "<i8") for x in g["n"]], axis=0).tobytes()]})
+        return pd.DataFrame({"part": [int(g["part"].iloc[0]) // 32], "block": [int(g["block"].iloc[0])], "n": [np.max([np.frombuffer(x, np.uint8) for x in g["n"]], axis=0).tobytes()]})
 
     while True:
         parts = written(parts, "cells")
         most = parts.agg(F.max("part")).first()[0]
         if not most:
             break
-        parts = parts.groupBy(F.expr("part div 32").alias("g"), "block").applyInPandas(merge, "part long, block int, n binary")
-    out = np.zeros(CELLS, np.int64)
-    for r in parts.collect():  # 64 rows
-        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] += np.frombuffer(r["n"], "<i8")
-    return out
+        last, parts = parts, written(parts.groupBy(F.expr("part div 32").alias("g"), "block").applyInPandas(merge, "part long, block int, n binary"), "cells")
+        discard(last)
+    out = np.zeros(registers * CELLS, np.uint8)
+    for r in parts.collect():  # registers * CELLS bytes in all
+        own = out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK]
+        np.maximum(own, np.frombuffer(r["n"], np.uint8), out=own)
+    discard(parts)
+    return out.reshape(registers, CELLS)
 
 
-def _emit_cells(cells: np.ndarray) -> pa.RecordBatch:
+def _emit_cells(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    n = CELLS // _BLOCK
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, TaskContext.get().partitionId(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array([x.tobytes() for x in cells.reshape(n, _BLOCK)], pa.binary())], ["part", "block", "n"])
+    for block, x in enumerate(cells.reshape(-1, _BLOCK)):
+        if x.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "block", "n"])
+
+
+def family(words: np.ndarray) -> int:
+    """The smallest 64-bit hash of two neighbouring words (of a single word: its own)."""
+    x = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] if len(words) > 1 else words
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return int(x.min())
+
+
+def family_counts(registers: np.ndarray) -> np.ndarray:
+    """Numbers of distinct families by cell: harmonic mean of the registers, by empty registers while there are some."""
+    m = len(registers)
+    mean = m / np.sum(np.exp2(-registers.astype(np.float32)), axis=0)
+    empty = (registers == 0).sum(0)
+    few = m * np.log(m / np.maximum(empty, 1))
+    return np.where(empty > 0, few, 0.673 * m * mean)
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
+    """Number of families of copies by cell of the shingle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        held = np.zeros((REGISTERS, CELLS), np.uint8)
         for b in batches:
-            held = [np.unique(shingles(w) & np.uint32(CELLS - 1)) for w in hashed_words(b.column(0))]
-            cells += np.bincount(np.concatenate(held), minlength=CELLS) if held else 0
-        yield _emit_cells(cells)
+            for w in hashed_words(b.column(0)):
+                if len(w):
+                    f = family(w) & 0xFFFFFFFFFFFFF
+                    own, cells = held[f % REGISTERS], shingles(w) & np.uint32(CELLS - 1)
+                    own[cells] = np.maximum(own[cells], 49 - (f // REGISTERS).bit_length())
+        yield from _emit_cells(held)
         tidy()
 
-    return summed_cells(texts.select("text").mapInArrow(run, "part long, block int, n binary"), texts.sparkSession)
+    counts = family_counts(merged_cells(texts.select("text").mapInArrow(run, "part long, block int, n binary"), REGISTERS))
+    return np.maximum(1, counts - 2 * np.median(counts))
 
 
 def weight_table(df: np.ndarray, total: int) -> np.ndarray:
     """ln of a single shingle's weight, by cell."""
-    n = max(2, total)
-    return np.log(1 + 0.1 * np.clip(np.log(n / np.maximum(1, df)), 0, None) / np.log(n)).astype(np.float32)
+    return np.log(1 + np.clip(np.log(max(1, total) / np.maximum(1, df)), 0, None)).astype(np.float32)
 
 
 @lru_cache(maxsize=1)
@@ -131,7 +162,7 @@ def samples(s: np.ndarray, log_w: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, log_weights: np.ndarray, bands: int, rows: int) -> DataFrame:
-    """doc_id, content (16 bytes; null without words) and one 64-bit key per band."""
+    """doc_id, content (16 bytes; null without words), number of words and one 64-bit key per band."""
     seeds = np.random.default_rng(5).integers(0, 1 << 63, bands * rows, dtype=np.int64).astype(np.uint64)
     table = texts.sparkSession.sparkContext.broadcast(log_weights)
 
@@ -139,8 +170,9 @@ def signatures(texts: DataFrame, log_weights: np.ndarray, bands: int, rows: int)
         import xxhash
 
         for b in batches:
-            contents, keys = [], []
+            contents, sizes, keys = [], [], []
             for words in hashed_words(b.column(1)):
+                sizes.append(len(words))
                 if not len(words):
                     contents.append(None), keys.append(None)
                     continue
@@ -151,10 +183,10 @@ def signatures(texts: DataFrame, log_weights: np.ndarray, bands: int, rows: int)
                     key = (key ^ got[:, j]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(31)
                 contents.append(xxhash.xxh128_digest(words.tobytes())), keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "content", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "content", "words", "keys"])
         tidy()
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary, keys array<long>")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary, words long, keys array<long>")
 
 
 def vectors(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -241,18 +273,21 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("a <> b").distinct(), "edges")
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("label"), F.least("a", "m").alias("up"))
-        step = written(step, "step")
+        first = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("label"), F.least("a", "m").alias("up")), "step")
+        step = first
         for _ in range(2):  # pointer jumping
             step = step.join(step.select(F.col("label").alias("up"), F.col("up").alias("top")), "up", "left").select("label", F.coalesce("top", "up").alias("up"))
         step = written(step, "step")
-        labels = written(labels.join(step, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
         a, b = step.select(F.col("label").alias("a"), F.col("up").alias("x")), step.select(F.col("label").alias("b"), F.col("up").alias("y"))
+        old = (labels, edges, first, step)
+        labels = written(labels.join(step, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
         edges = written(edges.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), "edges")
+        discard(*old)
+    discard(edges)
     return labels
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 10, rows: int = 3, chunk: int = 512, hubs: int = 8) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 10, rows: int = 3, chunk: int = 512, chunk_words: int = 4_000_000, lot_words: int = 8_000_000, hubs: int = 8) -> DataFrame:
     """doc_id and class_id of every document."""
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
@@ -261,24 +296,25 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     signed = written(signatures(texts, log_weights, bands, rows), "signatures")
 
     # Repeated keys: one document, without words only if all its texts are; equal contents: one class.
-    every = signed.groupBy("doc_id").agg(F.max(F.struct("content", "keys")).alias("x")).select("doc_id", "x.content", "x.keys")
+    every = signed.groupBy("doc_id").agg(F.max(F.struct("content", "words", "keys")).alias("x")).select("doc_id", "x.content", "x.words", "x.keys")
     own_class, one = every.where("content is null").select("doc_id", F.col("doc_id").alias("rep")), every.where("content is not null")
-    reps = written(one.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")), "reps")
+    reps = written(one.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min("words").alias("words"), F.min("keys").alias("keys")), "reps")
     member = one.select("doc_id", "content").join(reps.select("content", "rep"), "content").select("doc_id", "rep")
 
-    banded = reps.select("rep", F.posexplode("keys").alias("band", "bucket"))
-    sizes = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(rep, 1))").alias("y")).where("n > 1")
-    kept = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket", "n")
-    buckets = written(
-        banded.join(kept, ["band", "bucket"]).select(F.xxhash64("band", "bucket").alias("bucket"), "rep", "n", F.expr(f"cast(pmod(xxhash64(rep, 2), ceil(n / {chunk})) as int)").alias("chunk")), "buckets")
+    banded = reps.select("rep", "words", F.posexplode("keys").alias("band", "bucket"))
+    sizes = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(rep, 1))").alias("y"), F.sum("words").alias("all_words")).where("n > 1")
+    chunks = F.expr(f"greatest(ceil(n / {chunk}), ceil(all_words / {chunk_words}))")
+    kept = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket", "all_words")).alias("k")).select("k.band", "k.bucket", "n", "k.all_words").select("band", "bucket", chunks.alias("chunks"))
+    placed_in = banded.join(kept, ["band", "bucket"])
+    buckets = written(placed_in.select(F.xxhash64("band", "bucket").alias("bucket"), "rep", "words", "chunks", F.expr("cast(pmod(xxhash64(rep, 2), chunks) as int)").alias("chunk")), "buckets")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint8)
         for b in batches:
-            np.add.at(cells, b.column(0).to_numpy(), 1)
-        yield _emit_cells(cells)
+            cells[b.column(0).to_numpy()] = 1
+        yield from _emit_cells(cells)
 
-    wanted = summed_cells(buckets.select(F.pmod(F.xxhash64("rep"), F.lit(CELLS)).alias("cell")).mapInArrow(mark, "part long, block int, n binary"), spark)
+    wanted = merged_cells(buckets.select(F.pmod(F.xxhash64("rep"), F.lit(CELLS)).alias("cell")).mapInArrow(mark, "part long, block int, n binary"), 1)[0]
     made = written(vectors(texts, wanted).groupBy("doc_id").agg(F.max(F.struct("content", "shingles")).alias("x")).select(F.col("doc_id").alias("rep"), "x.shingles"), "vectors")
     table = spark.sparkContext.broadcast(log_weights)
 
@@ -292,30 +328,36 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
             out.append((at, at[[v.root(i) for i in range(len(at))]], v.degree))
         at, to, degree = (np.concatenate(x) for x in zip(*out))
         rep = g["rep"].to_numpy()
-        return pd.DataFrame({"bucket": g["bucket"].to_numpy()[at], "n": g["n"].to_numpy()[at], "chunk": g["chunk"].to_numpy()[at], "a": rep[at], "b": rep[to], "degree": degree})
+        return pd.DataFrame({"bucket": g["bucket"].to_numpy()[at], "chunks": g["chunks"].to_numpy()[at], "chunk": g["chunk"].to_numpy()[at], "a": rep[at], "b": rep[to], "degree": degree})
 
-    lots = max(1, buckets.count() // 4096)
+    members, words = buckets.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    lots = max(1, members // 4096, words // lot_words)
     lotted = buckets.withColumn("lot", F.pmod(F.xxhash64("bucket", "chunk"), F.lit(lots))).join(made, "rep")
-    linked = written(lotted.groupBy("lot").applyInPandas(link, "bucket long, n long, chunk int, a long, b long, degree long"), "linked")
+    linked = written(lotted.groupBy("lot").applyInPandas(link, "bucket long, chunks long, chunk int, a long, b long, degree long"), "linked")
     links = linked.select("a", "b").where("a <> b")
-    large = written(linked.where(f"n > {chunk}"), "large")
+    large = written(linked.where("chunks > 1"), "large")
+    spent = [buckets, made, linked, large]
     if large.limit(1).count():
         best = Window.partitionBy("bucket", "chunk").orderBy(F.desc("degree"), "a")
         guests = large.withColumn("k", F.row_number().over(best)).where(F.col("k") <= hubs).select("bucket", "a")
         links = written(links.unionByName(_visits(large, guests, made, table, least, chunk)), "links")
+        spent.append(links)
         # Exactly the rest: members outside the bucket's largest component visit every chunk.
         label = components(links)
-        placed = written(large.join(label.withColumnRenamed("node", "a"), "a", "left").select("bucket", "chunk", "n", "a", F.coalesce("label", "a").alias("label")), "placed")
+        placed = written(large.join(label.withColumnRenamed("node", "a"), "a", "left").select("bucket", "chunk", "a", F.coalesce("label", "a").alias("label")), "placed")
+        spent += [placed, label]
         most = placed.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("x")).select("bucket", F.col("x.label").alias("main"))
         apart = placed.join(most, "bucket").where("label <> main").select("bucket", "a")
         links = written(links.unionByName(_visits(placed.withColumn("b", F.col("label")), apart, made, table, least, chunk)), "links")
+        spent.append(links)
     label = components(links)
+    discard(*spent)
     named = member.unionByName(own_class).join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.coalesce("label", "rep").alias("class_id"))
 
 
 def _visits(large: DataFrame, guests: DataFrame, made: DataFrame, table, least: float, chunk: int) -> DataFrame:
-    """Links (a, b) of guests (bucket, a) with the residents of all chunks of their bucket; residents come as (bucket, chunk, n, a, b), linked to b already."""
+    """Links (a, b) of guests (bucket, a) with the residents of all chunks of their bucket; residents come as (bucket, chunk, a, b), linked to b already."""
     tours = guests.withColumn("tour", F.expr(f"cast(pmod(xxhash64(a, 3), greatest(1, ceil(count(*) over (partition by bucket) / {chunk}))) as int)"))
     each = large.select("bucket", "chunk").distinct()
     tour = tours.select("bucket", "tour").distinct()
@@ -338,12 +380,6 @@ def _visits(large: DataFrame, guests: DataFrame, made: DataFrame, table, least:
     return here.unionByName(there).join(made.withColumnRenamed("rep", "a"), "a").groupBy("bucket", "chunk", "tour").applyInPandas(meet, "a long, b long")
 
 
-def keep_one(docs: DataFrame, named: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose key stands for its class; rows that share such a key all stay, rows with a null key go."""
-    stay = named.where("doc_id = class_id").select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, docs[key] == stay["__stay"], "left_semi")
-
-
 def unique_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """One row of each class of near-duplicate rows: that of the smallest key, null last, then of the smallest hash of its text.
 

@@ -83,8 +83,7 @@ def test_defined_cases(spark):
     df = frame(spark, [(1, None), (2, ""), (5, "a b c"), (3, "A B, C"), (None, "a b c")])
     assert {r.doc_id: r.class_id for r in nd.classes(df).collect()} == {1: 1, 2: 2, 3: 3, 5: 3}
     assert nd.classes(df.limit(0)).collect() == []
-    named = nd.classes(df)
-    assert {r.doc_id for r in nd.keep_one(df, named).collect()} == {1, 2, 3}
+    assert [(r.doc_id, r.text) for r in nd.unique_rows(df).orderBy("doc_id").collect()] == [(1, None), (2, ""), (3, "A B, C")]
 
 
 def test_samples_agree_as_often_as_the_similarity():
@@ -139,3 +138,54 @@ def test_a_key_with_several_texts_has_one_of_them(spark):
             own[i] = max(own.get(i, (b"", "")), (xxhash.xxh128_digest(w.tobytes()) if len(w) else b"", t))
         want = brute([(i, t) for i, (_, t) in own.items()], weights(spark, df))
         assert got == want
+
+
+def test_frequencies_count_a_family_of_copies_once(spark):
+    """A large group of near copies leaves its shingles nearly the weight of rare ones; a line that unrelated documents share loses it."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, line = [word() for _ in range(200)], [word() for _ in range(12)]
+    rows = []
+    for i in range(600):
+        t = list(base)
+        t[rng.randrange(200)] = word()
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, " ".join([word() for _ in range(60)] + line + [word() for _ in range(60)])) for i in range(600)]
+    df = frame(spark, rows)
+    counts = nd.document_frequencies(df)
+    hashes = lambda words: nd.shingles(next(hashed_words(pa.array([" ".join(words)])))) & np.uint32(nd.CELLS - 1)
+    assert np.median(counts[hashes(base)]) < 60  # of 600 copies
+    assert 350 < np.median(counts[hashes(line)]) < 1000  # of 600 unrelated documents
+    assert np.median(counts[hashes(rows[900][1].split()[:60])]) < 2
+    assert (nd.document_frequencies(df.repartition(11)) == counts).all()
+    got = {r.doc_id: r.class_id for r in nd.classes(df).collect()}
+    assert {got[i] for i in range(600)} == {0} and all(got[i] == i for i in range(1000, 1600))
+
+
+def test_recall_of_near_copies(spark):
+    """On the given documents: of all pairs at or over the similarity (brute force), at least 0.99 lie in one class, and each class hangs together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    want = brute_classes(rows, weights(spark, docs.select("doc_id", "text")))
+    linked = [(i, j) for i, j in want if got[i] == got[j]]
+    print("links", len(want), "found", len(linked))
+    assert len(want) > 50 and len(linked) >= 0.99 * len(want)
+
+
+def brute_classes(rows, log_weights, least=0.8):
+    """All pairs of documents whose weighted Jaccard similarity is `least` or more, through the shingles that they share."""
+    vec, by_shingle = {}, {}
+    for i, t in rows:
+        s, n = nd._distinct(nd.shingles(next(hashed_words(pa.array([t])))))
+        vec[i] = dict(zip(s.tolist(), (n * np.exp(log_weights[s & np.uint32(nd.CELLS - 1)])).tolist()))
+        for x in vec[i]:
+            by_shingle.setdefault(x, []).append(i)
+    pairs = {(i, j) for own in by_shingle.values() for k, i in enumerate(own) for j in own[k + 1 :]}
+    out = []
+    for i, j in pairs:
+        a, b = vec[i], vec[j]
+        both = sum(min(w, b[s]) for s, w in a.items() if s in b)
+        if both / (sum(a.values()) + sum(b.values()) - both) >= least:
+            out.append((i, j))
+    return out
