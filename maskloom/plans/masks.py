@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskloom.operators import masks as M
-from maskloom.plans.base import query, rounded
+from maskloom.plans.base import ORACLE_SQL, query, rounded
 from maskloom.plans.views import VOXELS, table, voxels
 
 SHAPE = {"z": 8, "y": 64, "x": 64}
@@ -16,38 +16,45 @@ def split_labels(spark, sf):
     return voxels(spark, sf).groupBy("label").agg(F.count("*").alias("voxels"), F.countDistinct("case_id").alias("cases"))
 
 
-# Components by spreading the smallest place within each mask until nothing changes.
-_PARTS = """v AS (SELECT case_id, label, z, y, x, (z * 64 + y) * 64 + x AS p FROM voxels WHERE case_id < 4 AND y < 12),
-  edges AS (SELECT a.case_id, a.label, a.p AS p, b.p AS q FROM v a JOIN v b ON a.case_id = b.case_id AND a.label = b.label AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
-  reach AS (SELECT case_id, label, p, q FROM edges UNION SELECT r.case_id, r.label, r.p, e.q FROM reach r JOIN edges e ON r.case_id = e.case_id AND r.label = e.label AND r.q = e.p),
-  root AS (SELECT case_id, label, p, min(q) AS root FROM reach GROUP BY 1, 2, 3),
-  sized AS (SELECT case_id, label, root, count(*) AS voxels, row_number() OVER (PARTITION BY case_id, label ORDER BY count(*) DESC, root) AS component FROM root GROUP BY 1, 2, 3),
-  parts AS (SELECT v.case_id, v.label, v.z, v.y, v.x, CAST(component AS INT) AS component FROM v JOIN root USING (case_id, label, p) JOIN sized USING (case_id, label, root))"""
-_RP = f"WITH RECURSIVE {VOXELS}, {_PARTS}"
+def _moves(axes: str) -> str:
+    """All steps to the same or a touching place, a column for each axis."""
+    return "SELECT * FROM " + " CROSS JOIN ".join(f"(SELECT unnest([-1, 0, 1]) AS d{a})" for a in axes)
 
 
-def _parts(spark, sf):
-    return M.connected_components(voxels(spark, sf).where("case_id < 4 and y < 12"), ["case_id", "label"])
+def components_sql(name: str, source: str, keys: str, axes: str) -> str:
+    """SQL of the components of `source` by `keys`: pairs that touch meet on equal places, and what can be reached from a voxel has one smallest place.
 
+    Voxels that touch no other are components of their own and stay out of the recursion."""
+    place = {"zyx": "(z * 64 + y) * 64 + x", "yx": "y * 64 + x"}[axes]
+    step = " AND ".join(f"w.{a} = v.{a} + m.d{a}" for a in axes)
+    same = " AND ".join(f"w.{k.strip()} = v.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"r.{k.strip()}" for k in keys.split(","))
+    to = " AND ".join(f"r.{k.strip()} = e.{k.strip()}" for k in keys.split(","))
+    return f"""{name}_v AS MATERIALIZED (SELECT DISTINCT {keys}, {", ".join(axes)}, {place} AS p FROM {source}),
+  {name}_e AS MATERIALIZED (SELECT {", ".join("v." + k.strip() for k in keys.split(","))}, v.p AS p, w.p AS q FROM {name}_v v CROSS JOIN ({_moves(axes)}) m JOIN {name}_v w ON {same} AND {step} WHERE v.p <> w.p),
+  {name}_r AS (SELECT {keys}, p, q FROM {name}_e UNION SELECT {own}, r.p, e.q FROM {name}_r r JOIN {name}_e e ON {to} AND r.q = e.p),
+  {name}_root AS (SELECT {keys}, p, min(least(p, q)) AS root FROM {name}_r GROUP BY {keys}, p),
+  {name}_all AS MATERIALIZED (SELECT v.*, coalesce(t.root, v.p) AS root FROM {name}_v v LEFT JOIN {name}_root t USING ({keys}, p)),
+  {name}_n AS (SELECT {keys}, root, count(*) AS voxels, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, root) AS component FROM {name}_all GROUP BY {keys}, root),
+  {name} AS (SELECT {keys}, {", ".join(axes)}, CAST(component AS INT) AS component FROM {name}_all JOIN {name}_n USING ({keys}, root))"""
 
-def _all_parts(spark, sf):
-    return M.connected_components(voxels(spark, sf), ["case_id", "label"])
 
+_PARTS = components_sql("parts", "voxels", "case_id, label", "zyx")
+_RP = f"WITH RECURSIVE {VOXELS}, {_PARTS}"
 
-@query(f"{_RP} SELECT * FROM parts", name="connected_components_fixture")
-def connected_components_fixture(spark, sf):
-    return _parts(spark, sf)
+
+def _all_parts(spark, sf):
+    return M.connected_components(voxels(spark, sf), ["case_id", "label"])
 
 
-@query()
+@query(f"{_RP} SELECT * FROM parts")
 def connected_components(spark, sf):
     return _all_parts(spark, sf)
 
 
-@query(f"WITH {VOXELS} SELECT case_id, label, count(*) AS voxels FROM voxels GROUP BY 1, 2")
+@query(f"{_RP} SELECT case_id, label, component, count(*) AS voxels FROM parts GROUP BY 1, 2, 3")
 def component_sizes(spark, sf):
-    # Over all components of a mask the sizes add up to its voxels; tests hold the sizes themselves against brute force.
-    return M.component_sizes(_all_parts(spark, sf), ["case_id", "label"]).groupBy("case_id", "label").agg(F.sum("voxels").alias("voxels"))
+    return M.component_sizes(_all_parts(spark, sf), ["case_id", "label"])
 
 
 @query(f"WITH {VOXELS} SELECT case_id, z AS slice, count(*) AS area FROM voxels GROUP BY 1, 2")
@@ -70,25 +77,25 @@ def hi_axis(spark, sf):
     return p.select("p_partkey", M.hi_axis([F.col("p_size"), F.col("p_partkey") % 40 + 1, F.col("p_partkey") % 23 + 1]).alias("hi_axis"))
 
 
-_BOX = "b AS (SELECT case_id, label, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM voxels WHERE x < 50 GROUP BY 1, 2)"
+_BOX = "b AS (SELECT case_id, label, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM voxels GROUP BY 1, 2)"
 
 
 @query(f"WITH {VOXELS}, {_BOX} SELECT *, (z1 - z0) * (y1 - y0) * (x1 - x0) <= 0.75 * 32768 AS is_significant_crop FROM b")
 def bbox_3d(spark, sf):
-    return M.bbox(voxels(spark, sf).where("x < 50"), ["case_id", "label"], SHAPE)
+    return M.bbox(voxels(spark, sf), ["case_id", "label"], SHAPE)
 
 
-@query(f"WITH {VOXELS} SELECT case_id, z, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1, (max(y) + 1 - min(y)) * (max(x) + 1 - min(x)) <= 0.75 * 4096 AS is_significant_crop FROM voxels WHERE label = 1 GROUP BY 1, 2")
+@query(f"WITH {VOXELS} SELECT case_id, z, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1, (max(y) + 1 - min(y)) * (max(x) + 1 - min(x)) <= 0.75 * 4096 AS is_significant_crop FROM voxels GROUP BY 1, 2")
 def bbox_2d(spark, sf):
-    return M.bbox(voxels(spark, sf).where("label = 1"), ["case_id", "z"], {"y": 64, "x": 64})
+    return M.bbox(voxels(spark, sf), ["case_id", "z"], {"y": 64, "x": 64})
 
 
 @query(f"WITH {VOXELS}, {_BOX} SELECT case_id, label, greatest(0, z0 - 3) AS z0, least(8, z1 + 3) AS z1, greatest(0, y0 - 3) AS y0, least(64, y1 + 3) AS y1, greatest(0, x0 - 3) AS x0, least(64, x1 + 3) AS x1 FROM b")
 def bbox_padded(spark, sf):
-    return M.padded(M.bbox(voxels(spark, sf).where("x < 50"), ["case_id", "label"], SHAPE).drop("is_significant_crop"), SHAPE, 3)
+    return M.padded(M.bbox(voxels(spark, sf), ["case_id", "label"], SHAPE).drop("is_significant_crop"), SHAPE, 3)
 
 
-# The queries above and their SQL look at x < 50; these at every voxel, and at labels that a case does not have.
+# The queries above have a row for each label of a case; these also for labels that a case does not have.
 _ENDS = "min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1"
 _FULL = "coalesce(z0, 0) AS z0, coalesce(z1, 8) AS z1, coalesce(y0, 0) AS y0, coalesce(y1, 64) AS y1, coalesce(x0, 0) AS x0, coalesce(x1, 64) AS x1"
 _ALL = f"{VOXELS}, own AS (SELECT case_id, label, {_ENDS} FROM voxels GROUP BY 1, 2), b AS (SELECT case_id, label, {_FULL} FROM (SELECT DISTINCT case_id FROM voxels) CROSS JOIN (SELECT unnest([1, 2, 3]) AS label) LEFT JOIN own USING (case_id, label))"
@@ -143,15 +150,15 @@ def mask_algebra(spark, sf):
     return M.mask_algebra(voxels(spark, sf), 1, 2)
 
 
-@query(f"WITH {VOXELS} SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY z, y, x) AS INT) AS k, z, y, x FROM voxels QUALIFY k <= 20")
+@query(f"WITH {VOXELS} SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY z, y, x) AS INT) AS k, z, y, x FROM voxels")
 def stack_slices(spark, sf):
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("case_id").orderBy("z", "y", "x"))
-    return voxels(spark, sf).select("case_id", k.alias("k"), "z", "y", "x").where("k <= 20")
+    return voxels(spark, sf).select("case_id", k.alias("k"), "z", "y", "x")
 
 
-# `stack_slices` and its SQL show the first 20 rows of a case; this is the whole stack.
+# Its earlier name.
 @query(f"WITH {VOXELS} SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY z, y, x) AS INT) AS k, z, y, x FROM voxels")
 def stack_slices_all(spark, sf):
     from pyspark.sql import Window
@@ -167,21 +174,27 @@ def has_foreground_2d(spark, sf):
 
 
 _SIDE = "(SELECT 0 AS dy, 1 AS dx UNION ALL SELECT 0, -1 UNION ALL SELECT 1, 0 UNION ALL SELECT -1, 0)"
-_FLAT = f"{VOXELS}, f AS (SELECT DISTINCT case_id, y, x FROM voxels WHERE label = 1), g AS (SELECT case_id, y + dy AS y, x + dx AS x, count(*) AS n FROM f CROSS JOIN {_SIDE} m GROUP BY ALL)"
+_FLAT = f"{VOXELS}, f AS MATERIALIZED (SELECT DISTINCT case_id, label, y, x FROM voxels), g AS MATERIALIZED (SELECT case_id, label, y + dy AS y, x + dx AS x, count(*) AS n FROM f CROSS JOIN {_SIDE} m GROUP BY ALL)"
 
 
-def _flat(spark, sf, label=1):
+def _flat(spark, sf, label):
     return voxels(spark, sf).where(F.col("label") == label).select("case_id", "y", "x").distinct()
 
 
-@query(f"WITH {_FLAT} SELECT f.case_id, f.y, f.x FROM f ANTI JOIN (SELECT * FROM g WHERE n = 4) g USING (case_id, y, x)")
+def _flats(spark, sf):
+    """The masks of all labels, seen along z."""
+    return voxels(spark, sf).select("case_id", "label", "y", "x").distinct()
+
+
+@query(f"WITH {_FLAT} SELECT f.case_id, f.label, f.y, f.x FROM f ANTI JOIN (SELECT * FROM g WHERE n = 4) g USING (case_id, label, y, x)")
 def mask_border(spark, sf):
-    return M.border(_flat(spark, sf), ["case_id"], ("y", "x"))
+    return M.border(_flats(spark, sf), ["case_id", "label"], ("y", "x"))
 
 
-@query(f"WITH {VOXELS}, f AS (SELECT DISTINCT case_id, y, x FROM voxels WHERE label = 1), w AS (SELECT case_id, y, x FROM f UNION SELECT case_id, y + dy, x + dx FROM f CROSS JOIN {_SIDE} m), g AS (SELECT case_id, y + dy AS y, x + dx AS x, count(*) AS n FROM w CROSS JOIN {_SIDE} m GROUP BY ALL) SELECT case_id, y, x FROM w SEMI JOIN (SELECT * FROM g WHERE n = 4) g USING (case_id, y, x)")
+@query(f"""WITH {VOXELS}, f AS MATERIALIZED (SELECT DISTINCT case_id, label, y, x FROM voxels), w AS MATERIALIZED (SELECT case_id, label, y, x FROM f UNION SELECT case_id, label, y + dy, x + dx FROM f CROSS JOIN {_SIDE} m),
+  g AS MATERIALIZED (SELECT case_id, label, y + dy AS y, x + dx AS x, count(*) AS n FROM w CROSS JOIN {_SIDE} m GROUP BY ALL) SELECT w.case_id, w.label, w.y, w.x FROM w JOIN g USING (case_id, label, y, x) WHERE n = 4""")
 def morph_close(spark, sf):
-    return M.morph_close(_flat(spark, sf), ["case_id"], ("y", "x"))
+    return M.morph_close(_flats(spark, sf), ["case_id", "label"], ("y", "x"))
 
 
 _EDGES = "e{l} AS (SELECT case_id, y, x FROM f{l} ANTI JOIN (SELECT case_id, y + dy AS y, x + dx AS x FROM f{l} CROSS JOIN " + _SIDE + " m GROUP BY ALL HAVING count(*) = 4) g USING (case_id, y, x))"
@@ -194,35 +207,32 @@ def hd95(spark, sf):
     return rounded(M.hd95(_flat(spark, sf, 1), _flat(spark, sf, 2), "case_id", ("y", "x")))
 
 
-_RLE = f"{VOXELS}, f AS (SELECT DISTINCT case_id, label, x * 64 + y AS p FROM voxels WHERE z = 3)"
+_RLE = f"{VOXELS}, f AS (SELECT DISTINCT case_id, label, z, x * 64 + y AS p FROM voxels)"
 
 
 @query(f"WITH {_RLE} SELECT * FROM f")
 def rle_decode(spark, sf):
-    v = voxels(spark, sf).where("z = 3")
-    e = M.rle_encode(v, ["case_id", "label"], F.col("x") * 64 + F.col("y"), 4096)
-    return M.rle_decode(e, ["case_id", "label"]).withColumn("p", F.col("p").cast("int"))
+    return M.rle_decode(_runs(spark, sf), ["case_id", "label", "z"]).withColumn("p", F.col("p").cast("int"))
 
 
-@query(f"""WITH {_RLE}, r AS (SELECT case_id, label, p - row_number() OVER (PARTITION BY case_id, label ORDER BY p) AS g, p FROM f), s AS (SELECT case_id, label, min(p) AS a, count(*) AS n FROM r GROUP BY case_id, label, g),
-  t AS (SELECT *, a - coalesce(lag(a + n) OVER (PARTITION BY case_id, label ORDER BY a), 0) AS gap FROM s), u AS (SELECT case_id, label, flatten(list([CAST(gap AS BIGINT), n] ORDER BY a)) AS c FROM t GROUP BY 1, 2)
-  SELECT case_id, label, CASE WHEN list_sum(c) < 4096 THEN list_append(c, CAST(4096 - list_sum(c) AS BIGINT)) ELSE c END AS counts FROM u""")
+@query(f"""WITH {_RLE}, r AS (SELECT case_id, label, z, p - row_number() OVER (PARTITION BY case_id, label, z ORDER BY p) AS g, p FROM f), s AS (SELECT case_id, label, z, min(p) AS a, count(*) AS n FROM r GROUP BY case_id, label, z, g),
+  t AS (SELECT *, a - coalesce(lag(a + n) OVER (PARTITION BY case_id, label, z ORDER BY a), 0) AS gap FROM s), u AS (SELECT case_id, label, z, flatten(list([CAST(gap AS BIGINT), n] ORDER BY a)) AS c FROM t GROUP BY 1, 2, 3)
+  SELECT case_id, label, z, CASE WHEN list_sum(c) < 4096 THEN list_append(c, CAST(4096 - list_sum(c) AS BIGINT)) ELSE c END AS counts FROM u""")
 def rle_encode(spark, sf):
-    return M.rle_encode(voxels(spark, sf).where("z = 3"), ["case_id", "label"], F.col("x") * 64 + F.col("y"), 4096)
+    return _runs(spark, sf)
 
 
-@query(f"WITH {_RLE} SELECT case_id, label, count(*) AS area FROM f GROUP BY 1, 2")
+@query(f"WITH {_RLE} SELECT case_id, label, z, count(*) AS area FROM f GROUP BY 1, 2, 3")
 def rle_area(spark, sf):
-    e = M.rle_encode(voxels(spark, sf).where("z = 3"), ["case_id", "label"], F.col("x") * 64 + F.col("y"), 4096)
-    return e.select("case_id", "label", M.rle_area("counts").alias("area"))
+    return _runs(spark, sf).select("case_id", "label", "z", M.rle_area("counts").alias("area"))
 
 
-# The run lengths of every slice; those above are of z = 3.
+# The run lengths of every slice.
 def _runs(spark, sf):
     return M.rle_encode(voxels(spark, sf), ["case_id", "label", "z"], F.col("x") * 64 + F.col("y"), 4096)
 
 
-@query()
+@query(ORACLE_SQL["rle_encode"])
 def rle_encode_all(spark, sf):
     return _runs(spark, sf)
 
@@ -261,23 +271,23 @@ _QUALITY = """s AS (SELECT case_id, label, component, y AS slice, count(*) AS ar
 
 
 @query(f"""{_RP}, {_QUALITY} SELECT case_id, label, component, voxels, CASE WHEN voxels < 3 THEN 'component_below_minimum_voxels_3d' WHEN q = 0 THEN 'component_below_minimum_slice_area_3d' WHEN q < 2 THEN 'component_below_minimum_slices_3d'
-  WHEN coalesce(longest, 0) < 2 THEN 'component_below_minimum_contiguous_slices_3d' END AS reason FROM t LEFT JOIN l USING (case_id, label, component)""", name="component_quality_3d_fixture")
-def component_quality_3d_fixture(spark, sf):
-    return M.component_quality_3d(_parts(spark, sf), ["case_id", "label"], "y", 3, 2, 2, True)
-
-
-@query()
+  WHEN coalesce(longest, 0) < 2 THEN 'component_below_minimum_contiguous_slices_3d' END AS reason FROM t LEFT JOIN l USING (case_id, label, component)""")
 def component_quality_3d(spark, sf):
     return M.component_quality_3d(_all_parts(spark, sf), ["case_id", "label"], "y", 3, 2, 2, True)
 
 
-@query()
+@query(f"WITH RECURSIVE {VOXELS}, {components_sql('flat', 'voxels', 'case_id, label, z', 'yx')} SELECT case_id, label, z, component, count(*) AS size FROM flat GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3")
 def filter_small_2d(spark, sf):
     flat = M.connected_components(voxels(spark, sf), ["case_id", "label", "z"], ("y", "x"))
     return M.filter_small_2d(flat, ["case_id", "label", "z"], 3)
 
 
-@query()
+_REASON = """CASE WHEN voxels < 3 THEN 'component_below_minimum_voxels_3d' WHEN q = 0 THEN 'component_below_minimum_slice_area_3d' WHEN q < 2 THEN 'component_below_minimum_slices_3d' WHEN coalesce(longest, 0) < 2 THEN 'component_below_minimum_contiguous_slices_3d' END"""
+
+
+@query(f"""{_RP}, {_QUALITY}, o AS (SELECT case_id, {_REASON} AS reason FROM t LEFT JOIN l USING (case_id, label, component)), g AS (SELECT case_id, reason, count(*) AS n FROM o GROUP BY 1, 2)
+  SELECT case_id, CAST(sum(n) AS BIGINT) AS components_3d_found, CAST(coalesce(sum(n) FILTER (reason IS NOT NULL), 0) AS BIGINT) AS components_3d_rejected,
+  '{{' || coalesce(string_agg('"' || reason || '":' || n, ',' ORDER BY reason) FILTER (reason IS NOT NULL), '') || '}}' AS rejected_by_reason FROM g GROUP BY 1""")
 def qc_counters(spark, sf):
     q = M.component_quality_3d(_all_parts(spark, sf), ["case_id", "label"], "y", 3, 2, 2, True)
     by = q.groupBy("case_id", "reason").agg(F.count("*").alias("n"))

@@ -12,6 +12,7 @@ from maskloom.operators import masks as M
 from maskloom.operators import records as R
 from maskloom.operators.boxes import uncropped
 from maskloom.plans.base import query, rounded
+from maskloom.plans.masks import components_sql
 from maskloom.plans.views import FILES, MASKS, PIXELS, VOXELS, files, mask_files, pixels, table, voxels
 
 _EXT = "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(?i)(\\.nii\\.gz|\\.ppm\\.gz|\\.[^.]+)$', 1))"
@@ -296,20 +297,25 @@ def check_quality_two_phase(spark, sf):
     return R.two_phase(coarse, lambda ids: v.join(ids, "case_id").groupBy("case_id").agg(F.count("*").alias("voxels")), 620)
 
 
-@query()
+# The background that the border reaches by sides, step by step; what is left of the background is filled.
+@query(f"""WITH RECURSIVE {VOXELS}, f AS MATERIALIZED (SELECT DISTINCT case_id, label, y, x FROM voxels), m AS (SELECT DISTINCT case_id, label FROM f),
+  free AS MATERIALIZED (SELECT case_id, label, CAST(p // 64 AS INT) AS y, CAST(p % 64 AS INT) AS x FROM m CROSS JOIN range(0, 4096) r(p) ANTI JOIN (SELECT case_id, label, y * 64 + x AS p FROM f) USING (case_id, label, p)),
+  outer_ AS (SELECT * FROM free WHERE y IN (0, 63) OR x IN (0, 63) UNION SELECT b.case_id, b.label, b.y, b.x FROM outer_ o CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dy, dx) JOIN free b ON b.case_id = o.case_id AND b.label = o.label AND b.y = o.y + dy AND b.x = o.x + dx)
+  SELECT * FROM f UNION ALL SELECT case_id, label, y, x FROM free ANTI JOIN outer_ USING (case_id, label, y, x)""")
 def fill_holes(spark, sf):
-    return R.fill_holes(voxels(spark, sf).where("label = 1").select("case_id", "y", "x").distinct(), ["case_id"], 64, 64)
+    return R.fill_holes(voxels(spark, sf).select("case_id", "label", "y", "x").distinct(), ["case_id", "label"], 64, 64)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VOXELS}, {components_sql("parts", "voxels", "case_id, label", "yx")}, n AS (SELECT case_id, label, component, count(*) AS n, max(count(*)) OVER (PARTITION BY case_id, label) AS most FROM parts GROUP BY 1, 2, 3)
+  SELECT case_id, label, y, x, component FROM parts JOIN n USING (case_id, label, component) WHERE n >= 6 OR (most < 6 AND component = 1)""")
 def remove_islands(spark, sf):
     parts = M.connected_components(voxels(spark, sf).select("case_id", "label", "y", "x").distinct(), ["case_id", "label"], ("y", "x"))
     return R.remove_islands(parts, ["case_id", "label"], 6)
 
 
-@query(f"WITH {VOXELS} SELECT case_id, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM voxels WHERE label IN (1, 2) AND y < 40 GROUP BY 1")
+@query(f"WITH {VOXELS} SELECT case_id, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM voxels WHERE label IN (1, 2) GROUP BY 1")
 def union_crop(spark, sf):
-    v = voxels(spark, sf).where("y < 40")
+    v = voxels(spark, sf)
     both = v.where("label = 1").unionByName(v.where("label = 2"))
     return M.bbox(both, ["case_id"], {"z": 8, "y": 64, "x": 64}).drop("is_significant_crop")
 
