@@ -80,7 +80,7 @@ def bernoulli_split(groups: DataFrame, key: Column, share: float, seed: int) ->
     """Where a subdataset has no test group: each group to train with probability `share`."""
     tests = groups.groupBy("subdataset").agg(F.max((F.col("split") == "test").cast("int")).alias("has_test"))
     drawn = F.when(K.unit(key, seed) < share, "train").otherwise("test")
-    return groups.join(F.broadcast(tests), "subdataset").withColumn("split", F.when(F.col("has_test") == 1, F.col("split")).otherwise(drawn)).drop("has_test")
+    return groups.join(tests, "subdataset").withColumn("split", F.when(F.col("has_test") == 1, F.col("split")).otherwise(drawn)).drop("has_test")
 
 
 def global_tasks(rows: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def global_tasks(rows: DataFrame) -> DataFrame:
 def task_refine(pairs: DataFrame, task_classes: DataFrame) -> DataFrame:
     """Tasks of a pair kept only if they have its class; all of them where none has."""
     each = pairs.select("pair_id", "class", F.explode("tasks").alias("task"))
-    fit = each.join(F.broadcast(task_classes), ["task", "class"], "left_semi").groupBy("pair_id").agg(F.array_sort(F.collect_set("task")).alias("fit"))
+    fit = each.join(task_classes, ["task", "class"], "left_semi").groupBy("pair_id").agg(F.array_sort(F.collect_set("task")).alias("fit"))
     return pairs.join(fit, "pair_id", "left").select("pair_id", "class", F.coalesce("fit", F.array_sort("tasks")).alias("tasks"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskloom.functions.keys import unit
 from maskloom.operators.boxes import in_lots
 
 AXES = ("z", "y", "x")
@@ -126,14 +127,40 @@ def contiguous_window(slices: DataFrame, keys: list[str], n: int, min_area: int)
     return good.withColumn("run", F.sum("good").over(w)).groupBy(*keys).agg((F.max("run") == n).alias("has_window"))
 
 
-def window_select(slices: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The first slice of the best window of `n`: most foreground slices, then most area, then the earliest."""
-    span = slices.groupBy(*keys).agg(F.min("slice").alias("a"), F.max("slice").alias("b"))
-    axis = span.select(*keys, F.explode(F.sequence("a", "b")).alias("slice")).join(slices, [*keys, "slice"], "left")
-    w = Window.partitionBy(*keys).orderBy("slice").rowsBetween(0, n - 1)
-    x = axis.withColumn("full", F.count("area").over(w)).withColumn("sum", F.coalesce(F.sum("area").over(w), F.lit(0)))
-    best = x.groupBy(*keys).agg(F.max(F.struct("full", "sum", (-F.col("slice")).alias("m"))).alias("x"))
-    return best.select(*keys, (-F.col("x.m")).alias("start"), F.col("x.full").alias("foreground_slices"), F.col("x.sum").alias("area"))
+def window_select(slices: DataFrame, keys: list[str], n: int, length: int, plane: int, policy: str = "peak", min_foreground: int = 1, share: float = 0.0002, temperature: float = 0.25, seed: int = 0) -> DataFrame:
+    """The start (from 0) of one window of `n` slices of an axis of `length` slices, for each group of `slices` (slice, area) with foreground.
+
+    A slice has foreground from max(2, share * plane) pixels on; where no slice of the group has so many, from one on. Windows lie on the
+    axis whole. Those with foreground on every slice are preferred; else those with at least `min_foreground` such slices, or as many as there are.
+    Of these the policy chooses:
+
+    - `peak`: nearest to the window centred on the largest slice, then the larger area, then the earlier;
+    - `area`: the largest area, then the earliest;
+    - `weighted`: by chance, likelier with area (softmax of the share of the largest area over `temperature`), by a hash of seed, key and start;
+    - `uniform`: by such a hash alone.
+
+    An axis shorter than `n` is an error. An axis has few slices, so a group's rows are few."""
+    if length < n:
+        raise ValueError(f"axis too short: need {n}, have {length}")
+    axis = slices.where("area > 0").select(*keys).distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).join(slices, [*keys, "slice"], "left")
+    group = Window.partitionBy(*keys)
+    ahead = group.orderBy("slice").rowsBetween(0, n - 1)
+    area, real = F.coalesce("area", F.lit(0)), max(2, int(share * plane))
+    x = axis.select(*keys, "slice", area.alias("area")).withColumns({"big": (F.col("area") >= real).cast("int"), "peak": F.max(F.struct("area", (-F.col("slice")).alias("m"))).over(group)})
+    x = x.withColumn("counts", F.when(F.max("big").over(group) == 1, F.col("big")).otherwise((F.col("area") > 0).cast("int")))
+    x = x.withColumns({"full": F.sum("counts").over(ahead), "window_area": F.sum("area").over(ahead)}).where(F.col("slice") <= length - n)
+    x = x.withColumn("needed", F.greatest(F.lit(1), F.when(F.max("full").over(group) == n, n).otherwise(F.least(F.lit(min_foreground), F.max("full").over(group)))))
+    valid = x.where("full >= needed")
+    centre = F.greatest(F.lit(0), F.least(F.lit(length - n), -F.col("peak.m") - n // 2))
+    u = F.greatest(unit(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("slice").cast("string")), seed), F.lit(1e-12))
+    if policy == "weighted":
+        valid = valid.withColumn("most", F.max("window_area").over(group))
+    first = {
+        "peak": lambda: [F.abs(F.col("slice") - centre), -F.col("window_area")], "area": lambda: [-F.col("window_area")], "uniform": lambda: [u],
+        "weighted": lambda: [F.round(F.ln(-F.ln(u)) - F.col("window_area") / F.col("most") / temperature, 9)],
+    }[policy]()
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(first)], F.col("slice").alias("start"), F.col("full"), F.col("window_area"))
+    return valid.groupBy(*keys).agg(F.min(order).alias("x")).select(*keys, F.col("x.start").alias("start"), F.col("x.full").alias("foreground_slices"), F.col("x.window_area").alias("area"))
 
 
 def bbox(voxels: DataFrame, keys: list[str], shape: dict[str, int], images: DataFrame | None = None) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskloom.sources.folders import written
+
 
 def welford(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mergeable state of each group: count, mean and sum of squared differences."""
@@ -35,16 +35,22 @@ def per_file_cap(df: DataFrame, key: str, unit: Column, cap: int) -> DataFrame:
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """`position` from 1 in the order of all rows, without one task that holds them all.
 
-    Rows are dealt by range and sorted; the checkpoint keeps the dealing for the counts and the numbers alike. The counts are a row per task."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="maskloom-"))
+    Rows are dealt by range and sorted; the written table keeps the dealing for the counts and the numbers alike. The counts are a row per task."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = dealt.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    dealt = written(dealt.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
     counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     heads = counts.select("__part", before.alias("__before"))
-    return dealt.join(F.broadcast(heads), "__part").withColumn("position", (F.col("__before") + F.col("__row") + 1).cast("int")).drop("__part", "__row", "__before")
+    return dealt.join(F.broadcast(heads), "__part").withColumn("position", F.col("__before") + F.col("__row") + 1).drop("__part", "__row", "__before")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`position` from 1 within each group of `keys`, and its rows as `group_rows`; a group may be of any size, since it spreads over tasks.
+
+    Rows are numbered over all groups; a group's own numbers begin after its first."""
+    x = numbered(df, [*keys, *order])
+    first = x.groupBy(*keys).agg(F.min("position").alias("__first"), F.count("*").alias("group_rows"))
+    return x.join(first, keys).withColumn("position", F.col("position") - F.col("__first") + 1).drop("__first")
 
 
 def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
@@ -107,4 +113,4 @@ def profile_reason(lo: Column, hi: Column, std: Column, count: Column, source: C
 def profile_select(images: DataFrame, profiles: DataFrame) -> DataFrame:
     """The profile of the image's subdataset, or `default` for images without one; `missing` where there is none."""
     x = images.withColumn("subdataset_key", F.coalesce("subdataset", F.lit("default")))
-    return x.join(F.broadcast(profiles), x["subdataset_key"] == profiles["profile_name"], "left").withColumn("missing", F.col("profile_name").isNull())
+    return x.join(profiles, x["subdataset_key"] == profiles["profile_name"], "left").withColumn("missing", F.col("profile_name").isNull())

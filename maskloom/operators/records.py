@@ -30,7 +30,7 @@ def class_match(masks: DataFrame, rules: DataFrame, wildcard_last: bool = False)
 
     `*` stands among the texts, so it ends the search before ranges and labels, unless `wildcard_last`. The rules are a small table."""
     own = rules.select(F.col("subdataset").alias("rule_set")).distinct()
-    m = masks.join(F.broadcast(own), masks["subdataset"] == own["rule_set"], "left").withColumn("rule_set", F.coalesce("rule_set", F.lit("default")))
+    m = masks.join(own, masks["subdataset"] == own["rule_set"], "left").withColumn("rule_set", F.coalesce("rule_set", F.lit("default")))
     low, high = (F.expr(f"try_cast(nullif(regexp_extract(rule, '^(-?[0-9]+) *- *(-?[0-9]+)$', {i}), '') as double)") for i in (1, 2))
     number = F.expr("try_cast(label as double)")
     star = F.col("rule") == "*"
@@ -40,7 +40,7 @@ def class_match(masks: DataFrame, rules: DataFrame, wildcard_last: bool = False)
         .when(F.col("label") == F.col("rule"), 3)
     )
     r = rules.withColumnRenamed("subdataset", "rule_set")
-    hits = m.join(F.broadcast(r), "rule_set").withColumn("p", priority).where("p is not null")
+    hits = m.join(r, "rule_set").withColumn("p", priority).where("p is not null")
     best = hits.groupBy("mask_id").agg(F.min(F.struct("p", (-F.length("rule")).alias("l"), "rule", "class")).alias("b"))
     return masks.join(best, "mask_id", "left").select("mask_id", F.col("b.class").alias("class"))
 
@@ -69,7 +69,7 @@ def prompt_modes_resolve(cases: DataFrame, modes: DataFrame, default: str) -> Da
     """Mode of a case by task id, then label, then dataset/subdataset, subdataset, dataset, else the default. `modes` (name, mode) is small."""
     out = cases
     for i, key in enumerate((F.col("task_id"), F.col("task_label"), F.concat_ws("/", "dataset", "subdataset"), F.col("subdataset"), F.col("dataset"))):
-        t = F.broadcast(modes.select(F.col("name").alias(f"n{i}"), F.col("mode").alias(f"m{i}")))
+        t = modes.select(F.col("name").alias(f"n{i}"), F.col("mode").alias(f"m{i}"))
         out = out.withColumn("k", key).join(t, F.col("k") == F.col(f"n{i}"), "left").drop("k", f"n{i}")
     return out.withColumn("mode", F.coalesce(*[F.col(f"m{i}") for i in range(5)], F.lit(default))).drop(*[f"m{i}" for i in range(5)])
 

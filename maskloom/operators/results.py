@@ -172,7 +172,7 @@ def case_progress(cases: DataFrame) -> DataFrame:
     upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     heads = sizes.select("dim", "dataset_name", "n", upto(place).alias("before"), upto(phase).alias("phase_before"), F.sum("n").over(Window.partitionBy("dim")).alias("phase_total"))
     number = F.row_number().over(Window.partitionBy("dim", "dataset_name").orderBy("dataset_index"))
-    out = cases.withColumn("k", number).join(F.broadcast(heads), ["dim", "dataset_name"])
+    out = cases.withColumn("k", number).join(heads, ["dim", "dataset_name"])
     return out.select(
         "dim", "dataset_name", "dataset_index", (F.col("before") + F.col("k")).alias("benchmark_order"), F.col("k").alias("dataset_case_number"), F.col("n").alias("dataset_case_total"),
         (F.col("k") * 100.0 / F.col("n")).alias("dataset_percent"), (F.col("phase_before") + F.col("k")).alias("phase_number"), F.col("phase_total"),
@@ -215,7 +215,7 @@ def pending(grid: list[DataFrame], done: DataFrame, keys: list[str]) -> DataFram
     """The grid of small axes and cases, without the completed keys. All axes but the first are small lists, checked by the caller."""
     out = grid[0]
     for axis in grid[1:]:
-        out = out.join(F.broadcast(axis))
+        out = out.crossJoin(axis)
     return out.join(done.select(*keys).distinct(), keys, "left_anti")
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.keys import unit
+from maskloom.operators.profiles import numbered, ranked
+from maskloom.sources.folders import written
 
 
 def exact_fraction_split(df: DataFrame, keys: list[str], ident: str, share: float, seed: int) -> DataFrame:
-    """In each group the first floor(n * share) rows by hash go to validation."""
-    w = Window.partitionBy(*keys)
-    r = F.row_number().over(w.orderBy(unit(F.col(ident), seed), ident))
-    return df.withColumn("split", F.when(r <= F.floor(F.count("*").over(w) * share), "val").otherwise("train"))
+    """In each group the first floor(n * share) rows by hash go to validation; groups may be of any size."""
+    x = ranked(df.withColumn("__u", unit(F.col(ident), seed)), keys, ["__u", ident])
+    return x.withColumn("split", F.when(F.col("position") <= F.floor(F.col("group_rows") * share), "val").otherwise("train")).drop("__u", "position", "group_rows")
 
 
 def deterministic_subset(df: DataFrame, ident: str, k: int, seed: int) -> DataFrame:
@@ -33,47 +36,69 @@ def weighted_sample(df: DataFrame, keys: list[str], ident: str, weight: Column,
     return df.withColumn("__r", r).where(F.col("__r") <= k).drop("__r")
 
 
-def largest_remainder(buckets: DataFrame, capacity: str, target: int, least: int = 0) -> DataFrame:
-    """Whole quotas in proportion to capacity, at least `least`, at most the capacity; what is left goes by falling remainder.
-
-    A bucket table has a row per task, so its windows are small."""
-    w = Window.partitionBy(F.lit(1))
-    share = F.col(capacity) * F.lit(float(target)) / F.sum(capacity).over(w)
-    x = buckets.withColumn("share", share).withColumn("floor", F.least(F.greatest(F.floor("share"), F.lit(least)), F.col(capacity)))
-    x = x.withColumn("left", F.lit(target) - F.sum("floor").over(w)).withColumn("room", F.col("floor") < F.col(capacity))
-    order = Window.partitionBy("room").orderBy(F.desc(F.round(F.col("share") - F.floor("share"), 9)), "task")
-    extra = F.when(F.col("room") & (F.row_number().over(order) <= F.col("left")), 1).otherwise(0)
-    return x.select("task", capacity, (F.col("floor") + extra).cast("long").alias("quota"))
-
-
-def primary_bucket(items: DataFrame, seed: int) -> DataFrame:
-    """Each item of (idx, dim, task) to one of its buckets: the smallest, then by hash."""
-    size = items.groupBy("dim", "task").agg(F.count("*").alias("size"))
-    x = items.join(F.broadcast(size), ["dim", "task"]).withColumn("u", unit(F.concat_ws("|", F.col("idx").cast("string"), "task"), seed))
-    return x.groupBy("idx", "dim").agg(F.min(F.struct("size", "u", "task")).alias("b")).select("idx", "dim", F.col("b.task").alias("task"))
+def largest_remainder(buckets: DataFrame, capacity: str, target: int, least: int = 0, name: str = "task") -> DataFrame:
+    """Whole quotas of `target` units for buckets: first `least` each (at most the capacity), then in proportion to the capacity left,
+    rounded down, then one unit each by falling remainder, then capacity left, then name, where there is room.
+
+    Where the floors alone are over the target, the largest floors give back first, then by name. A bucket table has a row per task, so its windows are small."""
+    every = Window.partitionBy(F.lit(1))
+    before = lambda order: F.coalesce(F.sum("start").over(every.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cap = F.col(capacity).cast("long")
+    x = buckets.select(F.col(name), F.col(capacity), F.least(F.lit(max(0, least) if target > 0 else 0).cast("long"), cap).alias("start"))
+    x = x.withColumns({"rest": cap - F.col("start"), "open": F.lit(max(0, target)) - F.sum("start").over(every), "given": before([F.desc("start"), name])})
+    back = F.least(F.col("start"), F.greatest(F.lit(0), -F.col("open") - F.col("given")))
+    raw = F.when(F.col("open") > 0, F.coalesce(F.try_divide(F.col("open") * F.col("rest").cast("double"), F.sum("rest").over(every)), F.lit(0.0))).otherwise(0.0)
+    x = x.withColumns({"raw": raw, "start": F.col("start") - back}).withColumn("down", F.least(F.col("rest"), F.floor("raw")))
+    x = x.withColumns({"left": F.greatest(F.lit(0), F.col("open") - F.sum("down").over(every)), "room": (F.col("down") < F.col("rest")) & (F.col("open") > 0)})
+    turn = F.row_number().over(Window.partitionBy("room").orderBy(F.desc(F.round(F.col("raw") - F.floor("raw"), 9)), F.desc("rest"), name))
+    extra = F.when(F.col("room") & (turn <= F.col("left")), 1).otherwise(0)
+    return x.select(name, capacity, (F.col("start") + F.col("down") + extra).cast("long").alias("quota"))
+
+
+def primary_bucket(items: DataFrame, seed: int, slots: int = 8) -> DataFrame:
+    """Each item of (idx, dim, task) to one of its buckets (dim, task): the least filled, in share of its size, then in rows, then the smallest, then by hash.
+
+    Items come in order of the number of their buckets, rarest first, and within a number in `slots` turns by hash. All items of a turn see the fill
+    that the turns before have left, so the result does not depend on how rows are dealt, and a turn is one pass. The fill table has a row per bucket."""
+    spark, bucket = items.sparkSession, ["dim", "task"]
+    own = Window.partitionBy("idx", "dim")
+    x = items.select("idx", "dim", "task").distinct().withColumns({"u": unit(F.concat_ws("|", F.col("idx").cast("string"), "task"), seed), "choices": F.count("*").over(own)})
+    x = x.withColumn("turn", F.col("choices") * slots + F.floor(unit(F.col("idx"), seed + 1) * slots))
+    x = written(x.join(items.groupBy(*bucket).agg(F.count("*").alias("size")), bucket), "bucket-items")
+    fill = {(r["dim"], r["task"]): 0 for r in x.select(*bucket).distinct().collect()}
+    parts = []
+    for turn in sorted(r["turn"] for r in x.select("turn").distinct().collect()):
+        held = spark.createDataFrame([(*k, n) for k, n in fill.items()], x.select(*bucket).schema.add("held", "long"))
+        order = F.struct((F.col("held") / F.col("size")).alias("share"), "held", "size", "u", "task")
+        best = x.where(F.col("turn") == turn).join(held, bucket).groupBy("idx", "dim").agg(F.min(order).alias("b")).select("idx", "dim", F.col("b.task").alias("task"))
+        parts.append(best)
+        for r in best.groupBy(*bucket).count().collect():
+            fill[r["dim"], r["task"]] += r["count"]
+    return reduce(DataFrame.unionByName, parts) if parts else x.select("idx", "dim", "task")
 
 
 def dim_budget(items: DataFrame, ratio: float, power: float, seed: int) -> DataFrame:
-    """Keep at most `ratio` two-dimensional items for each three-dimensional one, rare tasks preferred (weight 1 / count^power)."""
+    """Keep at most `ratio` two-dimensional items for each three-dimensional one, rare tasks preferred (weight 1 / count^power).
+
+    The two-dimensional items are numbered by range, so that no task holds them all."""
     n3 = items.where("dim = 3").count()
     count = items.groupBy("dim", "task").agg(F.count("*").alias("n"))
-    two = items.where("dim = 2").join(F.broadcast(count), ["dim", "task"])
-    some = weighted_sample(two, ["dim"], "idx", 1 / F.pow("n", F.lit(power)), int(ratio * n3), seed).drop("n")
+    two = items.where("dim = 2").join(count, ["dim", "task"])
+    race = F.round(-F.ln(F.greatest(unit(F.col("idx"), seed), F.lit(1e-12))) / (1 / F.pow("n", F.lit(power))), 9)
+    some = numbered(two.withColumn("__race", race), ["__race", "idx"]).where(F.col("position") <= int(ratio * n3))
     return items.where("dim = 3").unionByName(some.select(*items.columns))
 
 
 def bucket_fair(df: DataFrame, bucket: str, order: str) -> DataFrame:
     """Interleaved positions: the j-th of n in a bucket comes at (j + 0.5) / n of the whole."""
-    w = Window.partitionBy(bucket)
-    place = (F.row_number().over(w.orderBy(order)) - 0.5) / F.count("*").over(w)
-    return df.withColumn("fair_position", place)
+    x = ranked(df, [bucket], [order])
+    return x.withColumn("fair_position", (F.col("position") - 0.5) / F.col("group_rows")).drop("position", "group_rows")
 
 
 def batch_ids(df: DataFrame, bucket: str, order: str, size: int, drop_last: bool) -> DataFrame:
     """Batches of one bucket; the last short one may be dropped."""
-    w = Window.partitionBy(bucket)
-    x = df.withColumn("batch_id", F.floor((F.row_number().over(w.orderBy(order)) - 1) / size)).withColumn("__n", F.count("*").over(w))
-    return (x.where((F.col("batch_id") + 1) * size <= F.col("__n")) if drop_last else x).drop("__n")
+    x = ranked(df, [bucket], [order]).withColumn("batch_id", F.floor((F.col("position") - 1) / size))
+    return (x.where((F.col("batch_id") + 1) * size <= F.col("group_rows")) if drop_last else x).drop("position", "group_rows")
 
 
 def prompt_frames(frames: DataFrame, k: int, seed: int) -> DataFrame:

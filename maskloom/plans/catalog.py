@@ -226,7 +226,7 @@ def task_membership(spark, sf):
 @query(f"WITH {_TASKROWS} SELECT DISTINCT subdataset, task FROM t WHERE task IN (SELECT 'k' || i FROM range(0, 3) r(i))")
 def subdataset_tasks(spark, sf):
     rules = spark.range(3).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("task"))
-    return sequences(spark, sf).select("subdataset", F.explode("tasks").alias("task")).join(F.broadcast(rules), "task").select("subdataset", "task").distinct()
+    return sequences(spark, sf).select("subdataset", F.explode("tasks").alias("task")).join(rules, "task").select("subdataset", "task").distinct()
 
 
 _PROC = "g AS (SELECT doc_id AS group_id, list_transform(range(0, doc_id % 3 + 1), lambda i: 'p' || doc_id || '_' || i) AS proc_images FROM documents)"

@@ -260,10 +260,15 @@ def contiguous_window_check(spark, sf):
     return M.contiguous_window(_slices(spark, sf), ["case_id", "label"], 8, 3)
 
 
-@query(f"""WITH {_S}, {_AXIS}, r AS (SELECT *, count(area) OVER w AS f, coalesce(sum(area) OVER w, 0) AS t FROM full_axis WINDOW w AS (PARTITION BY case_id, label ORDER BY slice ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING))
-  SELECT case_id, label, CAST(slice AS INT) AS start, f AS foreground_slices, CAST(t AS BIGINT) AS area FROM (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY f DESC, t DESC, slice) AS k FROM r) WHERE k = 1""")
+# The rule over the whole axis of 64 slices, windows of 8 with 4 foreground slices at least where none is full; pixels of a plane: 8 * 64.
+@query(f"""WITH {_S}, ax AS (SELECT DISTINCT case_id, label, unnest(range(0, 64)) AS slice FROM s), a AS (SELECT ax.*, coalesce(area, 0) AS area FROM ax LEFT JOIN s USING (case_id, label, slice)),
+  r AS (SELECT *, CASE WHEN max(area) OVER g >= 2 THEN area >= 2 ELSE area > 0 END AS fg, first_value(slice) OVER (PARTITION BY case_id, label ORDER BY area DESC, slice) AS top FROM a WINDOW g AS (PARTITION BY case_id, label)),
+  w AS (SELECT *, count(*) FILTER (fg) OVER k AS f, sum(area) OVER k AS t FROM r WINDOW k AS (PARTITION BY case_id, label ORDER BY slice ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)), o AS (SELECT *, max(f) OVER (PARTITION BY case_id, label) AS most FROM w WHERE slice <= 56),
+  v AS (SELECT * FROM o WHERE f >= CASE WHEN most = 8 THEN 8 ELSE greatest(1, least(4, most)) END), p AS (SELECT *, 'peak' AS policy, row_number() OVER (PARTITION BY case_id, label ORDER BY abs(slice - greatest(0, least(56, top - 4))), t DESC, slice) AS k FROM v UNION ALL SELECT *, 'area', row_number() OVER (PARTITION BY case_id, label ORDER BY t DESC, slice) FROM v)
+  SELECT case_id, label, policy, CAST(slice AS INT) AS start, f AS foreground_slices, CAST(t AS BIGINT) AS area FROM p WHERE k = 1""")
 def window_select(spark, sf):
-    return M.window_select(_slices(spark, sf), ["case_id", "label"], 8)
+    each = [M.window_select(_slices(spark, sf), ["case_id", "label"], 8, 64, 8 * 64, policy, 4).withColumn("policy", F.lit(policy)) for policy in ("peak", "area")]
+    return each[0].unionByName(each[1])
 
 
 _QUALITY = """s AS (SELECT case_id, label, component, y AS slice, count(*) AS area FROM parts GROUP BY 1, 2, 3, 4), big AS (SELECT *, slice - row_number() OVER (PARTITION BY case_id, label, component ORDER BY slice) AS run FROM s WHERE area >= 2),

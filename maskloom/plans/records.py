@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from maskloom.functions import keys as K
@@ -14,14 +11,14 @@ from maskloom.operators.boxes import uncropped
 from maskloom.plans.base import query, rounded
 from maskloom.plans.masks import components_sql
 from maskloom.plans.views import FILES, MASKS, PIXELS, VOXELS, files, mask_files, pixels, table, voxels
+from maskloom.sources.folders import new_folder
 
 _EXT = "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(?i)(\\.nii\\.gz|\\.ppm\\.gz|\\.[^.]+)$', 1))"
 _STEM = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(?i)(\\.nii\\.gz|\\.ppm\\.gz|\\.[^.]+)$', '')"
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskloom-io-")
-    return f"{root}/io-{uuid.uuid4().hex}"
+    return new_folder(spark, "io")
 
 
 @query(f"WITH {FILES} SELECT path, {_STEM} AS stem FROM files")
@@ -144,7 +141,7 @@ def contour_patient_join(spark, sf):
 @query("SELECT l_suppkey, count(*) AS n, round(sum(greatest(least(l_extendedprice, 50000), 1000)), 2) AS total FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 10 GROUP BY 1")
 def profile_join(spark, sf):
     prof = table(spark, sf, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("s_nationkey"), F.lit(1000.0).alias("lo"), F.lit(50000.0).alias("hi"))
-    img = table(spark, sf, "supplier").join(F.broadcast(prof), "s_nationkey")  # a row per nation
+    img = table(spark, sf, "supplier").join(prof, "s_nationkey")
     x = table(spark, sf, "lineitem").join(img, F.col("l_suppkey") == F.col("s_suppkey"))
     return rounded(x.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(F.greatest(F.least("l_extendedprice", "hi"), "lo")).alias("total")), 2)
 

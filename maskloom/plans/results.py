@@ -215,7 +215,7 @@ def active_models(spark, sf):
 def milestones(spark, sf):
     x = log(spark, sf)
     total = x.groupBy("model", "dataset").agg(F.count("*").alias("total"))
-    return R.milestones(x.join(F.broadcast(total), ["model", "dataset"]), ["model", "dataset"], "event_id", "total").select("model", "dataset", "event_id", F.col("bucket").cast("long").alias("bucket"))
+    return R.milestones(x.join(total, ["model", "dataset"]), ["model", "dataset"], "event_id", "total").select("model", "dataset", "event_id", F.col("bucket").cast("long").alias("bucket"))
 
 
 @query(f"""WITH {OK} SELECT task_id, round(sum(dice * n_frames) / greatest(1, sum(n_frames)), 6) AS dice_slice, round(sum(iou * n_frames) / greatest(1, sum(n_frames)), 6) AS iou_slice, round(avg(dice), 6) AS dice_volume, round(avg(iou), 6) AS iou_volume, round(avg(CASE WHEN dim = 3 THEN 1.0 ELSE 0 END), 6) AS share_3d FROM ok GROUP BY 1""")

@@ -65,7 +65,7 @@ def mri_zscore(spark, sf):
 def window_zscore(spark, sf):
     v = values(spark, sf)
     prof = v.groupBy("subdataset").agg(F.percentile("value", F.array(F.lit(0.005), F.lit(0.995))).alias("q"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    x = v.join(F.broadcast(prof), "subdataset")  # a profile per subdataset
+    x = v.join(prof, "subdataset")
     return rounded(x.select("vox", "volume", P.zscore(F.col("value"), F.col("q")[0], F.col("q")[1], F.col("mean"), F.col("std")).alias("z")))
 
 
@@ -106,7 +106,7 @@ def per_file_cap_sample(spark, sf):
     return rounded(x.groupBy("volume").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 3)
 
 
-@query("WITH n AS (SELECT s_suppkey, s_name, CAST(row_number() OVER (ORDER BY s_name) AS INT) AS position, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, position FROM n WHERE position - 1 IN (SELECT CAST(round_even(i * (n - 1) / 6.0, 0) AS BIGINT) FROM range(0, 7) r(i))")
+@query("WITH n AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_name) AS position, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, position FROM n WHERE position - 1 IN (SELECT CAST(round_even(i * (n - 1) / 6.0, 0) AS BIGINT) FROM range(0, 7) r(i))")
 def evenly_spaced_sample(spark, sf):
     return P.evenly_spaced(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_name", 7).select("s_suppkey", "position")
 
@@ -134,23 +134,48 @@ def weighted_sample(spark, sf):
 _BUCKETS = f"{SEQUENCES}, b AS (SELECT task, count(*) AS n FROM (SELECT unnest(tasks) AS task FROM sequences) GROUP BY 1)"
 
 
-@query(f"""WITH {_BUCKETS}, s AS (SELECT task, n, n * 777.0::DOUBLE / sum(n) OVER () AS share FROM b), f AS (SELECT *, least(floor(share), n) AS fl FROM s), r AS (SELECT *, 777 - sum(fl) OVER () AS left_, fl < n AS room FROM f)
-  SELECT task, n, CAST(fl + CASE WHEN room AND row_number() OVER (PARTITION BY room ORDER BY round(share - floor(share), 9) DESC, task) <= left_ THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
+# The rule as stated: floors at most the capacity; over the target the largest give back; else shares of the capacity left, rounded down, then by remainder.
+_QUOTAS = """caps AS (SELECT task, CASE WHEN task IN ('k0', 'j1') THEN n % 7 ELSE n END AS n, target FROM b CROSS JOIN (VALUES (777), (60)) t(target)),
+  fl AS (SELECT *, least(20, n) AS f FROM caps), us AS (SELECT *, sum(f) OVER (PARTITION BY target) AS used, sum(n - f) OVER (PARTITION BY target) AS free, coalesce(sum(f) OVER (PARTITION BY target ORDER BY f DESC, task ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM fl),
+  rw AS (SELECT *, (target - used) * (n - f)::DOUBLE / nullif(free, 0) AS raw FROM us), dn AS (SELECT *, CASE WHEN used < target THEN least(n - f, floor(raw)) ELSE 0 END AS d FROM rw),
+  lf AS (SELECT *, target - sum(f + d) OVER (PARTITION BY target) AS spare FROM dn), od AS (SELECT *, row_number() OVER (PARTITION BY target, f + d < n ORDER BY round(raw - floor(raw), 9) DESC, n - f DESC, task) AS turn FROM lf)"""
+
+
+@query(f"""WITH {_BUCKETS}, {_QUOTAS} SELECT task, n, target, CAST(CASE WHEN used > target THEN f - greatest(0, least(f, used - target - ahead)) WHEN f + d < n AND turn <= spare THEN f + d + 1 ELSE f + d END AS BIGINT) AS quota FROM od""")
 def largest_remainder(spark, sf):
+    """With floors of 20, two buckets under the floor, and two targets: one over and one under the sum of the floors."""
     b = sequences(spark, sf).select(F.explode("tasks").alias("task")).groupBy("task").agg(F.count("*").alias("n"))
-    return S.largest_remainder(b, "n", 777)
+    b = b.withColumn("n", F.when(F.col("task").isin("k0", "j1"), F.col("n") % 7).otherwise(F.col("n")))
+    each = [S.largest_remainder(b, "n", target, 20).withColumn("target", F.lit(target)) for target in (777, 60)]
+    return each[0].unionByName(each[1])
 
 
-_ITEMS = f"{SEQUENCES}, items AS (SELECT idx, dim, unnest(tasks) AS task FROM sequences)"
+_ITEMS = f"{SEQUENCES}, items AS (SELECT idx, dim, unnest(CASE WHEN idx % 5 = 0 THEN tasks[1:1] ELSE tasks END) AS task FROM sequences)"
 
 
 def _items(spark, sf):
-    return sequences(spark, sf).select("idx", "dim", F.explode("tasks").alias("task"))
+    """Items with their buckets: every fifth has one only."""
+    tasks = F.when(F.col("idx") % 5 == 0, F.slice("tasks", 1, 1)).otherwise(F.col("tasks"))
+    return sequences(spark, sf).select("idx", "dim", F.explode(tasks).alias("task"))
+
+
+_SLOTS, _KEY = 8, "'' || idx || '|' || task"
+
+
+def _turns() -> str:
+    """The turns one after another: the fill that the earlier ones have left decides."""
+    done, out = "SELECT NULL::BIGINT AS idx, NULL::INT AS dim, NULL AS task WHERE false", []
+    for t in range(2 * _SLOTS):
+        out.append(f"""g{t} AS MATERIALIZED (SELECT idx, dim, task FROM (SELECT x.idx, x.dim, x.task, row_number() OVER (PARTITION BY x.idx, x.dim ORDER BY coalesce(h.held, 0)::DOUBLE / size, coalesce(h.held, 0), size, u, x.task) AS r
+    FROM x LEFT JOIN (SELECT dim, task, count(*) AS held FROM ({done}) GROUP BY 1, 2) h ON h.dim = x.dim AND h.task = x.task WHERE turn = {_SLOTS + t}) WHERE r = 1)""")
+        done = " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(t + 1))
+    return ",\n  ".join(out) + f", every AS ({done})"
 
 
-@query(f"WITH {_ITEMS}, z AS (SELECT dim, task, count(*) AS size FROM items GROUP BY 1, 2) SELECT idx, dim, task FROM (SELECT *, row_number() OVER (PARTITION BY idx, dim ORDER BY size, {U(chr(39) + chr(39) + ' || idx || ' + chr(39) + '|' + chr(39) + ' || task', 6)}, task) AS r FROM items JOIN z USING (dim, task)) WHERE r = 1")
+@query(f"""WITH {_ITEMS}, z AS (SELECT dim, task, count(*) AS size FROM items GROUP BY 1, 2),
+  x AS MATERIALIZED (SELECT *, {U(_KEY, 6)} AS u, count(*) OVER (PARTITION BY idx, dim) * {_SLOTS} + CAST(floor({U('idx', 7)} * {_SLOTS}) AS INT) AS turn FROM (SELECT DISTINCT * FROM items) JOIN z USING (dim, task)), {_turns()} SELECT * FROM every""")
 def primary_bucket(spark, sf):
-    return S.primary_bucket(_items(spark, sf), 6)
+    return S.primary_bucket(_items(spark, sf), 6, _SLOTS)
 
 
 @query(f"""WITH {_ITEMS}, one AS (SELECT idx, dim, min(task) AS task FROM items GROUP BY 1, 2), z AS (SELECT dim, task, count(*) AS n FROM one GROUP BY 1, 2),

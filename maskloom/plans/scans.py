@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from maskloom.operators import boxes as B
@@ -12,11 +9,11 @@ from maskloom.operators import results as R
 from maskloom.plans.base import query, rounded
 from maskloom.plans.views import CASES, FILES, OK, case_results, files, table
 from maskloom.sources import tables as T
+from maskloom.sources.folders import new_folder
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskloom-io-")
-    return f"{root}/io-{uuid.uuid4().hex}"
+    return new_folder(spark, "io")
 
 
 def _raw_catalog(spark, sf):

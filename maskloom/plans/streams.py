@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from maskloom.operators import profiles
 from maskloom.plans.base import query, rounded
 from maskloom.plans.views import LOG, table
+from maskloom.sources.folders import new_folder
 from maskloom.streaming import logs as L
 
 
@@ -21,12 +19,11 @@ def _stream(spark, sf):
 
 def _folder(spark) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskloom-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _run(spark, stream, mode):
-    return L.drain(stream, spark, f"s_{uuid.uuid4().hex}", mode, _folder(spark))
+    return L.drain(stream, spark, _folder(spark), mode, _folder(spark))
 
 
 @query(f"WITH {LOG} SELECT model, dataset, count(*) AS rows, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM log GROUP BY 1, 2")
@@ -55,19 +52,20 @@ def stream_welford(spark, sf):
     return rounded(profiles.welford_merge(spark.read.parquet(path), ["dataset"]))
 
 
-@query(f"WITH {LOG} SELECT DISTINCT k FROM log")
+@query(f"WITH {LOG} SELECT k, CASE WHEN bool_or(event_id % 7 < 2) THEN 'first' ELSE 'second' END AS query, count(DISTINCT k) AS rows FROM log GROUP BY k")
 def stream_qc_cache(spark, sf):
+    """Two queries over different rows, each with its checkpoint: what the first has found stays, the second adds the rest."""
     path = _folder(spark)
-    for _ in range(2):  # the second pass over the same rows must add nothing
-        q = _stream(spark, sf).writeStream.foreachBatch(L.append_unseen(path, "k")).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
+    for name, rows in (("first", _stream(spark, sf).where("event_id % 7 < 2")), ("second", _stream(spark, sf))):
+        q = rows.writeStream.foreachBatch(L.append_unseen(path, "k", name)).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
         q.awaitTermination()
-    return spark.read.parquet(path).select("k")
+    return spark.read.parquet(path).groupBy("k", "query").agg(F.count("*").alias("rows"))
 
 
 @query(f"""WITH {LOG}, g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY model ORDER BY ts) + INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS cut FROM log), s AS (SELECT *, sum(cut) OVER (PARTITION BY model ORDER BY ts ROWS UNBOUNDED PRECEDING) AS grp FROM g)
   SELECT model, min(ts) AS start, max(ts) AS last_beat, count(*) AS beats FROM s GROUP BY model, grp""")
 def heartbeat_gap(spark, sf):
-    return L.heartbeat_gaps(table(spark, sf, "events").withColumn("model", F.col("user_id") % 5), ["model"], "ts", "20 minutes", "1 day")
+    return _run(spark, L.heartbeat_gaps(_stream(spark, sf), ["model"], "ts", "20 minutes", "1 day"), "complete")
 
 
 @query(f"WITH {LOG} SELECT dataset, count(*) AS done, round(count(*) * 100.0 / 5000, 6)::DOUBLE AS percent, round(avg(value), 6) AS mean_seconds, round(greatest(0, 5000 - count(*)) * avg(value), 3) AS eta_seconds FROM log GROUP BY 1")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def running_summary(rows: DataFrame, keys: list[str], metric: str) -> DataFrame:
@@ -58,23 +59,34 @@ def merge_states(path: str, keys: list[str], merge: Callable[[DataFrame, list[st
     return run
 
 
-def append_unseen(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends rows whose key the cache below `path` does not have yet."""
+def append_unseen(path: str, key: str, query: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends rows whose key the cache below `path` does not have yet; a null key is a key like others.
+
+    Each batch has its folder by the name of its query and its number: a repeated batch replaces itself, and another query's batches (`query` must
+    be another name for another checkpoint) stay."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            before = spark.read.parquet(path).where(F.col("batch") != number).select(key)
-            new = new.join(before, key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            schema = new.select(key).schema.add("query", "string").add("batch", "long")
+            before = spark.read.schema(schema).parquet(path).where((F.col("batch") != number) | (F.col("query") != query)).select(F.col(key).alias("__seen"))
+            new = new.join(before, F.col(key).eqNullSafe(F.col("__seen")), "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/query={query}/batch={number}")
 
     return run
 
 
-def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a bounded stream to its end into a named table and return the table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, spark: SparkSession, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run a bounded stream to its end and return its result: in append mode all rows, in complete mode the last state.
+
+    Batches are written below `path` by their number, so nothing passes through the driver and a repeated batch replaces itself."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    return (out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]) if mode == "complete" else out).drop("batch")
