@@ -164,3 +164,14 @@ def parse_pairs(x: Column, outer: str, inner: str) -> Column:
     """`a=1|b=2` as an array of (key, value) texts, trimmed; entries without the inner mark are left out."""
     parts = F.filter(F.split(F.coalesce(x, F.lit("")), re.escape(outer)), lambda p: F.contains(p, F.lit(inner)))
     return F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, inner, 1)).alias("key"), F.trim(F.substring(p, F.instr(p, inner) + 1, F.length(p))).alias("value")))
+
+
+def meta_value(*values: Column, default: str = "unknown") -> Column:
+    """The first value that says something: not null, blank or `none`; trimmed."""
+    said = lambda v: F.when(F.lower(F.trim(v.cast("string"))).isin("", "none"), None).otherwise(F.trim(v.cast("string")))
+    return F.coalesce(*map(said, values), F.lit(default))
+
+
+def split_of_path(path: Column, test: tuple[str, ...] = ("valid", "test"), segment: int = 0, default: str = "train") -> Column:
+    """`test` where a segment of the path (from 0) is one of the test folders in any case; else the default."""
+    return F.when(F.coalesce(F.lower(F.get(F.split(path, "/"), F.lit(segment))).isin(*test), F.lit(False)), "test").otherwise(default)

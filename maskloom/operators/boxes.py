@@ -28,6 +28,14 @@ def uncropped(boxes: DataFrame, left: int, top: int, size: int, near: int) -> Da
     return boxes.select("*", (F.col("x0") + left).alias("ux0"), (F.col("y0") + top).alias("uy0"), (x1 + left).alias("ux1"), (y1 + top).alias("uy1"), F.col("w").alias("width"), (edge & ~outer).alias("near_edge"))
 
 
+def candidates(rows: DataFrame, predicted: str, stability: str, least_predicted: float, least_stability: float) -> DataFrame:
+    """Masks whose predicted overlap is over its cut and whose stability reaches its own; a cut of 0 or less lets all through."""
+    out = rows
+    if least_predicted > 0:
+        out = out.where(F.col(predicted) > least_predicted)
+    return out.where(F.col(stability) >= least_stability) if least_stability > 0 else out
+
+
 def nms(boxes: DataFrame, keys: list[str], score: str, tie: str, most: float) -> DataFrame:
     """Greedy suppression within each group: by falling score a box stays unless it overlaps a kept one by more than `most`.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import re
 from collections.abc import Iterator
 
@@ -80,6 +82,62 @@ def corrupt_reason(length: Column, head: Column, path: Column) -> Column:
     return F.when(length.isNull(), "missing").when(length == 0, "zero_bytes").when(gz & (F.hex(F.substring(head, 1, 2)) != "1F8B"), "bad_gzip")
 
 
+def nifti_reason(head: Column, path: Column) -> Column:
+    """Why the first 348 bytes of an uncompressed `.nii` file are no header: too short, another header length, or no magic; null for other files and good ones."""
+    size, magic = F.hex(F.substring(head, 1, 4)), F.hex(F.substring(head, 345, 4))
+    told = F.when(F.length(head) < 348, "short_header").when(~size.isin("5C010000", "0000015C"), "bad_header_length").when(~magic.isin("6E2B3100", "6E693100"), "bad_magic")
+    return F.when(F.endswith(F.lower(path), F.lit(".nii")), told)
+
+
+#: Fields of a stored quality policy that must be whole numbers, with the field of the required one they are held against.
+POLICY_FIELDS = {"min_component_voxels_3d": "min_voxels", "min_slice_area_px_3d": "min_slice_area_px", "min_qualified_slices_3d": "min_slices_any_axis"}
+
+
+def policy_trusted(policy: Column, required: dict) -> Column:
+    """Whether a stored policy (a JSON text) is at least as strict as the required one: applied, whole numbers where whole numbers belong (no
+    booleans), the same downsampling, contiguous slices demanded; false for a missing or malformed one.
+
+    `required` may name min_voxels (64), downsample (2), min_slice_area_px (32), min_frac_2d_area (0) and min_slices_any_axis (2)."""
+    need = {"min_voxels": 64, "downsample": 2, "min_slice_area_px": 32, "min_frac_2d_area": 0.0, "min_slices_any_axis": 2} | required
+    raw = lambda name: F.get_json_object(policy, f"$.{name}")
+    # A number in quotes is text: the variant's type tells it from a number.
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(F.try_parse_json(policy), f"$.{name}", "variant"))
+    whole = lambda name: F.when(kind(name) == "BIGINT", raw(name).try_cast("bigint"))
+    number = lambda name: F.when(kind(name).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), raw(name).try_cast("double"))
+    true = lambda name: (kind(name) == "BOOLEAN") & (raw(name) == "true")
+    tests = [true("applied"), true("require_contiguous_qualified_slices_3d"), whole("mask_qc_downsample_3d") == need["downsample"], number("min_slice_area_fraction_3d") >= float(need["min_frac_2d_area"])]
+    tests += [whole(name) >= need[wanted] for name, wanted in POLICY_FIELDS.items()]
+    return F.coalesce(reduce(lambda x, y: x & y, (F.coalesce(t, F.lit(False)) for t in tests)), F.lit(False))
+
+
+def prompt_audit(rows: DataFrame, length: str = "n_frames", mode: str = "prompt_mode", actual: str = "actual", cached: str = "cached", masks: str = "mask_frames") -> DataFrame:
+    """Flags of each run: boxes for every frame, only cached frames prompted, one frame prompted, masks used; null lists are empty."""
+    frames = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
+    return rows.withColumns({
+        "boxes_supplied_for_every_frame": (F.size(frames(actual)) == F.col(length)) & (F.col(mode) == "box"),
+        "only_cached_frames_prompted": F.size(F.array_except(frames(actual), frames(cached))) == 0,
+        "only_one_frame_prompted": F.size(frames(actual)) == 1,
+        "mask_prompts_used": (F.col(mode) == "mask") | (F.size(frames(masks)) > 0),
+    })
+
+
+def split_modalities(groups: DataFrame, shared: Column) -> DataFrame:
+    """One row for each image of a group (identifier, images, masks as (image_index, path)): `<identifier>_modality<i>` with its masks, or with all
+    of them where they are shared; image indices start anew. Groups of one image stay as they are."""
+    one = F.size("images") <= 1
+    x = groups.withColumn("__shared", shared).select("*", F.posexplode_outer("images").alias("modality_index", "image"))
+    own = F.filter("masks", lambda m: F.col("__shared") | one | (m["image_index"] == F.col("modality_index")))
+    anew = F.transform(own, lambda m: F.struct(F.when(one, m["image_index"]).otherwise(F.lit(0)).alias("image_index"), m["path"].alias("path")))
+    name = F.when(one, F.col("identifier")).otherwise(F.concat("identifier", F.lit("_modality"), F.col("modality_index").cast("string")))
+    return x.select(name.alias("identifier"), F.col("identifier").alias("source_identifier"), F.coalesce("modality_index", F.lit(0)).alias("modality_index"), "image", anew.alias("masks"))
+
+
+def cache_seed(splits: list[DataFrame]) -> DataFrame:
+    """Rows (dataset, path, ok = true) for the masks of the three-dimensional sequences (dataset, dim, mask) of all splits, each once."""
+    each = [s.where("dim = 3 and mask is not null and mask <> ''").select(F.coalesce("dataset", F.lit("unknown")).alias("dataset"), F.col("mask").alias("path")) for s in splits]
+    return reduce(DataFrame.unionByName, each).distinct().withColumn("ok", F.lit(True))
+
+
 def evaluate_quality(stats: DataFrame, runs: DataFrame, min_voxels: int, min_slices: int) -> DataFrame:
     """Verdict from stored statistics: too few voxels, axis too short, no contiguous window; null for a good mask."""
     x = stats.join(runs, "case_id", "left")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from maskloom.functions import keys as K
 from maskloom.operators import boxes as B
+from maskloom.operators import records as R2
 from maskloom.operators import results as R
 from maskloom.plans.base import query, rounded
 from maskloom.plans.views import CASES, FILES, OK, case_results, files, table
@@ -41,10 +44,16 @@ def ct_catalog_scan(spark, sf):
     return T.ct_datasets(T.catalog(_raw_catalog(spark, sf)))
 
 
-@query("SELECT count(*) > 0 AS found, true AS sized FROM documents")
+#: The given tables: a file each.
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(f"SELECT name || '.parquet' AS name, '.parquet' AS ext, true AS sized, row_number() OVER (ORDER BY name || '.parquet') AS place FROM (SELECT unnest({_TABLES}) AS name)")
 def file_scan(spark, sf):
-    f = T.list_files(spark, sf, [".parquet"])
-    return f.agg((F.count("*") > 0).alias("found"), F.coalesce(F.min("length") > 0, F.lit(False)).alias("sized"))
+    f = T.list_files(spark, sf, [".parquet"]).where(~F.col("path").rlike("/part-"))
+    name = F.substring_index("path", "/", -1)
+    place = F.row_number().over(Window.orderBy("path")).cast("long")  # a row per file of one folder
+    return f.select(name.alias("name"), K.ext_of(F.col("path")).alias("ext"), (F.col("length") > 0).alias("sized"), place.alias("place"))
 
 
 _G = "g AS (SELECT p_type AS modality, p_brand AS subdataset, CASE WHEN p_partkey % 4 = 0 THEN 'test' ELSE 'train' END AS split, 'id' || p_partkey AS identifier, ['i' || p_partkey] AS images, CASE WHEN p_size % 2 = 0 THEN ['m' || p_partkey] ELSE [] END AS masks FROM part)"
@@ -90,10 +99,24 @@ def jsonl_bad_lines(spark, sf):
     return T.tolerant_json(lines, "k int")[1]
 
 
-@query("SELECT CASE WHEN (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') >= (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') THEN 'jsonl' ELSE 'csv' END AS source, greatest((SELECT count(*) FROM orders WHERE o_orderstatus = 'F'), (SELECT count(*) FROM orders WHERE o_orderstatus = 'O')) AS rows")
+_LOGGED = "r AS (SELECT o_orderstatus AS model, CASE WHEN o_custkey % 50 > 0 THEN o_custkey % 200 END AS case_id, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM orders)"
+
+
+@query(f"""WITH {_LOGGED}, ok AS (SELECT * FROM r WHERE status = 'ok'), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, case_id ORDER BY seq DESC) AS k FROM ok) WHERE k = 1 OR case_id IS NULL)
+  SELECT 1 AS run, 'jsonl' AS source, model, case_id, seq FROM a UNION ALL SELECT 2, 'csv', model, case_id, seq FROM ok""")
 def resume_source_pick(spark, sf):
-    n = table(spark, sf, "orders").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count_if(F.col("o_orderstatus") == "O").alias("b"))
-    return n.select(F.when(F.col("a") >= F.col("b"), "jsonl").otherwise("csv").alias("source"), F.greatest("a", "b").alias("rows"))
+    """Two runs: with all rows in the JSON lines and half of them in the table, and the other way round; both logs are written and read again."""
+    o = table(spark, sf, "orders")
+    rows = o.select(F.col("o_orderstatus").alias("model"), F.when(F.col("o_custkey") % 50 > 0, F.col("o_custkey") % 200).alias("case_id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 5 == 0, "failed").otherwise("ok").alias("status"))
+    schema, out = "model string, case_id long, seq long, status string", []
+    for run, (lines, csv) in enumerate([(rows, rows.where("seq % 2 = 0")), (rows.where("seq % 2 = 0"), rows)], 1):
+        at = _folder(spark)
+        lines.write.json(f"{at}/jsonl")
+        csv.write.option("header", True).csv(f"{at}/csv")
+        parsed, _ = T.tolerant_json(spark.read.text(f"{at}/jsonl"), schema)
+        source, found = T.resume_rows(parsed, spark.read.schema(schema).option("header", True).csv(f"{at}/csv"), ["model", "case_id"], "seq")
+        out.append(found.select(F.lit(run).alias("run"), F.lit(source).alias("source"), "model", "case_id", "seq"))
+    return out[0].unionByName(out[1])
 
 
 @query(f"WITH {FILES} SELECT path, doc_id * 7 AS length, doc_id % 90 AS mtime, n_chars AS voxels FROM files JOIN documents USING (doc_id) WHERE doc_id % 3 > 0 AND doc_id % 2 = 0")
@@ -104,12 +127,12 @@ def mask_stats_scan(spark, sf):
     return T.fresh_stats(cache, wanted)
 
 
-@query("SELECT count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS total FROM documents")
+@query("SELECT doc_id, n_chars, CAST(doc_id % 3 > 0 AS INT) AS part FROM documents")
 def mask_stats_append(spark, sf):
+    """A third of the rows, then all of them: those that are there stay as they are."""
     path, d = _folder(spark), table(spark, sf, "documents").select("doc_id", "n_chars")
-    for part in (0, 1):
-        d.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(path)
-    return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.sum("doc_id").alias("total"))
+    T.append_stats(path, d.where("doc_id % 3 = 0").withColumn("part", F.lit(0)), ["doc_id", "n_chars"])
+    return T.append_stats(path, d.withColumn("part", F.lit(1)), ["doc_id", "n_chars"])
 
 
 @query("SELECT doc_id, coalesce(l.quality, 9) = 1 AS ok, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS origin FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -119,12 +142,11 @@ def qc_cache_merge(spark, sf):
     return T.cache_merge(old, new, ["doc_id"])
 
 
-@query("SELECT DISTINCT 'm' || (p_partkey // 2) AS path, true AS ok FROM part WHERE p_partkey % 2 = 1")
+@query("SELECT DISTINCT p_brand AS dataset, 'm' || (p_partkey // 2 % 70) AS path, true AS ok FROM part WHERE p_partkey % 2 = 1 AND p_size % 7 > 0")
 def qc_cache_seed(spark, sf):
-    p = table(spark, sf, "part").withColumn("dim", F.col("p_partkey") % 2 + 2)
-    path = F.concat(F.lit("m"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("path")
-    side = lambda r: p.where(F.col("dim") == 3).where(F.col("p_size") % 2 == r).select(path)
-    return side(0).unionByName(side(1)).dropDuplicates(["path"]).withColumn("ok", F.lit(True))
+    path = F.when(F.col("p_size") % 7 > 0, F.concat(F.lit("m"), (F.floor(F.col("p_partkey") / 2) % 70).cast("string")))
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("dataset"), (F.col("p_partkey") % 2 + 2).alias("dim"), path.alias("mask"), (F.col("p_size") % 2).alias("r"))
+    return R2.cache_seed([p.where("r = 0").drop("r"), p.where("r = 1").drop("r")])
 
 
 @query(f"WITH {CASES} SELECT model, count(*) AS rows FROM cases GROUP BY 1")
@@ -139,10 +161,10 @@ def rle_source(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.explode(T.rle_cells(text)).alias("p"))
 
 
-@query(f"WITH {FILES} SELECT path, CASE WHEN lower(split_part(path, '/', 2)) IN ('fr', 'de') THEN 'test' ELSE 'train' END AS folder FROM files")
+@query(f"WITH {FILES} SELECT path, CASE WHEN lower(split_part(path, '/', 2)) IN ('fr', 'de') THEN 'test' ELSE 'train' END AS folder, CASE WHEN split_part(path, '/', 3) = 'test' THEN 'test' ELSE 'train' END AS split FROM files")
 def rle_path_route(spark, sf):
-    seg = F.lower(F.split("path", "/")[1])
-    return files(spark, sf).select("path", F.when(seg.isin("fr", "de"), "test").otherwise("train").alias("folder"))
+    path = F.col("path")
+    return files(spark, sf).select("path", K.split_of_path(path, ("fr", "de"), 1).alias("folder"), K.split_of_path(path, segment=2).alias("split"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_nationkey % 5 END AS a, coalesce(CASE WHEN s_nationkey % 5 > 0 THEN CAST(s_nationkey % 5 AS VARCHAR) END, CASE WHEN s_suppkey % 3 > 0 THEN 'g' || (s_suppkey % 3) END, 'd') AS level FROM supplier")
@@ -169,10 +191,16 @@ def box_xywh(spark, sf):
 
 @query(f"WITH {_BOXES} SELECT image, n, tie FROM b WHERE score > 0.05 AND w * h >= 100")
 def mask_candidate_filter(spark, sf):
-    return _boxes(spark, sf).where((F.col("score") > 0.05) & (F.col("w") * F.col("h") >= 100)).select("image", "n", "tie")
+    return B.candidates(_boxes(spark, sf).withColumn("area", F.col("w") * F.col("h")), "score", "area", 0.05, 100).select("image", "n", "tie")
 
 
-@query()
+# Greedy by rank: a box stays unless one of the earlier boxes that overlap it too much has stayed.
+@query(f"""WITH RECURSIVE {_BOXES}, k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, tie) AS r FROM b),
+  o AS (SELECT j.image, j.r, list(i.r) AS over_ FROM k i JOIN k j ON i.image = j.image AND i.r < j.r
+    WHERE greatest(0, least(i.x0 + i.w, j.x0 + j.w) - greatest(i.x0, j.x0)) * greatest(0, least(i.y0 + i.h, j.y0 + j.h) - greatest(i.y0, j.y0)) > 0.1 * (i.w * i.h + j.w * j.h - greatest(0, least(i.x0 + i.w, j.x0 + j.w) - greatest(i.x0, j.x0)) * greatest(0, least(i.y0 + i.h, j.y0 + j.h) - greatest(i.y0, j.y0))) GROUP BY 1, 2),
+  c AS MATERIALIZED (SELECT k.image, k.r, coalesce(o.over_, []) AS over_ FROM k LEFT JOIN o USING (image, r)),
+  t AS (SELECT image, 1::BIGINT AS r, [1::BIGINT] AS kept FROM c WHERE r = 1 UNION ALL SELECT t.image, c.r, CASE WHEN list_has_any(t.kept, c.over_) THEN t.kept ELSE list_append(t.kept, c.r) END FROM t JOIN c ON c.image = t.image AND c.r = t.r + 1)
+  SELECT image, n, tie FROM k SEMI JOIN (SELECT image, unnest(kept) AS r FROM (SELECT image, arg_max(kept, r) AS kept FROM t GROUP BY 1)) USING (image, r)""")
 def box_nms(spark, sf):
     return B.nms(_boxes(spark, sf), ["image"], "score", "tie", 0.1).select("image", "n", "tie")
 
@@ -197,11 +225,11 @@ def task_label(spark, sf):
     return x.select("s_suppkey", F.coalesce("display", F.replace("task", F.lit("_"), F.lit(" ")), F.lit("unknown")).alias("label"))
 
 
-@query("SELECT o_orderkey, coalesce(nullif(trim(CASE WHEN o_orderkey % 4 = 0 THEN ' ' WHEN o_orderkey % 4 = 1 THEN o_orderstatus END), ''), nullif(CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE '' END, ''), 'unknown') AS meta FROM orders")
+@query("SELECT o_orderkey, coalesce(nullif(trim(CASE WHEN o_orderkey % 4 = 0 THEN ' ' WHEN o_orderkey % 4 = 1 THEN o_orderstatus END), ''), CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN NULL END, 'unknown') AS meta FROM orders")
 def meta_value(spark, sf):
     a = F.when(F.col("o_orderkey") % 4 == 0, " ").when(F.col("o_orderkey") % 4 == 1, F.col("o_orderstatus"))
-    b = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).otherwise("")
-    return table(spark, sf, "orders").select("o_orderkey", F.coalesce(F.nullif(F.trim(a), F.lit("")), F.nullif(F.trim(b), F.lit("")), F.lit("unknown")).alias("meta"))
+    b = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.col("o_orderpriority"), F.lit(" "))).when(F.col("o_orderkey") % 2 == 0, "None").otherwise("")
+    return table(spark, sf, "orders").select("o_orderkey", K.meta_value(a, b).alias("meta"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN ['box', 'point'] WHEN 1 THEN ['mask'] WHEN 2 THEN ['point', 'mask'] ELSE ['box'] END AS modes FROM part")
@@ -216,27 +244,36 @@ def safe_div(spark, sf):
     return rounded(ok.select("seq", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("ppv"), F.coalesce(F.try_divide("fn", "fp"), F.lit(-1.0)).alias("ratio")))
 
 
-@query(f"WITH {OK} SELECT seq, n_frames <= dataset_index % 90 AS all_frames_prompted, dataset_index % 90 = 1 AS only_one_prompted, prompt_mode = 'O' AS masks_used FROM ok")
+@query(f"""WITH {OK} SELECT seq, n_frames = dataset_index % 90 AND prompt_mode = 'box' AS boxes_supplied_for_every_frame, dataset_index % 90 <= dataset_index % 70 AS only_cached_frames_prompted, dataset_index % 90 = 1 AS only_one_frame_prompted,
+  prompt_mode = 'mask' OR dataset_index % 4 = 0 AS mask_prompts_used FROM (SELECT * REPLACE (CASE WHEN prompt_mode = 'O' THEN 'box' WHEN dataset_index % 3 = 0 THEN 'mask' ELSE 'point' END AS prompt_mode) FROM ok)""")
 def prompt_audit_flags(spark, sf):
-    ok = R.status_split(case_results(spark, sf))[0]
-    prompted = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("dataset_index") % 90).cast("int")))
-    none = F.array().cast("array<int>")
-    x = ok.withColumn("prompted", F.when(F.col("dataset_index") % 90 > 0, prompted).otherwise(none)).withColumn("all", F.sequence(F.lit(1), F.col("n_frames").cast("int")))
-    return x.select("seq", (F.size(F.array_except("all", "prompted")) == 0).alias("all_frames_prompted"), (F.size("prompted") == 1).alias("only_one_prompted"), (F.col("prompt_mode") == "O").alias("masks_used"))
+    ok, d = R.status_split(case_results(spark, sf))[0], F.col("dataset_index")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), n.cast("int"))))
+    mode = F.when(F.col("prompt_mode") == "O", "box").when(d % 3 == 0, "mask").otherwise("point")
+    x = ok.withColumns({"prompt_mode": mode, "actual": upto(d % 90), "cached": upto(d % 70), "mask_frames": F.when(d % 4 == 0, F.array(F.lit(1)))})
+    return R2.prompt_audit(x).select("seq", "boxes_supplied_for_every_frame", "only_cached_frames_prompted", "only_one_frame_prompted", "mask_prompts_used")
 
 
-@query("SELECT p_partkey, (p_size % 5 > 0) AND p_size >= 20 AND p_partkey % 4 >= 2 AND p_partkey % 3 = 0 AS trusted FROM part")
+@query("SELECT p_partkey, (p_size % 5 > 0) AND p_size >= 20 AND p_partkey % 4 >= 2 AND p_partkey % 3 = 2 AND p_partkey % 7 > 0 AND p_partkey % 11 > 0 AND p_partkey % 13 > 0 AS trusted FROM part")
 def policy_trust(spark, sf):
-    p = table(spark, sf, "part")
-    policy = F.struct((F.col("p_size") % 5 > 0).alias("applied"), F.col("p_size").alias("min_voxels"), (F.col("p_partkey") % 4).alias("min_slices"), (F.col("p_partkey") % 3).alias("downsample"))
-    ok = lambda x: x["applied"] & (x["min_voxels"] >= 20) & (x["min_slices"] >= 2) & (x["downsample"] == 0)
-    return p.withColumn("policy", policy).select("p_partkey", ok(F.col("policy")).alias("trusted"))
-
-
-@query("SELECT p_partkey, i AS modality_index, 'id' || p_partkey || '_modality' || i AS identifier, list_filter(range(0, 4), lambda m: m % (p_size % 3 + 1) = i) AS masks FROM (SELECT *, unnest(range(0, p_size % 3 + 1)) AS i FROM part)")
+    """Stored policies as JSON texts: some too weak, some with a boolean or a text for a number, some malformed."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    policy = F.to_json(F.struct(
+        (size % 5 > 0).alias("applied"), size.alias("min_component_voxels_3d"), (k % 3).alias("mask_qc_downsample_3d"), F.lit(40).alias("min_slice_area_px_3d"), F.lit(0.25).cast("double").alias("min_slice_area_fraction_3d"),
+        (k % 4).alias("min_qualified_slices_3d"), F.lit(True).alias("require_contiguous_qualified_slices_3d")))
+    policy = F.when(k % 7 == 0, F.regexp_replace(policy, '"min_slice_area_px_3d":40', '"min_slice_area_px_3d":true')).when(k % 11 == 0, F.regexp_replace(policy, '"min_slice_area_px_3d":40', '"min_slice_area_px_3d":"40"')).when(k % 13 == 0, F.substring(policy, 1, 40)).otherwise(policy)
+    return table(spark, sf, "part").withColumn("policy", policy).select("p_partkey", R2.policy_trusted(F.col("policy"), {"min_voxels": 20, "min_frac_2d_area": 0.2}).alias("trusted"))
+
+
+@query("""SELECT CASE WHEN n = 0 THEN 'id' || p_partkey ELSE 'id' || p_partkey || '_modality' || i END AS identifier, CAST(i AS INT) AS modality_index, 'im' || i AS image, CASE WHEN n = 0 THEN list_transform(range(0, 4), lambda m: m % 2) ELSE list_transform(range(0, 4), lambda m: 0) END AS mask_index,
+  list_transform(range(0, 4), lambda m: 'm' || m) AS mask_path FROM (SELECT *, p_size % 3 AS n, unnest(range(0, p_size % 3 + 1)) AS i FROM part) WHERE p_partkey % 4 = 0 OR n = 0
+  UNION ALL SELECT 'id' || p_partkey || '_modality' || i, CAST(i AS INT), 'im' || i, list_transform(list_filter(range(0, 4), lambda m: m % 2 = i), lambda m: 0), list_transform(list_filter(range(0, 4), lambda m: m % 2 = i), lambda m: 'm' || m) FROM (SELECT *, p_size % 3 AS n, unnest(range(0, p_size % 3 + 1)) AS i FROM part) WHERE p_partkey % 4 > 0 AND n > 0""")
 def split_modalities(spark, sf):
-    p = table(spark, sf, "part")
+    """Groups of one to three images with four masks, of every fourth group shared by all images."""
     n = (F.col("p_size") % 3).cast("int")
-    x = p.select("p_partkey", n.alias("n"), F.posexplode(F.sequence(F.lit(0), n)).alias("modality_index", "v"))
-    masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda m: m % (F.col("n") + 1) == F.col("modality_index"))
-    return x.select("p_partkey", F.col("modality_index").cast("long").alias("modality_index"), F.concat(F.lit("id"), F.col("p_partkey").cast("string"), F.lit("_modality"), F.col("modality_index").cast("string")).alias("identifier"), masks.alias("masks"))
+    images = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("im"), i.cast("string")))
+    masks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda m: F.struct((m % 2).alias("image_index"), F.concat(F.lit("m"), m.cast("string")).alias("path")))
+    g = table(spark, sf, "part").select(F.concat(F.lit("id"), F.col("p_partkey").cast("string")).alias("identifier"), images.alias("images"), masks.alias("masks"), (F.col("p_partkey") % 4 == 0).alias("shared"))
+    out = R2.split_modalities(g, F.col("shared"))
+    index = F.transform("masks", lambda m: m["image_index"].cast("long"))
+    return out.select("identifier", "modality_index", "image", index.alias("mask_index"), F.transform("masks", lambda m: m["path"]).alias("mask_path"))

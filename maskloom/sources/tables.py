@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def ct_datasets(cat: DataFrame) -> DataFrame:
 def list_files(spark: SparkSession, root: str, exts: list[str]) -> DataFrame:
     """Paths, sizes and times below a folder, for allowed extensions; the content is not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    return f.where(ext_of(F.col("path")).isin(*exts)).dropDuplicates(["path"])
+    return f.where(ext_of(F.col("path")).isin(*exts)).dropDuplicates(["path"]).orderBy("path")
 
 
 def groups(doc: DataFrame) -> DataFrame:
@@ -60,6 +62,33 @@ def fresh_stats(cache: DataFrame, files: DataFrame) -> DataFrame:
     return cache.join(files.select("path", "length", "mtime"), ["path", "length", "mtime"], "left_semi")
 
 
+def append_stats(path: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Append the rows whose keys the cache at `path` does not have yet, and return the cache; nulls count as values."""
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = rows.dropDuplicates(keys)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        old = spark.read.schema(rows.schema).parquet(path).select(*[F.col(k).alias(f"__{k}") for k in keys])
+        new = new.join(old, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
+    new.write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def resume_rows(jsonl: DataFrame, csv: DataFrame, keys: list[str], order: str) -> tuple[str | None, DataFrame]:
+    """The rows to resume from, and their source: of both logs the ok rows count; the JSON lines win unless the table has more.
+
+    Of JSON lines the last row (by `order`) of each key stays, and all rows without a whole key; rows of the table stay as they are. Without rows the source is None."""
+    ok = lambda df: df.where(F.lower("status") == "ok")
+    lines, rows = ok(jsonl), ok(csv)
+    n_lines, n_rows = lines.count(), rows.count()
+    if n_lines and n_lines >= n_rows:
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        rest = [c for c in lines.columns if c not in keys]
+        last = lines.where(whole).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+        return "jsonl", last.select(*lines.columns).unionByName(lines.where(~whole))
+    return ("csv", rows) if n_rows else (None, rows)
+
+
 def cache_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old and new rows; the new one wins."""
     rest = [c for c in old.columns if c not in keys]
@@ -67,9 +96,9 @@ def cache_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__new").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def write_by_model(df: DataFrame, path: str) -> DataFrame:
-    """Results as Parquet by model, and the rows of each."""
-    df.repartition("model").write.mode("overwrite").partitionBy("model").parquet(path)
+def write_by_model(df: DataFrame, path: str, parts: int = 8) -> DataFrame:
+    """Results as Parquet by model, and the rows of each. Models are few and large: each is dealt over `parts` tasks."""
+    df.withColumn("__part", F.floor(F.rand(7) * parts)).repartition("model", "__part").drop("__part").write.mode("overwrite").partitionBy("model").parquet(path)
     return df.sparkSession.read.parquet(path).groupBy("model").agg(F.count("*").alias("rows"))
 
 
