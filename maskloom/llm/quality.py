@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -28,16 +30,20 @@ NAMES = ("letters", "upper", "digits", "symbols", "marks", "space", "length", "s
 _MARKS = frozenset(map(ord, ".,;:?'\"()-"))
 
 
-def _kinds() -> np.ndarray:
-    """For each Latin-1 code: 0 letter, 1 capital, 2 digit, 3 white space, 4 usual mark, 5 other symbol."""
-    out = np.full(256, 5, np.uint8)
-    for i in range(256):
-        c = chr(i)
-        out[i] = 1 if c.isupper() else 0 if c.isalpha() else 2 if c.isdigit() else 3 if c.isspace() else 4 if i in _MARKS else 5
-    return out
+def _kind(c: str) -> int:
+    """0 letter (or a mark upon one), 1 capital, 2 digit, 3 white space, 4 usual mark, 5 other symbol."""
+    if c.isascii():
+        return 1 if c.isupper() else 0 if c.isalpha() else 2 if c.isdigit() else 3 if c.isspace() else 4 if ord(c) in _MARKS else 5
+    return 1 if c.isupper() else 0 if c.isalpha() else 3 if c.isspace() else {"M": 0, "N": 2, "P": 4}.get(category(c)[0], 5)
+
 
+_ASCII = np.array([_kind(chr(i)) for i in range(128)], np.uint8)
 
-_KINDS = _kinds()
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of each code point of any script."""
+    return np.fromiter((_kind(chr(i)) for i in range(0x110000)), np.uint8, 0x110000)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -45,8 +51,8 @@ def features(text: str | None) -> np.ndarray:
     words = text.split()
     if not words:
         return np.array([0.0] * (len(NAMES) - 1) + [1.0], np.float32)
-    raw = np.frombuffer(text.encode("latin-1", "replace") if not text.isascii() else text.encode("ascii"), np.uint8)
-    kinds = np.bincount(_KINDS[raw], minlength=6) / len(raw)
+    raw = _ASCII[np.frombuffer(text.encode(), np.uint8)] if text.isascii() else _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    kinds = np.bincount(raw, minlength=6) / len(raw)
     n = len(words)
     sizes = np.fromiter(map(len, words), np.int64, n)
     counts = Counter(words)

@@ -91,3 +91,13 @@ def test_language_model_defined_cases(spark):
     assert language_model.digest(docs.limit(0)).collect() == []
     none = language_model.score(docs, docs.limit(0)).collect()
     assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 and r.score <= 0 for r in none)
+
+
+def test_features_know_other_scripts():
+    """Letters of any script are letters; what an encoding lacks is not a mark."""
+    f = dict(zip(quality.NAMES, quality.features("Съешь же ещё этих мягких французских булок, да выпей чаю.")))
+    assert f["letters"] > 0.75 and 0 < f["upper"] < 0.1 and f["marks"] < 0.1 and f["symbols"] == 0
+    g = dict(zip(quality.NAMES, quality.features("日本語の文章です。これは「例」です。")))
+    assert g["letters"] > 0.7 and 0 < g["marks"] < 0.3
+    a, b = quality.features("Plain words, of one line."), quality.features("Plain words, of one line\u2026")
+    assert abs(a - b)[:6].max() < 0.1
