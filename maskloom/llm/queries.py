@@ -65,7 +65,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskloom.llm import packing
     from maskloom.llm.token_ids import tokenizer_path
 
-    return packing.digest(packing.pack(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
+    return packing.digest(packing.pack(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), keep_ids=False))
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
