@@ -9,8 +9,10 @@ Layout below one folder, all written by Spark's committer, so a lost executor le
 - `index/`: one row per hash bucket of about `bucket_keys` keys: a hash-and-displace function
   that is minimal and perfect on the bucket's keys (one displacement per group of about four keys), and by slot a
   32-bit fingerprint, shard, block, offset in the block, length and start in the whole store.
+- `files/`: which file holds each shard and each bucket, and `meta/`: the number of buckets.
 
-A look-up hashes the key to a bucket, reads one displacement, compares one fingerprint: constant time.
+A look-up hashes the key to a bucket, reads one displacement, compares one fingerprint: constant time. Up to `DIRECT` keys are looked up
+in the files that hold their buckets and fetched from those that hold their shards, and from no others; more keys meet the whole index in a join.
 A key that was not stored is refused unless its fingerprint agrees by chance (2^-32).
 
 Defined cases: a null text is empty and has just its end id; a null key sorts first and can be looked up;
@@ -28,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import tidy
+from maskloom.llm.shared import tidy, written
 from maskloom.llm.token_ids import encoder
 
 _PAYLOAD = "shard int, block int, doc_ids array<long>, occurrences array<int>, lengths array<int>, ids binary"
 _INDEX = "bucket long, n int, displacements binary, fingerprints binary, shards binary, blocks binary, offsets binary, lengths binary, starts binary"
+_FILES = "kind string, number long, file string"
+#: Keys that are few enough to be looked up file by file; what the driver learns of them is their buckets and shards.
+DIRECT = 10_000
 _FOUND = "doc_id long, occurrence int, shard int, block int, offset long, n_tokens long, start long"
 _NULL = np.int64(-(1 << 63) + 1)
 
@@ -136,6 +141,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     )
     entries.groupBy("bucket").applyInPandas(_build, _INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
     spark.createDataFrame([(buckets,)], "buckets long").coalesce(1).write.parquet(f"{path}/meta")
+    holds = lambda name, schema, column: spark.read.schema(schema).parquet(f"{path}/{name}").select(F.lit(name).alias("kind"), F.col(column).cast("long").alias("number"), F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"))
+    holds("payload", _PAYLOAD, "shard").distinct().unionByName(holds("index", _INDEX, "bucket")).write.parquet(f"{path}/files")
     return path
 
 
@@ -159,10 +166,23 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "n": [len(h)], "displacements": [d.astype("<u4").tobytes()], "fingerprints": [prints[at].tobytes()], "shards": [raw("shard", "<i4")], "blocks": [raw("block", "<i4")], "offsets": [raw("offset", "<i8")], "lengths": [raw("length", "<i4")], "starts": [raw("start", "<i8")]})
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+def _part(spark: SparkSession, path: str, name: str, schema: str, column: str, numbers: list[int]) -> DataFrame:
+    """The rows of `numbers` (shards or buckets) of a part of the store, from the files that hold them alone."""
+    files = spark.read.schema(_FILES).parquet(f"{path}/files").where((F.col("kind") == name) & F.col("number").isin(numbers)).select("file").distinct().collect()
+    if not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/{name}/{r['file']}" for r in files]).where(F.col(column).isin(numbers))
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame, direct: int = DIRECT) -> DataFrame:
     """Where each of the distinct (doc_id, occurrence) of `keys` lies; keys that are not stored give no row."""
     buckets = spark.read.schema("buckets long").parquet(f"{path}/meta").first()[0]
-    index = spark.read.schema(_INDEX).parquet(f"{path}/index")
+    wanted = keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("int")).distinct().select(_bucket(buckets), "doc_id", "occurrence")
+    few = [r["bucket"] for r in wanted.select("bucket").limit(direct + 1).collect()] if direct else []
+    if direct and len(few) <= direct:
+        index = _part(spark, path, "index", _INDEX, "bucket", sorted(set(few)))
+    else:
+        index = spark.read.schema(_INDEX).parquet(f"{path}/index")
 
     def find(wanted: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
         if not len(wanted) or not len(row):
@@ -176,7 +196,6 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         take = lambda c, kind: np.frombuffer(r[c], kind)[s]
         return pd.DataFrame({"doc_id": got["doc_id"].astype("Int64").array, "occurrence": got["occurrence"].to_numpy(), "shard": take("shards", "<i4"), "block": take("blocks", "<i4"), "offset": take("offsets", "<i8"), "n_tokens": take("lengths", "<i4").astype(np.int64), "start": take("starts", "<i8")})
 
-    wanted = keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("int")).distinct().select(_bucket(buckets), "doc_id", "occurrence")
     return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, _FOUND)
 
 
@@ -195,14 +214,22 @@ def checksums(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     The payload is scanned where it lies; only checksums meet the index's places, on (shard, block, offset, n_tokens)."""
     payload = spark.read.schema(_PAYLOAD).parquet(f"{path}/payload").select("shard", "block", "lengths", "ids")
     sums = payload.mapInPandas(_slices, "shard int, block int, offset long, n_tokens long, ids_crc32 long")
-    return lookup(spark, path, keys).join(sums, ["shard", "block", "offset", "n_tokens"]).select("doc_id", "occurrence", "start", "n_tokens", "ids_crc32")
-
-
-def fetch(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """The raw ids of the keys, one row each: doc_id, occurrence, start, n_tokens, ids. For key sets much smaller than the store."""
-    found = lookup(spark, path, keys)
-    payload = spark.read.schema(_PAYLOAD).parquet(f"{path}/payload").select("shard", "block", F.col("ids").alias("raw"))
-    return payload.join(found, ["shard", "block"]).select("doc_id", "occurrence", "start", "n_tokens", F.expr("substring(raw, cast(4 * offset + 1 as int), cast(4 * n_tokens as int))").alias("ids"))
+    return lookup(spark, path, keys, 0).join(sums, ["shard", "block", "offset", "n_tokens"]).select("doc_id", "occurrence", "start", "n_tokens", "ids_crc32")
+
+
+def fetch(spark: SparkSession, path: str, keys: DataFrame, direct: int = DIRECT) -> DataFrame:
+    """The raw ids of the keys, one row each: doc_id, occurrence, start, n_tokens, ids. Few keys read the files that hold them alone."""
+    found = lookup(spark, path, keys, direct)
+    shards = []
+    if direct:
+        found = written(found, "token-places")
+        shards = [r["shard"] for r in found.select("shard").limit(direct + 1).collect()]
+    if direct and len(shards) <= direct:
+        payload = _part(spark, path, "payload", _PAYLOAD, "shard", sorted(set(shards)))
+    else:
+        payload = spark.read.schema(_PAYLOAD).parquet(f"{path}/payload")
+    raw = payload.select("shard", "block", F.col("ids").alias("raw"))
+    return raw.join(found, ["shard", "block"]).select("doc_id", "occurrence", "start", "n_tokens", F.expr("substring(raw, cast(4 * offset + 1 as int), cast(4 * n_tokens as int))").alias("ids"))
 
 
 def stored_keys(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -126,3 +126,40 @@ def test_perfect_hash_is_minimal():
     h = token_store._mix(np.arange(5000), np.zeros(5000, int), 0)
     d = token_store.perfect_hash(h)
     assert sorted(token_store._slot(h, d[(h % np.uint64(len(d))).astype(int)], 5000)) == list(range(5000))
+
+
+def test_leftovers_of_partitions_are_merged(spark):
+    """Few short sequences in all, not some for each partition; a null key keeps its pieces."""
+    rng = np.random.default_rng(0)
+    rows = [(None if i == 5 else i, " ".join(["word"] * int(rng.integers(1, 60)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    out = packing.pack(df, tokenizer_path("byte_bpe_50k.json"), size=64, open_windows=4, merged=8).collect()
+    size = {}
+    for r in out:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+        assert r.ids_crc32 == zlib.crc32(bytes(r.ids))
+    short = [n for n in size.values() if n < 64]
+    assert sum(n & (n - 1) == 0 for n in short) <= 2 * 6 and max(size.values()) == 64
+    assert sum(r.length for r in out if r.doc_id is None) == len(reference_ids("byte_bpe_50k.json", rows[5][1], 0))
+    bare = packing.digest(packing.pack(df, tokenizer_path("byte_bpe_50k.json"), size=64, open_windows=4, merged=8, keep_ids=False)).collect()
+    assert sorted((r.doc_id or -1, r.start, r.length, r.ids_crc32) for r in bare) == sorted((r.doc_id or -1, r.start, r.length, r.ids_crc32) for r in out)
+
+
+def test_a_few_keys_read_a_few_files(spark):
+    rows = [(i, f"text number {i} of some") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    path = token_store.write_store(df, new_path(spark, "t"), tokenizer_path("word_bpe_49k.json"), block_ids=200, bucket_keys=50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    everything = {name: len(spark.read.parquet(f"{path}/{name}").inputFiles()) for name in ("index", "payload")}
+    assert min(everything.values()) >= 6
+    one = spark.createDataFrame([(1234, 0)], "doc_id long, occurrence int")
+    index = token_store._part(spark, path, "index", token_store._INDEX, "bucket", [r.bucket for r in one.select(token_store._bucket(80)).collect()])
+    assert len(index.inputFiles()) == 1
+    got = token_store.fetch(spark, path, one)
+    assert sum("payload" in f for f in got.inputFiles()) == 1 and not any("/index/" in f for f in got.inputFiles())
+    assert [np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got.collect()] == [reference_ids("word_bpe_49k.json", rows[1234][1], 1)]
+    some = spark.createDataFrame([(i, 0) for i in range(0, 5000, 7)], "doc_id long, occurrence int")
+    few, many = (sorted((r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in token_store.fetch(spark, path, some, direct).collect()) for direct in (token_store.DIRECT, 0))
+    assert few == many and len(few) == len(range(0, 4000, 7))
