@@ -41,7 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of 1024, one row per piece, with its ids."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [
