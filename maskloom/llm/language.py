@@ -10,7 +10,8 @@ Training documents: at most about `per_language` of each language, taken by a ha
 few (the profiles travel with the tasks: `profile_size` entries each). Scoring has no shuffle.
 
 Defined cases: a null text or one without a letter is `und` with score 0; very long texts are read whole; repeated
-rows are scored each; with no training row every text is `und`; an empty table gives no rows."""
+rows are scored each; with no training row every text is `und`; an empty table gives no rows; columns named `lang_pred`, `score`
+or `distance` are replaced by the results, all others asked for stay as they are."""
 
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from maskloom.llm.shared import crc_mod, tidy
 
@@ -128,7 +130,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str],
         return names[best], float(1 / np.exp(-40 * (d - d[best])).sum()), float(d[best])
 
     kept = [c for c in columns if c not in ("lang_pred", "score", "distance")]
-    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double", "distance double"])
+    fields = StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double").add("distance", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

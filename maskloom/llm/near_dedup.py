@@ -385,12 +385,14 @@ def unique_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw)
 
     Every row is a document of its own, also those that share a key or have none. Rows without words are classes of their own,
     but of exact copies with the same key one stays."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    named = classes(rows, "__row", text, **kw)
-    own = rows.select("__row", F.col(key).alias("k"), F.xxhash64(text).alias("h")).join(named, F.col("__row") == F.col("doc_id"))
-    best = own.groupBy("class_id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h", "__row")).alias("x")).select("x.*")
-    stay = best.groupBy("k", "h", F.when(F.col("none"), F.col("__row"))).agg(F.min("__row").alias("__row")).select("__row")
-    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = written(whole, "numbered")
+    read = rows.select("row", F.col("doc").getField(key).alias("k"), F.col("doc").getField(text).alias("text"))
+    named = classes(read, "row", **kw)
+    own = read.select("row", "k", F.xxhash64("text").alias("h")).join(named, F.col("row") == F.col("doc_id"))
+    best = own.groupBy("class_id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h", "row")).alias("x")).select("x.*")
+    stay = best.groupBy("k", "h", F.when(F.col("none"), F.col("row"))).agg(F.min("row").alias("row")).select("row")
+    return rows.join(stay, "row", "left_semi").select("doc.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

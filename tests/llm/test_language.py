@@ -42,3 +42,14 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.digest(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) > 100 and np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
+def test_unusual_rows(spark):
+    """Very long texts, repeated rows, and columns with the results' names."""
+    rows = [(i, "the house of the old man and his dog " * 3, "en", "p", 9.0) for i in range(6)] + [(i, "la casa del viejo hombre y su perro " * 3, "es", "p", 9.0) for i in range(6, 12)]
+    docs = spark.createDataFrame(rows + [(20, "the man and the dog " * 50_000, None, "p", 9.0), (21, "del perro y la casa", None, "p", 9.0), (21, "del perro y la casa", None, "p", 9.0)], "doc_id long, text string, lang string, lang_pred string, score double")
+    out = language.predict(docs, language.learn(docs), docs.columns)
+    assert sorted(out.columns) == ["distance", "doc_id", "lang", "lang_pred", "score", "text"]
+    got = [(r.doc_id, r.lang_pred, r.lang) for r in out.where("doc_id >= 20").orderBy("doc_id").collect()]
+    assert got == [(20, "en", None), (21, "es", None), (21, "es", None)]
+    assert len(language.digest(docs).collect()) == 15
