@@ -12,15 +12,26 @@ from maskloom.llm import decontamination, language, near_dedup, packing, secrets
 from maskloom.llm.shared import written
 from maskloom.llm.token_ids import tokenizer_path
 
-#: Documents whose nearest profile is farther than this (as a share of the most possible) are in no known language.
-FARTHEST = 0.98
+#: Documents whose nearest profile is farther than this (as a share of the most possible) are in no known language. Texts of a learnt language
+#: stay well below, of one word as of thousands (0.60 at most in the given tables); random letters of their alphabet are over 0.71.
+FARTHEST = 0.7
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """A document's columns in one, beside its text: columns of operators may have names that documents have as well."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
+
+
+def _columns(rows: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of documents with their types, some anew."""
+    return rows.select(*[(new[c].cast(t) if c in new else F.col("__doc").getField(c)).alias(c) for c, t in docs.dtypes])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or in no known language; a missing lang becomes the predicted one."""
-    found = language.predict(docs, language.learn(docs), docs.columns)
+    found = language.predict(_whole(docs), language.learn(docs), ["__doc"])
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("distance") <= FARTHEST))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return _columns(kept, docs, lang=F.coalesce("__doc.lang", "lang_pred"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +46,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by their kind; n_chars follows the text."""
-    out = secrets.redact(secrets.scan(docs))
-    return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = secrets.redact(secrets.scan(_whole(docs)))
+    return _columns(out, docs, text=F.col("text"), n_chars=F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("__doc.n_chars")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
