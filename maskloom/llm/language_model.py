@@ -1,16 +1,21 @@
-"""Hashed maximum-entropy language model over word classes, and the add-one unigram base.
+"""Hashed maximum-entropy language model with class-factored softmax, and the add-one unigram base.
 
 Tokens are the lower-cased (A-Z) words of a text, cut at ASCII white space, and one end. The most frequent words (at most
 `vocabulary`, seen twice or more) are known to the tasks. The most frequent of them, and the end, have a class of their own; the others,
 and the words outside the vocabulary, share classes by a hash of their last two bytes. The probability of a token is
-factored: P(class | the two classes before) P(word | class).
+factored: P(class | the two classes before) P(word | class, the two words before).
 
 - The class softmax has hashed feature rows: a bias, the class before (bigram), the class two before (skip), and the pair
-  of both (trigram) hashed to `pairs` rows. It is trained by distributed gradient updates: every round sends the weights to the tasks,
-  each task takes adaptive gradient steps over its share of the (context, class) counts, and the weights are averaged, each row
-  by the tokens that touched it. The counts are sums over all training tokens.
-- A vocabulary word's probability in its class is its share of the class's training tokens. In a class of words outside, a word
-  seen c times has (c + 1) / (tokens + distinct words + 1), the last place being that of all unseen words together, as in the base.
+  of both (trigram) hashed to `pairs` rows.
+- The word softmax of a class of vocabulary words has an outcome for each of its `SLOTS` - 1 most frequent words and one for the rest, whose words have
+  their share of it. Its hashed feature rows are the word before (bigram) and the word two before (skip), each together with the class; their number
+  grows with the training tokens up to `most_rows`. Rarer words before count by their class. The bias is the logarithm of the share in the class.
+- Both are trained by distributed gradient updates: every round sends the weights to the tasks, each share of the counts takes adaptive gradient
+  steps, and the weights are averaged, each row by the tokens that touched it. The counts are those of all training tokens, summed by
+  Spark: (context, class) and (word before, word two before, class, word). Shares are dealt by a hash of the context, and their number goes by the
+  counts, so the model is the same however the rows are dealt to tasks.
+- In a class of words outside, a word seen c times has (c + 1) / (tokens + distinct words + 1), the last place being that of all unseen
+  words together, as in the base.
 
 Base and model need the count of every word: words outside the vocabulary meet the whole count table in a join, after being counted by text.
 
@@ -20,6 +25,7 @@ training text the base is 0 for each token; an empty table gives no rows; other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -33,6 +39,8 @@ from maskloom.llm.shared import crc_mod, tidy, written
 #: Classes: the end and single words, vocabulary words by suffix, words outside by suffix.
 CLASSES, SINGLE, SUFFIXES = 192, 96, 48
 END, BEGIN = 0, CLASSES
+#: Outcomes of the word softmax of a class, and the words whose own bigrams and skips are features; rarer ones count by class.
+SLOTS, NEAR = 128, 4096
 
 
 def tokenized(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -83,7 +91,7 @@ def suffixes(words: pa.Array) -> np.ndarray:
 
 
 class Vocabulary:
-    """Frequent words with their classes and their log10 share of their class."""
+    """Frequent words with their classes and their outcomes there."""
 
     def __init__(self, counts: dict[bytes, int]):
         order = sorted(counts, key=lambda w: (-counts[w], w))
@@ -92,9 +100,21 @@ class Vocabulary:
         self.classes = np.where(rank < SINGLE, rank, SINGLE + suffixes(self.words)) if order else np.zeros(0, np.int64)
         self.classes[[not w for w in order]] = END
         n = np.array([counts[w] for w in order], float)
-        totals = np.bincount(self.classes, n, CLASSES)
-        self.share = np.log10(n / totals[self.classes])
         self.log_count = np.log10(n + 1)
+        #: A word's outcome in its class (-1: a class of its own), and its log10 share of the outcome.
+        shared = (self.classes >= SINGLE) & (self.classes < SINGLE + SUFFIXES)
+        by_class = np.argsort(self.classes, kind="stable")  # frequent first within a class
+        first = np.searchsorted(self.classes[by_class], self.classes[by_class])
+        place = np.empty(len(order), np.int64)
+        place[by_class] = np.arange(len(order)) - first
+        self.slot = np.where(shared, np.minimum(place, SLOTS - 1), -1)
+        cell = (self.classes - SINGLE) * SLOTS + self.slot
+        mass = np.bincount(cell[shared], n[shared], SUFFIXES * SLOTS)
+        self.within = np.zeros(len(order))
+        self.within[shared] = np.log10(n[shared] / mass[cell[shared]])
+        with np.errstate(divide="ignore"):
+            table = mass.reshape(SUFFIXES, SLOTS)
+            self.bias = np.maximum(np.log(table / np.maximum(table.sum(1, keepdims=True), 1.0)), -1e4).astype(np.float32)
         #: log10 of (tokens + distinct words + 1) of the classes of words outside.
         self.outside = np.zeros(SUFFIXES)
 
@@ -123,19 +143,42 @@ def outside_totals(counts: DataFrame) -> np.ndarray:
     return np.log10(out)
 
 
+def before(seq: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the value one and two before it in its text."""
+    one, two = np.r_[begin, seq[:-1]], np.r_[begin, begin, seq[:-2]][: len(seq)]
+    later = starts + 1
+    two[later[later < len(seq)]] = begin
+    one[starts], two[starts] = begin, begin
+    return one, two
+
+
+def with_ends(values: np.ndarray, per: np.ndarray, end: int) -> np.ndarray:
+    """Values of the words of all texts in order, with one for the end of each text."""
+    out = np.full(len(values) + len(per), end, np.int64)
+    out[np.arange(len(values)) + np.repeat(np.arange(len(per)), per)] = values
+    return out
+
+
 def sequences(classes: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all tokens with the ends put in, the contexts, and where each text begins."""
     starts = np.cumsum(per + 1) - (per + 1)
-    seq = np.full(len(classes) + len(per), END, np.int64)
-    seq[np.arange(len(classes)) + np.repeat(np.arange(len(per)), per)] = classes
-    one, two = np.r_[BEGIN, seq[:-1]], np.r_[BEGIN, BEGIN, seq[:-2]][: len(seq)]
-    one[starts], two[starts] = BEGIN, BEGIN
-    later = starts + 1
-    two[later[later < len(seq)]] = BEGIN  # an end is a start's neighbour there, and starts anew just below
-    two[starts] = BEGIN
+    seq = with_ends(classes, per, END)
+    one, two = before(seq, starts, BEGIN)
     return seq, two * (CLASSES + 1) + one, starts
 
 
+def word_events(known: Vocabulary, at: np.ndarray, classes: np.ndarray, index: np.ndarray, per: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of words with an outcome in a shared class, their contexts (two feature rows and the class in one number) and outcomes."""
+    near = np.where((at >= 0) & (at < NEAR), at, NEAR + classes)
+    starts = np.cumsum(per + 1) - (per + 1)
+    one, two = before(with_ends(near[index], per, NEAR + END), starts, NEAR + BEGIN)
+    slot = with_ends(np.where(at >= 0, known.slot[np.maximum(at, 0)] if len(known.slot) else -1, -1)[index], per, -1)
+    place = np.flatnonzero(slot >= 0)
+    own = with_ends(classes[index], per, END)[place] - SINGLE
+    hashed = lambda x, salt: ((x * SUFFIXES + own) * np.int64(0x9E3779B1) + salt & 0xFFFFFFFF) * np.int64(0x85EBCA6B) % np.int64(4294967291) & (rows - 1)
+    return place, hashed(one[place], 1) | hashed(two[place], 2) << 16 | own << 32, slot[place]
+
+
 def statistics(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """cell, n: how often each class follows each context (cell = context * CLASSES + class), over all tokens of `texts`."""
 
@@ -155,6 +198,71 @@ def statistics(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+def word_statistics(texts: DataFrame, vocabulary: Vocabulary, rows: int) -> DataFrame:
+    """event, n: how often each word of a shared class follows the words before, over all tokens of `texts` (event = outcome << 40 | context)."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            held = []
+            for b in parts(whole):
+                index, words, per = tokenized(b.column(0))
+                _, context, slot = word_events(shared.value, *shared.value.find(words), index, per, rows)
+                held.append(np.unique(context | slot << 40, return_counts=True))
+            if held:
+                events, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([k for _, k in held]), len(events))
+                yield pa.RecordBatch.from_arrays([pa.array(events), pa.array(n.astype(np.int64))], ["event", "n"])
+            tidy()
+
+    return texts.select("text").mapInArrow(run, "event long, n long").groupBy("event").agg(F.sum("n").alias("n"))
+
+
+class WordModel:
+    """Softmax over the outcomes of a class with hashed rows of weights for the words before."""
+
+    def __init__(self, bias: np.ndarray, rows: int):
+        self.bias, self.rows = bias, rows
+        self.w = np.zeros((2 * rows, SLOTS), np.float32)
+
+    def log_p(self, context: np.ndarray) -> np.ndarray:
+        one, two, own = context & 0xFFFF, (context >> 16 & 0xFFFF) + self.rows, context >> 32
+        s = self.bias[own] + self.w[one]
+        s += self.w[two]
+        s -= s.max(1, keepdims=True)
+        return s - np.log(np.exp(s).sum(1, keepdims=True))
+
+    def chosen(self, context: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """ln P of each outcome in its context; contexts that come again are worked out once."""
+        seen, back = np.unique(context, return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        ends, out = np.searchsorted(back[order], np.arange(0, len(seen) + 4096, 4096)), np.zeros(len(context), np.float32)
+        for k in range(0, len(seen), 4096):
+            own = order[ends[k // 4096] : ends[k // 4096 + 1]]
+            out[own] = self.log_p(seen[k : k + 4096])[back[own] - k, slot[own]]
+        return out
+
+    def steps(self, event: np.ndarray, counts: np.ndarray, passes: int, rate: float = 0.3) -> np.ndarray:
+        """Adaptive gradient steps over (context, outcome) counts; returns the tokens that touched each row. The first counts of a row move it little."""
+        context, slot = event & 0xFFFFFFFFFF, event >> 40
+        squares = np.ones(self.w.shape, np.float32)
+        order = np.argsort(event * np.int64(0x9E3779B97F4A7C15 - (1 << 64)), kind="stable")
+        for _ in range(passes):
+            for lo in range(0, len(order), 4096):
+                part = order[lo : lo + 4096]
+                n = counts[part].astype(np.float32)
+                g = np.exp(self.log_p(context[part]))
+                g *= -n[:, None]
+                g[np.arange(len(part)), slot[part]] += n
+                for f in (context[part] & 0xFFFF, (context[part] >> 16 & 0xFFFF) + self.rows):
+                    by = np.argsort(f, kind="stable")
+                    first = np.flatnonzero(np.r_[True, f[by][1:] != f[by][:-1]])
+                    own, rows = np.add.reduceat(g[by], first, axis=0), f[by][first]
+                    squares[rows] += own * own
+                    self.w[rows] += rate * own / np.sqrt(squares[rows])
+        return np.bincount(context & 0xFFFF, counts, 2 * self.rows) + np.bincount((context >> 16 & 0xFFFF) + self.rows, counts, 2 * self.rows)
+
+
 class ClassModel:
     """Softmax over classes with hashed rows of weights."""
 
@@ -191,44 +299,75 @@ class ClassModel:
         return np.bincount(f.ravel(), np.repeat(total, f.shape[1]), self.rows)
 
 
-def train(counts: DataFrame, rounds: int = 4, passes: int = 6, pairs: int = 8192, groups: int = 64) -> ClassModel:
-    """Distributed gradient updates over `counts` (cell, n) of the class table."""
+def averaged(table: DataFrame, model, steps, rounds: int, groups: int = 64) -> None:
+    """Rounds of distributed gradient updates: `steps(own model, rows of a share)` returns the tokens that touched each row; rows are averaged by them.
+
+    `table` has a column `share`; a share's rows fit one task. What comes back to the driver is the model, whose size is a parameter."""
+    width = model.w.shape[1]
+    for _ in range(rounds):
+        now = table.sparkSession.sparkContext.broadcast(model)
+
+        def local(g: pd.DataFrame) -> pd.DataFrame:  # used in this round alone
+            own = copy(now.value)
+            own.w = now.value.w.copy()
+            touched = steps(own, g)
+            rows = np.flatnonzero(touched)
+            tidy()
+            return pd.DataFrame({"share": np.full(len(rows), g["share"].iloc[0], np.int64), "row": rows, "weight": touched[rows].astype(np.float64), "w": [own.w[r].tobytes() for r in rows]})
+
+        def merge(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values(["row", "share"], kind="stable")
+            rows, back = np.unique(g["row"].to_numpy(), return_inverse=True)
+            total, weight = np.zeros((len(rows), width)), g["weight"].to_numpy()
+            for lo in range(0, len(g), 4096):
+                w = np.frombuffer(b"".join(g["w"].iloc[lo : lo + 4096]), np.float32).reshape(-1, width)
+                np.add.at(total, back[lo : lo + 4096], w * weight[lo : lo + 4096, None])
+            return pd.DataFrame({"row": rows, "w": [x.astype(np.float32).tobytes() for x in total / np.bincount(back, weight)[:, None]]})
+
+        merged = table.groupBy("share").applyInPandas(local, "share long, row long, weight double, w binary").groupBy((F.col("row") % groups).alias("g")).applyInPandas(merge, "row long, w binary").collect()
+        w = model.w.copy()
+        for r in merged:  # at most the rows of the model, whatever the corpus
+            w[r["row"]] = np.frombuffer(r["w"], np.float32)
+        model.w = w
+        now.unpersist()
+
+
+def train(counts: DataFrame, rounds: int = 4, passes: int = 6, pairs: int = 8192, shares: int = 16) -> ClassModel:
+    """The class softmax from `counts` (cell, n) of the class table."""
     model = ClassModel(pairs)
     totals = counts.groupBy((F.col("cell") % CLASSES).alias("c")).agg(F.sum("n").alias("n")).collect()
     start = np.full(CLASSES, 0.5)
     for r in totals:
         start[r["c"]] += r["n"]
     model.w[0] = np.log(start / start.sum())
-    shares = written(counts.withColumn("context", F.expr(f"cell div {CLASSES}")).repartition("context"), "lm-contexts")
-    for _ in range(rounds):
-        now = model.w
-
-        def local(batches: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
-            b = pd.concat([*batches, pd.DataFrame({"context": [], "cell": [], "n": []})])
-            if len(b):
-                context, back = np.unique(b["context"].to_numpy(np.int64), return_inverse=True)
-                table = np.zeros((len(context), CLASSES), np.float32)
-                table[back, b["cell"].to_numpy(np.int64) % CLASSES] = b["n"].to_numpy()
-                own = ClassModel(pairs)
-                own.w = now.copy()
-                touched = own.steps(context, table, passes)
-                rows = np.flatnonzero(touched)
-                yield pd.DataFrame({"row": rows, "weight": touched[rows], "w": [(own.w[r] * touched[r]).astype(np.float64).tobytes() for r in rows]})
+    table = counts.select("cell", "n", F.pmod(F.xxhash64(F.expr(f"cell div {CLASSES}")), F.lit(shares)).alias("share"))
 
-        def merge(g: pd.DataFrame) -> pd.DataFrame:
-            rows, back = np.unique(g["row"].to_numpy(), return_inverse=True)
-            total = np.zeros((len(rows), CLASSES))
-            np.add.at(total, back, np.stack([np.frombuffer(x) for x in g["w"]]))
-            return pd.DataFrame({"row": rows, "w": [x.astype(np.float32).tobytes() for x in total / np.bincount(back, g["weight"].to_numpy())[:, None]]})
-
-        merged = shares.select("context", "cell", "n").mapInPandas(local, "row long, weight double, w binary").groupBy((F.col("row") % groups).alias("g")).applyInPandas(merge, "row long, w binary").collect()
-        model.w = now.copy()
-        for r in merged:  # at most `rows` of the model, whatever the corpus
-            model.w[r["row"]] = np.frombuffer(r["w"], np.float32)
+    def steps(own: ClassModel, g: pd.DataFrame) -> np.ndarray:
+        cell = g["cell"].to_numpy(np.int64)
+        context, back = np.unique(cell // CLASSES, return_inverse=True)
+        full = np.zeros((len(context), CLASSES), np.float32)
+        full[back, cell % CLASSES] = g["n"].to_numpy()
+        return own.steps(context, full, passes)
+
+    averaged(table, model, steps, rounds)
+    return model
+
+
+def train_words(events: DataFrame, bias: np.ndarray, rows: int, rounds: int = 2, passes: int = 2, share_rows: int = 1_000_000) -> WordModel:
+    """The word softmax from `events` (event, n); a share has about `share_rows` of them, one context's together."""
+    model = WordModel(bias, rows)
+    shares = max(8, -(-events.count() // share_rows))
+    table = events.select("event", "n", F.pmod(F.xxhash64(F.col("event").bitwiseAND(F.lit((1 << 40) - 1))), F.lit(shares)).alias("share"))
+
+    def steps(own: WordModel, g: pd.DataFrame) -> np.ndarray:
+        g = g.sort_values("event", kind="stable")
+        return own.steps(g["event"].to_numpy(np.int64), g["n"].to_numpy(np.int64), passes)
+
+    averaged(table, model, steps, rounds)
     return model
 
 
-def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = 100_000, most_rows: int = 1 << 13) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document, learnt from `training`."""
     spark = docs.sparkSession
     plain = lambda df: df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -247,14 +386,17 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     rarer = counts.where((step < least) & (F.length("word") > 0))
     known.outside = outside_totals(rarer)
     model = train(written(statistics(training, known), "lm-statistics"))
+    # A feature row for every 256 training tokens, up to the bound that the tasks' memory sets.
+    rows_each = 1 << min(most_rows.bit_length() - 1, max(8, int(n_all).bit_length() - 8))
+    words_model = train_words(written(word_statistics(training, known, rows_each), "lm-events"), known.bias, rows_each)
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
     arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
-    shared = spark.sparkContext.broadcast((known, model))  # both are bounded by parameters
+    shared = spark.sparkContext.broadcast((known, model, words_model))  # all are bounded by parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, model = shared.value
+        known, model, words_model = shared.value
         first = TaskContext.get().partitionId() << 33
         table: dict[int, int] = {}
         logs = np.zeros((0, CLASSES), np.float32)
@@ -271,9 +413,11 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
                 rows = np.array([table[c] for c in seen.tolist()], np.int64)[back]
                 here = at >= 0
                 inside, counted = -known.outside[np.maximum(0, classes - SINGLE - SUFFIXES)], np.zeros(len(at))
-                inside[here], counted[here] = known.share[at[here]], known.log_count[at[here]]
+                inside[here], counted[here] = known.within[at[here]], known.log_count[at[here]]
                 token = logs[rows, seq].astype(float)
                 token[np.arange(len(index)) + np.repeat(np.arange(len(per)), per)] += inside[index]
+                place, events, slot = word_events(known, at, classes, index, per, words_model.rows)
+                token[place] += words_model.chosen(events, slot) / np.log(10)
                 owner = np.repeat(np.arange(len(per)), per)
                 end = int(known.find(pa.array([b""], pa.binary()))[0][0])
                 n_in = np.bincount(owner, here[index], len(per)).astype(np.int64) + (end >= 0)

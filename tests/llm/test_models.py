@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from maskloom.llm import language_model, quality, toxicity
@@ -84,6 +85,65 @@ def test_the_model_is_a_distribution():
     assert np.allclose(p.sum(1), 1, atol=1e-4)
 
 
+def test_all_words_sum_up_to_one():
+    """In any context the vocabulary, the words outside that were seen, and the one unseen event share the whole probability."""
+    lm, rng = language_model, np.random.default_rng(3)
+    outside = {f"o{i}".encode(): int(c) for i, c in enumerate(rng.integers(1, 4, 300))}
+    counts = {f"w{i}{'abcdefgh'[i % 8]}".encode(): int(5000 / (i + 1)) + 2 for i in range(3000)} | {b"": 900}
+    known = lm.Vocabulary(counts)
+    total = np.ones(lm.SUFFIXES)
+    spelt = pa.array(list(outside), pa.binary())
+    np.add.at(total, lm.suffixes(spelt), np.array(list(outside.values())) + 1.0)
+    classes, words = lm.ClassModel(64), lm.WordModel(known.bias, 256)
+    classes.w, words.w = rng.standard_normal(classes.w.shape).astype(np.float32), rng.standard_normal(words.w.shape).astype(np.float32)
+    for one, two in ((3, 900), (2999, 0), (17, 17)):
+        class_one, class_two = known.classes[one], known.classes[two]
+        p_class = np.exp(classes.log_p(classes.features(np.array([class_two * (lm.CLASSES + 1) + class_one])))[0].astype(float))
+        # Each vocabulary word after the words numbered `two` and `one`: as a text of three words.
+        every = np.arange(len(counts))
+        text = np.stack([np.full(len(every), two), np.full(len(every), one), every], 1).ravel()
+        per = np.full(len(every), 3)
+        place, context, slot = lm.word_events(known, np.arange(len(counts)), known.classes, text, per, 256)
+        ln = np.zeros(len(text) + len(per))
+        ln[place] = words.chosen(context, slot)
+        third = ln[np.arange(len(every)) * 4 + 2] / np.log(10) + known.within
+        inside = (p_class[known.classes] * 10**third).sum()
+        out = p_class[lm.SINGLE + lm.SUFFIXES + lm.suffixes(spelt)] * (np.array(list(outside.values())) + 1) / total[lm.suffixes(spelt)]
+        unseen = (p_class[lm.SINGLE + lm.SUFFIXES :] / total).sum()
+        empty = [c for c in range(lm.SINGLE, lm.SINGLE + lm.SUFFIXES) if not (known.classes == c).any()]
+        assert abs(inside + out.sum() + unseen + p_class[empty].sum() - 1) < 1e-4
+
+
+def test_word_softmax_learns_and_gradient_is_right():
+    """Steps raise the likelihood, towards the shares that follow a word."""
+    lm, rng = language_model, np.random.default_rng(5)
+    bias = np.full((lm.SUFFIXES, lm.SLOTS), -1e4, np.float32)
+    bias[:, :8] = np.log(1 / 8)
+    m = lm.WordModel(bias, 256)
+    context = rng.integers(0, 6, 4000) | rng.integers(0, 6, 4000) << 16 | rng.integers(0, 3, 4000) << 32
+    slot = np.where(rng.random(4000) < 0.8, context & 0xFFFF, rng.integers(0, 8, 4000))
+    events, n = np.unique(context | slot << 40, return_counts=True)
+    loss = lambda: -(m.chosen(events & 0xFFFFFFFFFF, events >> 40) * n).sum() / n.sum()
+    first = loss()
+    m.steps(events, n, 20)
+    assert abs(first - np.log(8)) < 1e-3 and loss() < 1.2
+    p = np.exp(m.log_p(np.arange(6) | 3 << 16 | 1 << 32))
+    assert (p.argmax(1) == np.arange(6)).all() and np.allclose(p.sum(1), 1, atol=1e-4)
+
+
+def test_the_same_model_from_any_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = language_model.crc_mod("doc_id", 7) == 2
+    got = []
+    for parts, shuffles in ((4, "3"), (16, "11")):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        d = docs.repartition(parts)
+        got.append({r.doc_id: r.score for r in language_model.score(d, d.where(~held)).collect()})
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].keys() == got[1].keys() and all(math.isclose(s, got[1][i], rel_tol=1e-6) for i, s in got[0].items())
+
+
 def test_language_model_defined_cases(spark):
     docs = spark.createDataFrame([(0, None, "a"), (1, " \t ", "a"), (2, "A b\x0bÉ  b", "a"), (2, "A b\x0bÉ  b", "a"), (3, "w" * 9000 + " x" * 9000, "a")], "doc_id long, text string, word string")
     got = sorted(language_model.digest(docs).collect(), key=lambda r: (r.doc_id, r.n_tokens))
