@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +21,13 @@ class Subdataset:
 
 
 def regex_multi_match(files: DataFrame, configs: list[Subdataset], side: str = "images") -> DataFrame:
-    """Each file with every config whose pattern its name matches: id, extra captures. One literal pattern per projection."""
-    out = []
+    """Each file with every config whose pattern its name matches: id, extra captures. The files are read once: a projection tries all patterns."""
+    name, hits = K.base_of(F.col("path")), []
     for c in configs:
-        p, name = K.Pattern(getattr(c, side)), K.base_of(F.col("path"))
-        out.append(files.where(p.matches(name)).select("*", F.lit(c.name).alias("subdataset"), p.group(name, "id").alias("identifier"), p.extras(name).alias("extras")))
-    return reduce(DataFrame.unionByName, out).where("identifier is not null")
+        p = K.Pattern(getattr(c, side))
+        hits.append(F.when(p.matches(name), F.struct(F.lit(c.name).alias("subdataset"), p.group(name, "id").alias("identifier"), p.extras(name).alias("extras"))))
+    found = files.select("*", F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+    return found.where("identifier is not null")
 
 
 def regex_first_match(files: DataFrame, configs: list[Subdataset], side: str = "images") -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskloom.operators.profiles import ranked
+
 ID = ("model", "prompt_mode", "protocol", "dataset_name", "case_id", "modality", "task_id", "task_label", "status")
 #: Upper ends of the right-closed frame bins and their names.
 FRAME_BINS = ((1, "1"), (8, "2-8"), (32, "9-32"), (96, "33-96"), (192, "97-192"), (10000, "193+"))
@@ -221,10 +223,9 @@ def pending(grid: list[DataFrame], done: DataFrame, keys: list[str]) -> DataFram
 
 def milestones(df: DataFrame, keys: list[str], order: str, total: str) -> DataFrame:
     """First row that reaches each further tenth of its group's total: a bucket of the percent that is higher than the row's before."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    pct = F.row_number().over(w) * 100.0 / F.col(total)
-    x = df.withColumn("percent", pct).withColumn("bucket", F.least(F.floor(F.col("percent") / 10), F.lit(10)))
-    return x.withColumn("__b", F.coalesce(F.lag("bucket").over(w), F.lit(0))).where("bucket > __b").drop("__b")
+    bucket = lambda rows: F.least(F.floor(rows * 100.0 / F.col(total) / 10), F.lit(10))
+    x = ranked(df, keys, [order]).withColumns({"percent": F.col("position") * 100.0 / F.col(total), "bucket": bucket(F.col("position")), "__b": bucket(F.col("position") - 1)})
+    return x.where("bucket > __b").drop("__b", "position", "group_rows")
 
 
 def weighted_group_metrics(df: DataFrame, key: str, metrics: list[str], weights: dict[str, str]) -> DataFrame:

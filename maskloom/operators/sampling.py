@@ -160,7 +160,9 @@ def prompt_coin(case: Column, frame: Column, seed: int) -> Column:
 
 
 def ema(df: DataFrame, keys: list[str], order: str, value: str, beta: float = 0.9) -> DataFrame:
-    """Exponential moving average along the order, starting with the first value."""
-    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("x"))
-    fold = F.aggregate(F.slice("x", 2, F.size("x")), F.col("x")[0][value], lambda a, e: a * beta + e[value] * (1 - beta))
-    return lists.select(*keys, F.size("x").alias("steps"), fold.alias("ema"))
+    """Exponential moving average along the order, starting with the first value.
+
+    Row i of n counts beta^(n - i), all but the first times 1 - beta: a sum that adds up in parts, however many rows a group has."""
+    x = ranked(df.select(*keys, order, value), keys, [order, value])
+    weight = F.pow(F.lit(beta), F.col("group_rows") - F.col("position")) * F.when(F.col("position") == 1, 1.0).otherwise(1 - beta)
+    return x.groupBy(*keys).agg(F.count("*").cast("int").alias("steps"), F.sum(weight * F.col(value)).alias("ema"))
