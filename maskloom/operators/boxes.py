@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def in_lots(df: DataFrame, keys: list[str], one: Callable[[pd.DataFrame], pd.DataFrame], schema, rows: int = 20_000) -> DataFrame:
-    """`one` for each group of `keys`, with about `rows` rows of whole groups in a call."""
+def lots_of(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema, rows: int = 20_000) -> DataFrame:
+    """`run` on lots of whole groups of `keys`, about `rows` rows in each."""
+    lots = max(1, df.count() // rows)
+    return df.withColumn("__lot", F.pmod(F.xxhash64(*keys), F.lit(lots))).groupBy("__lot").applyInPandas(lambda lot: run(lot.drop(columns="__lot")), schema)
 
-    def run(lot: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one(g) for _, g in lot.drop(columns="__lot").groupby(keys, sort=False)])
 
-    lots = max(1, df.count() // rows)
-    return df.withColumn("__lot", F.pmod(F.xxhash64(*keys), F.lit(lots))).groupBy("__lot").applyInPandas(run, schema)
+def in_lots(df: DataFrame, keys: list[str], one: Callable[[pd.DataFrame], pd.DataFrame], schema, rows: int = 20_000) -> DataFrame:
+    """`one` for each group of `keys`, with about `rows` rows of whole groups in a call."""
+    return lots_of(df, keys, lambda lot: pd.concat([one(g) for _, g in lot.groupby(keys, sort=False)]), schema, rows)
 
 
 def uncropped(boxes: DataFrame, left: int, top: int, size: int, near: int) -> DataFrame:
@@ -41,20 +42,26 @@ def nms(boxes: DataFrame, keys: list[str], score: str, tie: str, most: float) ->
 
     A group is an image's boxes. Small groups share a task's call, dealt by a hash of their keys."""
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, tie], ascending=[False, True], kind="stable").reset_index(drop=True)
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        """All groups of a lot at once: in turn the first, second, ... box of each group strikes out those behind it."""
+        g = g.sort_values([*keys, score, tie], ascending=[True] * len(keys) + [False, True], kind="stable").reset_index(drop=True)
         x0, y0 = g["x0"].to_numpy(float), g["y0"].to_numpy(float)
         x1, y1 = x0 + g["w"].to_numpy(float), y0 + g["h"].to_numpy(float)
-        area, kept = (x1 - x0) * (y1 - y0), []
-        alive = np.ones(len(g), bool)
-        for i in range(len(g)):
-            if alive[i]:
-                kept.append(i)
-                both = np.maximum(0, np.minimum(x1, x1[i]) - np.maximum(x0, x0[i])) * np.maximum(0, np.minimum(y1, y1[i]) - np.maximum(y0, y0[i]))
-                alive &= both <= most * (area + area[i] - both)
-        return g.iloc[kept]
-
-    return in_lots(boxes, keys, one, boxes.schema)
+        area, alive = (x1 - x0) * (y1 - y0), np.ones(len(g), bool)
+        number = g.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        end = np.r_[start[1:], len(g)]
+        for k in range(int((end - start).max(initial=0))):
+            own = start + k < end
+            start, end = start[own], end[own]
+            first, last = start[alive[start + k]] + k, end[alive[start + k]]
+            n = last - first - 1
+            i, j = np.repeat(first, n), np.repeat(first + 1 - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            both = np.maximum(0, np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j])) * np.maximum(0, np.minimum(y1[i], y1[j]) - np.maximum(y0[i], y0[j]))
+            alive[j[both > most * (area[i] + area[j] - both)]] = False
+        return g[alive]
+
+    return lots_of(boxes, keys, run, boxes.schema)
 
 
 def point_grid(rows: DataFrame, n: str) -> DataFrame:

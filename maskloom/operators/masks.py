@@ -9,34 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskloom.functions.keys import unit
-from maskloom.operators.boxes import in_lots
+from maskloom.operators.boxes import lots_of
 
 AXES = ("z", "y", "x")
 
 
-def neighbours(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indices of points (rows of integers) that touch by side, edge or corner. One sorted search per direction."""
+def neighbours(points: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices of points (rows of integers) of one group that touch by side, edge or corner. One sorted search per direction."""
     n, d = points.shape
     low = points.min(0) - 1
     size = points.max(0) - low + 2
-    scale = np.cumprod(np.r_[1, size[::-1][:-1]])[::-1]
-    code = ((points - low) * scale).sum(1)
+    scale = np.cumprod(np.r_[1, size[::-1]])[::-1]
+    code = ((points - low) * scale[1:]).sum(1) + group * scale[0]
     order = np.argsort(code, kind="stable")
-    a, b = [], []
+    code, a, b = code[order], [], []
     for move in np.ndindex(*[3] * d):
-        step = int(((np.array(move) - 1) * scale).sum())
+        step = int(((np.array(move) - 1) * scale[1:]).sum())
         if step > 0:
-            at = np.searchsorted(code[order], code + step)
+            at = np.searchsorted(code, code + step)
             at[at == n] = 0
-            hit = np.flatnonzero(code[order[at]] == code + step)
-            a.append(hit), b.append(order[at[hit]])
+            hit = np.flatnonzero(code[at] == code + step)
+            a.append(order[hit]), b.append(order[at[hit]])
     return np.concatenate(a), np.concatenate(b)
 
 
-def components(points: np.ndarray) -> np.ndarray:
+def components(points: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
     """For each point the smallest index of its component: labels sink along pairs and are shortened until they rest."""
     label = np.arange(len(points))
-    a, b = neighbours(points)
+    a, b = neighbours(points, np.zeros(len(points), np.int64) if group is None else group)
     while True:
         low = np.minimum(label[a], label[b])
         before = label.copy()
@@ -50,18 +50,20 @@ def components(points: np.ndarray) -> np.ndarray:
 def connected_components(voxels: DataFrame, keys: list[str], axes: tuple[str, ...] = AXES) -> DataFrame:
     """Component numbers from 1 within each group of `keys`, by falling size, then by the first voxel in `axes` order.
 
-    A mask of one case and label is a task's group: it fits one worker as it does one image in memory."""
+    A mask of one case and label is whole in a task: it fits one worker as it does one image in memory. Small ones share a call."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(list(axes), kind="stable").reset_index(drop=True)
-        root = components(g[list(axes)].to_numpy(np.int64))
+        g = g.sort_values([*keys, *axes], kind="stable").reset_index(drop=True)
+        group = g.groupby(keys, sort=False, dropna=False).ngroup().to_numpy(np.int64)
+        root = components(g[list(axes)].to_numpy(np.int64), group)
         first, back, size = np.unique(root, return_inverse=True, return_counts=True)
-        rank = np.empty(len(first), np.int64)
-        rank[np.lexsort((first, -size))] = np.arange(1, len(first) + 1)
+        order = np.lexsort((first, -size, group[first]))
+        owner, rank = group[first][order], np.empty(len(first), np.int64)
+        rank[order] = np.arange(1, len(first) + 1) - np.searchsorted(owner, owner)
         return g.assign(component=rank[back].astype(np.int32))
 
     schema = voxels.select(*keys, *axes).schema.add("component", T.IntegerType())
-    return in_lots(voxels.select(*keys, *axes), keys, run, schema)
+    return lots_of(voxels.select(*keys, *axes), keys, run, schema)
 
 
 def component_sizes(parts: DataFrame, keys: list[str]) -> DataFrame:

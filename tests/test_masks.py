@@ -79,6 +79,24 @@ def test_nms(spark):
     assert sorted(r.tie for r in nms(df, ["image"], "score", "tie", 0.5).collect()) == [1, 3, 4]
 
 
+def test_nms_of_many_images(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), *map(int, rng.integers(0, 60, 2)), *map(int, rng.integers(5, 40, 2)), float(rng.integers(0, 9)), k) for k, i in enumerate(rng.integers(0, 25, 400))]
+    want = []
+    for image in range(25):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == image), key=lambda r: (-r[5], r[6])):
+            def over(q):
+                both = max(0, min(r[1] + r[3], q[1] + q[3]) - max(r[1], q[1])) * max(0, min(r[2] + r[4], q[2] + q[4]) - max(r[2], q[2]))
+                return both > 0.3 * (r[3] * r[4] + q[3] * q[4] - both)
+            if not any(map(over, kept)):
+                kept.append(r)
+        want += [r[6] for r in kept]
+    df = spark.createDataFrame(rows, "image int, x0 int, y0 int, w int, h int, score double, tie int")
+    assert sorted(r.tie for r in nms(df, ["image"], "score", "tie", 0.3).collect()) == sorted(want)
+    assert nms(df.limit(0), ["image"], "score", "tie", 0.3).collect() == []
+
+
 def test_slice_order_by_normal_or_instance(spark):
     o = [1.0, 0.0, 0.0, 0.0, -1.0, 0.0]  # normal along -z
     rows = [("a", 1, o, [0.0, 0.0, 5.0]), ("a", 2, o, [0.0, 0.0, 9.0]), ("a", 3, o, [0.0, 0.0, 1.0]), ("b", 7, None, None), ("b", 3, o, [0.0, 0.0, 2.0])]
