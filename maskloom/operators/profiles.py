@@ -22,8 +22,19 @@ def welford_merge(states: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def percentile_window(df: DataFrame, keys: list[str], value: str, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
-    """Exact low and high percentile (linear between values) of each group."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("q")).select(*keys, F.col("q")[0].alias("window_lower"), F.col("q")[1].alias("window_upper"))
+    """Exact low and high percentile (linear between values) of each group; nulls do not count, and a group of nulls has none.
+
+    Values are numbered by range, so that a group of any size spreads over tasks; only the values beside the wanted places meet."""
+    x = ranked(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [value])
+
+    def at(share: float) -> Column:
+        place = (F.col("group_rows") - 1) * share
+        below, above = (F.max(F.when(F.col("position") == f(place) + 1, F.col(value))) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        return below * (1 - part) + above * part
+
+    found = x.groupBy(*keys).agg(at(lo).alias("window_lower"), at(hi).alias("window_upper"))
+    return df.select(*keys).distinct().join(found, keys, "left") if keys else found
 
 
 def per_file_cap(df: DataFrame, key: str, unit: Column, cap: int) -> DataFrame:

@@ -46,9 +46,10 @@ def stream_milestones(spark, sf):
 @query(f"WITH {LOG} SELECT dataset, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM log GROUP BY 1")
 def stream_welford(spark, sf):
     path = _folder(spark)
-    run = L.merge_states(path, ["dataset"], profiles.welford_merge, lambda b: profiles.welford(b, ["dataset"], "value"))
-    q = _stream(spark, sf).writeStream.foreachBatch(run).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
+    for name, rest in (("even", 0), ("odd", 1)):  # two queries over a half of the rows each add to the same states
+        run = L.merge_states(path, lambda b: profiles.welford(b, ["dataset"], "value"), name)
+        q = _stream(spark, sf).where(f"event_id % 2 = {rest}").writeStream.foreachBatch(run).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
+        q.awaitTermination()
     return rounded(profiles.welford_merge(spark.read.parquet(path), ["dataset"]))
 
 

@@ -48,13 +48,14 @@ def milestones(rows: DataFrame, keys: list[str], totals: dict[str, int], step: i
     return text.groupBy(*keys).applyInPandasWithState(update, schema, "seen long, told long", "append", "NoTimeout")
 
 
-def merge_states(path: str, keys: list[str], merge: Callable[[DataFrame, list[str]], DataFrame], state: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes each batch's partial states under its batch number; a repeated batch replaces itself.
+def merge_states(path: str, state: Callable[[DataFrame], DataFrame], query: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes each batch's partial states by the name of its query and its number; a repeated batch replaces itself,
+    and another query's batches (`query` must be another name for another checkpoint) stay.
 
     Reading all of `path` and merging gives the running statistics."""
 
     def run(batch: DataFrame, number: int) -> None:
-        state(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        state(batch).write.mode("overwrite").parquet(f"{path}/query={query}/batch={number}")
 
     return run
 
