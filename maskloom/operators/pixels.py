@@ -106,10 +106,16 @@ def ece(px: DataFrame, keys: list[str], bins: int = 15) -> DataFrame:
 
 
 def roc_pr_auc(px: DataFrame, keys: list[str]) -> DataFrame:
-    """Area under the ROC curve and average precision, null where one class is missing. Equal scores count together."""
+    """Area under the ROC curve and average precision, null where one class is missing. Equal scores count together.
+
+    Running counts go in two steps, over 1024 bands of scores and within a band, so that a group's scores need not meet in one task."""
     per = px.groupBy(*keys, "prob").agg(F.count_if(F.col("gt") == 1).alias("p"), F.count_if(F.col("gt") != 1).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = per.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    per = per.withColumn("band", F.floor(F.col("prob") * 1024))
+    higher = Window.partitionBy(*keys).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = per.groupBy(*keys, "band").agg(F.sum("p").alias("p_band"), F.sum("n").alias("n_band"))
+    bands = bands.select(*keys, "band", *[F.coalesce(F.sum(f"{x}_band").over(higher), F.lit(0)).alias(f"{x}_higher") for x in ("p", "n")])
+    down = Window.partitionBy(*keys, "band").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = per.join(bands, [*keys, "band"]).withColumns({"tp": F.col("p_higher") + F.sum("p").over(down), "fp": F.col("n_higher") + F.sum("n").over(down)})
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.sum("p") * F.sum("n"))
     ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")
     both = (F.sum("p") > 0) & (F.sum("n") > 0)
