@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`; where that is unset (local tests) a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="maskloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from maskloom.sources.folders import new_folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that `spark.checkpoint.dir` names (an error where a cluster has none)."""
+    return new_folder(spark, name)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
