@@ -244,23 +244,28 @@ class WordModel:
 
     def steps(self, event: np.ndarray, counts: np.ndarray, passes: int, rate: float = 0.3) -> np.ndarray:
         """Adaptive gradient steps over (context, outcome) counts; returns the tokens that touched each row. The first counts of a row move it little."""
-        context, slot = event & 0xFFFFFFFFFF, event >> 40
+        context, back = np.unique(event & 0xFFFFFFFFFF, return_inverse=True)
+        total, by_context = np.bincount(back, counts).astype(np.float32), np.argsort(back, kind="stable")
+        ends = np.r_[0, np.cumsum(np.bincount(back))]
+        rows = np.stack([context & 0xFFFF, (context >> 16 & 0xFFFF) + self.rows])
         squares = np.ones(self.w.shape, np.float32)
-        order = np.argsort(event * np.int64(0x9E3779B97F4A7C15 - (1 << 64)), kind="stable")
+        order = np.argsort(context * np.int64(0x9E3779B97F4A7C15 - (1 << 64)), kind="stable")
         for _ in range(passes):
             for lo in range(0, len(order), 4096):
                 part = order[lo : lo + 4096]
-                n = counts[part].astype(np.float32)
                 g = np.exp(self.log_p(context[part]))
-                g *= -n[:, None]
-                g[np.arange(len(part)), slot[part]] += n
-                for f in (context[part] & 0xFFFF, (context[part] >> 16 & 0xFFFF) + self.rows):
+                g *= -total[part, None]
+                n = ends[part + 1] - ends[part]
+                lane = np.repeat(np.arange(len(part)), n)
+                own = by_context[np.arange(n.sum()) + np.repeat(ends[part] - np.r_[0, np.cumsum(n)[:-1]], n)]
+                g[lane, event[own] >> 40] += counts[own]
+                for f in rows[:, part]:
                     by = np.argsort(f, kind="stable")
                     first = np.flatnonzero(np.r_[True, f[by][1:] != f[by][:-1]])
-                    own, rows = np.add.reduceat(g[by], first, axis=0), f[by][first]
-                    squares[rows] += own * own
-                    self.w[rows] += rate * own / np.sqrt(squares[rows])
-        return np.bincount(context & 0xFFFF, counts, 2 * self.rows) + np.bincount((context >> 16 & 0xFFFF) + self.rows, counts, 2 * self.rows)
+                    move, at = np.add.reduceat(g[by], first, axis=0), f[by][first]
+                    squares[at] += move * move
+                    self.w[at] += rate * move / np.sqrt(squares[at])
+        return np.bincount(rows[0], total, 2 * self.rows) + np.bincount(rows[1], total, 2 * self.rows)
 
 
 class ClassModel:
@@ -300,9 +305,10 @@ class ClassModel:
 
 
 def averaged(table: DataFrame, model, steps, rounds: int, groups: int = 64) -> None:
-    """Rounds of distributed gradient updates: `steps(own model, rows of a share)` returns the tokens that touched each row; rows are averaged by them.
+    """Rounds of distributed gradient updates: `steps(own model, rows of a share)` returns the tokens that touched each row; the shares' moves are averaged by them.
 
-    `table` has a column `share`; a share's rows fit one task. What comes back to the driver is the model, whose size is a parameter."""
+    `table` has a column `share`; a share's rows fit one task. A share sends the moves of the rows it touched in half precision. What comes back to
+    the driver is the model, whose size is a parameter."""
     width = model.w.shape[1]
     for _ in range(rounds):
         now = table.sparkSession.sparkContext.broadcast(model)
@@ -313,26 +319,26 @@ def averaged(table: DataFrame, model, steps, rounds: int, groups: int = 64) -> N
             touched = steps(own, g)
             rows = np.flatnonzero(touched)
             tidy()
-            return pd.DataFrame({"share": np.full(len(rows), g["share"].iloc[0], np.int64), "row": rows, "weight": touched[rows].astype(np.float64), "w": [own.w[r].tobytes() for r in rows]})
+            return pd.DataFrame({"share": np.full(len(rows), g["share"].iloc[0], np.int64), "row": rows, "weight": touched[rows].astype(np.float64), "w": [(own.w[r] - now.value.w[r]).astype(np.float16).tobytes() for r in rows]})
 
         def merge(g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values(["row", "share"], kind="stable")
             rows, back = np.unique(g["row"].to_numpy(), return_inverse=True)
             total, weight = np.zeros((len(rows), width)), g["weight"].to_numpy()
             for lo in range(0, len(g), 4096):
-                w = np.frombuffer(b"".join(g["w"].iloc[lo : lo + 4096]), np.float32).reshape(-1, width)
+                w = np.frombuffer(b"".join(g["w"].iloc[lo : lo + 4096]), np.float16).reshape(-1, width).astype(float)
                 np.add.at(total, back[lo : lo + 4096], w * weight[lo : lo + 4096, None])
             return pd.DataFrame({"row": rows, "w": [x.astype(np.float32).tobytes() for x in total / np.bincount(back, weight)[:, None]]})
 
         merged = table.groupBy("share").applyInPandas(local, "share long, row long, weight double, w binary").groupBy((F.col("row") % groups).alias("g")).applyInPandas(merge, "row long, w binary").collect()
         w = model.w.copy()
         for r in merged:  # at most the rows of the model, whatever the corpus
-            w[r["row"]] = np.frombuffer(r["w"], np.float32)
+            w[r["row"]] += np.frombuffer(r["w"], np.float32)
         model.w = w
         now.unpersist()
 
 
-def train(counts: DataFrame, rounds: int = 4, passes: int = 6, pairs: int = 8192, shares: int = 16) -> ClassModel:
+def train(counts: DataFrame, rounds: int = 4, passes: int = 6, pairs: int = 8192, shares: int = 4) -> ClassModel:
     """The class softmax from `counts` (cell, n) of the class table."""
     model = ClassModel(pairs)
     totals = counts.groupBy((F.col("cell") % CLASSES).alias("c")).agg(F.sum("n").alias("n")).collect()
@@ -353,7 +359,7 @@ def train(counts: DataFrame, rounds: int = 4, passes: int = 6, pairs: int = 8192
     return model
 
 
-def train_words(events: DataFrame, bias: np.ndarray, rows: int, rounds: int = 2, passes: int = 2, share_rows: int = 1_000_000) -> WordModel:
+def train_words(events: DataFrame, bias: np.ndarray, rows: int, rounds: int = 2, passes: int = 1, share_rows: int = 1_000_000) -> WordModel:
     """The word softmax from `events` (event, n); a share has about `share_rows` of them, one context's together."""
     model = WordModel(bias, rows)
     shares = max(8, -(-events.count() // share_rows))
