@@ -86,7 +86,7 @@ def test_long_runs_and_many_matches(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     began = time.time()
     got = {r.doc_id: tuple(r)[1:] for r in secrets.digest(docs).collect()}
-    assert time.time() - began < 60
+    assert time.time() - began < 180  # with the square of the length it would take hours
     out = {r.doc_id: r.text for r in secrets.redact(secrets.scan(docs)).collect()}
     for i, t in enumerate(texts):
         assert got[i] == brute(t) and out[i] == redacted(t), i
