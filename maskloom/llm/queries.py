@@ -78,10 +78,31 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(spark, path, token_store.stored_keys(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import chat
+
+    return chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import hard_negatives
+
+    return hard_negatives.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskloom.llm import spelling
+
+    return spelling.digest(_docs(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_decontamination, op3_language, op4_near_dedup, op5_language_model, op6_toxicity, op7_secrets, op8_neighbours, op9_packing, op10_token_store)
-}
+    for f in (
+        op1_quality, op2_decontamination, op3_language, op4_near_dedup, op5_language_model, op6_toxicity, op7_secrets, op8_neighbours, op9_packing, op10_token_store,
+        op11_chat_format, op12_hard_negatives, op13_spelling_variants,
+    )
+}
 
 
 def _secrets_sql() -> str:
@@ -126,4 +147,39 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN per USING (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op7_secrets": _secrets_sql()}
+def _chat_sql() -> str:
+    """Turns in order, digests of whole and of learnt texts, and the formatted length: marks, and one escape for each control string."""
+    from maskloom.llm import chat
+
+    t = chat.Template()
+    pattern = t.patterns()[0].replace("'", "''")
+    longer = lambda x: f"length(regexp_replace({x}, '{pattern}', '\\1\\2x\\3', 'g'))"
+    order = "ORDER BY turn NULLS FIRST, r, x"
+    return f"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{chat.HOSTILE}'), (-7, 1, 'assistant', '{chat.HOSTILE}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' {order})) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(x, '' {order}) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum({len(t.start) + len(t.middle) + len(t.end)} + {longer("r")} + {longer("x")})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+def _hard_negatives_sql() -> str:
+    """All anchors against all rows, with positives and windows by rank."""
+    return """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, n.vec_id AS other, a.label = n.label AS same, list_inner_product(a.c, n.c)::BIGINT AS score
+  FROM v AS a JOIN v AS n ON n.vec_id <> a.vec_id AND len(a.c) = len(n.c) WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other)::INTEGER AS rank,
+  s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 50 * p.positive_score AND 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) <= 3"""
+
+
+ORACLE_SQL: dict[str, str] = {"op7_secrets": _secrets_sql(), "op11_chat_format": _chat_sql(), "op12_hard_negatives": _hard_negatives_sql()}

@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.llm.columns import let, running, running_sum
+
 
 def _any_case(words: str) -> str:
     return re.sub(r"[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words)
@@ -46,29 +48,17 @@ _SPAN = "array<struct<start:int,kind:string,end:int,text:string>>"
 _BLOCK = 1024
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of a value that is computed once: a lambda's variable, where an expression would be computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _running(values: Column, combine) -> Column:
-    """For each element the combination of all up to it, by doubling: in step s each takes in the one 2^s before (null: none)."""
-    steps = lambda xs: F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(xs), F.lit(1)).cast("double"))).cast("int"))
-    before = lambda a, i, s: F.get(a, i - F.call_function("shiftleft", F.lit(1), s))
-    return _let(values, lambda xs: F.aggregate(steps(xs), xs, lambda a, s: F.transform(a, lambda x, i: combine(x, before(a, i, s)))))
-
-
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """All matches as (start, kind, end, text): the lengths of matches and of the texts between them, summed up, have the places."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def placed(m: Column) -> Column:
         steps = F.transform(m["found"], lambda x, i: F.length(F.get(m["gaps"], i)) + F.length(x))
-        ends = _running(steps, lambda x, y: x + F.coalesce(y, F.lit(0)))
+        ends = running_sum(steps)
         span = lambda e: lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), x.alias("text"))
-        return _let(ends, lambda e: F.transform(m["found"], span(e)))
+        return let(ends, lambda e: F.transform(m["found"], span(e)))
 
-    places = _let(F.struct(found.alias("found"), gaps.alias("gaps")), placed)
+    places = let(F.struct(found.alias("found"), gaps.alias("gaps")), placed)
     return F.when(text.rlike(pattern), places).otherwise(F.array().cast(_SPAN))
 
 
@@ -87,9 +77,9 @@ def _entropy_extent(s: Column, bound: Column) -> Column:
 
         def step(a: Column, i: Column) -> Column:
             # Character i (from 0) enters; from the 21st on, character i - WINDOW leaves first.
-            gone = F.when(i >= WINDOW, _let(F.get(codes, i - WINDOW), lambda c: count(i - WINDOW + 1, F.lit(WINDOW), c))).otherwise(F.lit(0))
+            gone = F.when(i >= WINDOW, let(F.get(codes, i - WINDOW), lambda c: count(i - WINDOW + 1, F.lit(WINDOW), c))).otherwise(F.lit(0))
             held = F.least(i, F.lit(WINDOW - 1))
-            new = _let(F.get(codes, i), lambda c: count(i - held + 1, held, c))
+            new = let(F.get(codes, i), lambda c: count(i - held + 1, held, c))
             change = F.get(down, gone) + F.get(up, new)
 
             def noted(total: Column) -> Column:
@@ -97,12 +87,12 @@ def _entropy_extent(s: Column, bound: Column) -> Column:
                 at = i - (WINDOW - 1)
                 return F.struct(total.alias("total"), F.coalesce(a["first"], F.when(hot, at)).alias("first"), F.when(hot, at).otherwise(a["last"]).alias("last"))
 
-            return _let(a["total"] + change, noted)
+            return let(a["total"] + change, noted)
 
         return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), F.struct(F.lit(0.0).alias("total"), none.alias("first"), none.alias("last")), step)
 
     letters = F.transform(F.split(s, ""), lambda c: F.ascii(c))
-    return _let(F.struct(letters.alias("codes"), (F.lit(WINDOW * 1.0) * (F.lit(math.log2(WINDOW)) - bound)).alias("least")), scanned)
+    return let(F.struct(letters.alias("codes"), (F.lit(WINDOW * 1.0) * (F.lit(math.log2(WINDOW)) - bound)).alias("least")), scanned)
 
 
 def _apart(added: Column, base: Column) -> Column:
@@ -113,11 +103,11 @@ def _apart(added: Column, base: Column) -> Column:
     both = F.array_sort(F.concat(F.transform(base, lambda x: item(x["start"], x["end"], x)), F.transform(added, lambda x: item(x["end"], bare, x))), _by_place)
 
     def kept(xs: Column) -> Column:
-        reach = _running(F.transform(xs, lambda x: x["base_end"]), lambda x, y: F.greatest(x, y))
+        reach = running(F.transform(xs, lambda x: x["base_end"]), lambda x, y: F.greatest(x, y))
         free = lambda r: lambda x, i: x["base_end"].isNull() & (F.coalesce(F.get(r, i), F.lit(0)) <= x["start"])
-        return F.transform(_let(reach, lambda r: F.filter(xs, free(r))), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+        return F.transform(let(reach, lambda r: F.filter(xs, free(r))), lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
-    return _let(both, kept)
+    return let(both, kept)
 
 
 def _by_place(x: Column, y: Column) -> Column:
@@ -143,11 +133,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     bounds = F.create_map([x for k, v in BOUNDS.items() for x in (F.lit(k), F.lit(v))])
     suspicious = lambda x: s(x).rlike("[0-9]") & s(x).rlike("[A-Za-z]") & ~s(x).rlike("|".join(f"({p})" for p in ALLOWED))
     candidates = F.filter(_spans(t, CANDIDATE, "candidate"), suspicious)
-    judged = lambda x: _let(kind(x), lambda k: F.struct(x["start"].alias("start"), k.alias("kind"), _entropy_extent(s(x), bounds[k]).alias("extent")))
+    judged = lambda x: let(kind(x), lambda k: F.struct(x["start"].alias("start"), k.alias("kind"), _entropy_extent(s(x), bounds[k]).alias("extent")))
     hot = F.filter(F.transform("__candidates", judged), lambda x: x["extent"]["first"].isNotNull())
     added = F.transform(hot, lambda x: F.struct((x["start"] + x["extent"]["first"]).alias("start"), x["kind"].alias("kind"), (x["start"] + x["extent"]["last"] + WINDOW).alias("end")))
     out = docs.withColumn("base_spans", plain(ranked(base))).withColumn("__candidates", candidates)
-    both = _let(_apart(added, F.col("base_spans")), lambda more: plain(ranked(F.concat("base_spans", more))))
+    both = let(_apart(added, F.col("base_spans")), lambda more: plain(ranked(F.concat("base_spans", more))))
     return out.withColumn("spans", F.when(F.size("__candidates") == 0, F.col("base_spans")).otherwise(both)).drop("__candidates")
 
 
@@ -173,8 +163,8 @@ def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
         return F.concat(F.array_join(said, ""), part(upto(F.size(spans) - 1), given["size"]))
 
     blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
-    reach = _running(F.transform("spans", lambda x: x["end"]), lambda x, y: F.greatest(x, y))
-    whole = _let(F.struct(blocks.alias("blocks"), F.col("spans").alias("spans"), reach.alias("reach"), F.length(t).alias("size")), done)
+    reach = running(F.transform("spans", lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+    whole = let(F.struct(blocks.alias("blocks"), F.col("spans").alias("spans"), reach.alias("reach"), F.length(t).alias("size")), done)
     return scanned.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text)))
 
 
