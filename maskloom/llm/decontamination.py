@@ -7,9 +7,11 @@ item's runs of three characters for the budget (each edit breaks three) are drop
 bit-parallel distance, for many places at once in numpy words of 64 bits; the text before an end is read backwards for the start.
 
 The items go to the tasks in groups of at most `group` items (a documented bound), one pass over the documents for each; a group is sent
-once and made ready once in each Python worker; documents are not shuffled.
+once and made ready once in each Python worker; documents are not shuffled. Long places, as where a text repeats an item over and over, are
+verified in overlapping pieces of a few items' length, and the tables of a step are bounded by their bytes, so memory does not grow with a text's length.
 
-Defined cases: null or empty texts and items match nothing; an item too short for any edit (fewer than 1 / rate normal characters)
+Defined cases: null or empty texts and items match nothing, and items with a null id are left out; a row with a null key is searched like any other (its results have
+no doc_id), rows that share a key are searched each, and `clean` judges each row by its own text alone; an item too short for any edit (fewer than 1 / rate normal characters)
 must stand as whole words; very long texts are read whole; equal items are found each; repeated rows are searched each; empty tables give
 no rows; other columns are not read.
 
@@ -23,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,16 @@ def _threes(coded: np.ndarray) -> np.ndarray:
     return (c[:-2] * 961 + c[1:-1] * 37 + c[2:]) * 0x9E3779B1 >> 7 & 2047
 
 
+def _bounded(sizes: np.ndarray, most: int, cells: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of at most `most` texts whose table, their number times the longest, has at most `cells` cells (or one text)."""
+    at = 0
+    while at < len(sizes):
+        longest = np.maximum.accumulate(sizes[at : at + most])
+        n = max(1, int(np.searchsorted(longest * np.arange(1, len(longest) + 1), cells, "right")))
+        yield at, at + n
+        at += n
+
+
 class Patterns:
     """Bit masks of many items by character, in 64-bit words: one row for each character that an item has, so memory follows the items' lengths."""
 
@@ -81,15 +94,15 @@ class Patterns:
     def possible(self, items: np.ndarray, texts: list[np.ndarray], budgets: np.ndarray) -> np.ndarray:
         """Whether a text has enough of the item's runs of three characters: each edit breaks three at most."""
         out = np.zeros(len(items), bool)
-        for at in range(0, len(items), 4096):
-            part, own = texts[at : at + 4096], items[at : at + 4096]
+        for at, to in _bounded(np.fromiter(map(len, texts), np.int64, len(texts)), 4096):
+            part, own = texts[at:to], items[at:to]
             there = [_threes(t) for t in part]
             has = np.zeros((len(part), 2048), bool)
             has[np.repeat(np.arange(len(part)), [len(x) for x in there]), np.concatenate(there)] = True
             wanted = [self.threes[i] for i in own.tolist()]
             lane = np.repeat(np.arange(len(part)), [len(x) for x in wanted])
             met = np.bincount(lane, has[lane, np.concatenate(wanted)], len(part))
-            out[at : at + 4096] = met >= self.m[own] - 2 - 3 * budgets[at : at + 4096]
+            out[at:to] = met >= self.m[own] - 2 - 3 * budgets[at:to]
         return out
 
     def best_ends(self, items: np.ndarray, texts: list[np.ndarray], anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +114,8 @@ class Patterns:
         for w in np.unique(self.words[items]).tolist():
             own = np.flatnonzero(self.words[items] == w)
             own = own[np.argsort(sizes[own], kind="stable")]  # lanes of like length together
-            for at in range(0, len(own), 2048):
-                lanes = own[at : at + 2048]
+            for at, to in _bounded(sizes[own], 2048):
+                lanes = own[at:to]
                 best[lanes], end[lanes] = self._lanes(w, items[lanes], [texts[i] for i in lanes.tolist()], sizes[lanes], anchored)
         return best, end
 
@@ -185,8 +198,12 @@ class Matcher:
                 for s in [*starts, None]:
                     if lo is not None and (s is None or s - hi > 2 * budget):
                         a, b = max(0, lo - budget), min(len(text), hi + len(item) + budget)
-                        if b - a >= len(item) - budget:
-                            asked.append((i, number, a, coded[a:b]))
+                        # A part within the budget has len(item) + budget characters at most: pieces that overlap by as many miss none.
+                        over = len(item) + budget
+                        for lo in range(a, max(a + 1, b - over), 3 * over):
+                            hi_ = min(b, lo + 4 * over)
+                            if hi_ - lo >= len(item) - budget:
+                                asked.append((i, number, lo, coded[lo:hi_]))
                         lo = None
                     if s is not None:
                         lo, hi = (s if lo is None else lo), s
@@ -217,36 +234,68 @@ def ready(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
     return _READY[name]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, group: int = 20_000) -> DataFrame:
-    """All (document, item) with the item within its error budget (columns of SCHEMA)."""
+def _groups(items: DataFrame, item_key: str, item_text: str, group: int) -> Iterator[tuple[str, object, bool]]:
+    """The items in groups of about `group`, each with a name of its own, and whether there is more than one: the driver holds one at a time."""
     items = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null")
     groups = max(1, -(-items.count() // group))
-    texts = docs.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
-    parts = []
     for g in range(groups):
-        name = uuid.uuid4().hex
-        chosen = docs.sparkSession.sparkContext.broadcast([(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).collect()])
+        chosen = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == g).collect()
+        yield uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast([(r["id"], r["text"]) for r in chosen]), groups > 1
+
+
+def _chunks(texts: list[str | None], most: int = 2500, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of texts that are searched together, bounded by their number and their characters (or one text)."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and (i - at == most or size + len(t or "") > chars):
+            yield at, i
+            at, size = i, 0
+        size += len(t or "")
+    if len(texts) > at:
+        yield at, len(texts)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, group: int = 20_000) -> DataFrame:
+    """All (document, item) with the item within its error budget (columns of SCHEMA)."""
+    texts = docs.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    parts = []
+    for name, chosen, more in _groups(items, item_key, item_text, group):
 
         def run(batches: Iterator[pd.DataFrame], name: str = name, chosen=chosen) -> Iterator[pd.DataFrame]:
             matcher = ready(name, chosen.value, rate)
             for b in batches:
-                ids, texts_ = b["id"].to_numpy(), b["text"]
-                found = [(lo + i, *rest) for lo in range(0, len(b), 2500) for i, *rest in matcher.find(texts_.iloc[lo : lo + 2500].tolist())]
-                yield pd.DataFrame([(int(ids[i]), item, s, e, d) for i, item, s, e, d in found], columns=["doc_id", "item_id", "start", "end", "distance"])
+                ids, texts_ = b["id"].tolist(), b["text"].tolist()
+                found = [(lo + i, *rest) for lo, hi in _chunks(texts_) for i, *rest in matcher.find(texts_[lo:hi])]
+                yield pd.DataFrame([(ids[i], item, s, e, d) for i, item, s, e, d in found], columns=["doc_id", "item_id", "start", "end", "distance"])
             tidy()
 
-        part = texts.mapInPandas(run, SCHEMA)
-        if groups > 1:  # group by group: the driver holds one at a time
+        part = texts.mapInPandas(run, SCHEMA.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+        if more:
             part = written(part, "contaminated")
             chosen.destroy()
         parts.append(part)
     return reduce(DataFrame.unionByName, parts)
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents in which no item was found."""
-    found = contaminated(docs, items, key).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs[key] == found["__found"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.1, group: int = 20_000) -> DataFrame:
+    """The rows in whose text no item was found, in one pass for each group of items, without a join: keys play no part."""
+    at = docs.columns.index(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    for name, chosen, more in _groups(items, item_key, item_text, group):
+
+        def run(batches: Iterator[pa.RecordBatch], name: str = name, chosen=chosen) -> Iterator[pa.RecordBatch]:
+            matcher = ready(name, chosen.value, rate)
+            for b in batches:
+                texts = b.column(0).field(at).cast(pa.string()).to_pylist()
+                found = {lo + x[0] for lo, hi in _chunks(texts) for x in matcher.find([t or "" for t in texts[lo:hi]])}
+                yield b.filter(pa.array([i not in found for i in range(len(texts))], pa.bool_()))
+            tidy()
+
+        rows = rows.mapInArrow(run, rows.schema)
+        if more:
+            rows = written(rows, "clean")
+            chosen.destroy()
+    return rows.select("doc.*")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import crc_mod, written
+from maskloom.llm.shared import crc_mod, in_share, written
 
 NAMES = ("letters", "upper", "digits", "symbols", "marks", "space", "length", "short", "word_mean", "word_spread", "distinct", "distinct_pairs", "top_word", "same_next", "line_repeats", "line_length", "odd_ends", "bare_symbols", "capitals", "ends", "long_words", "odd_inside", "empty")
 _MARKS = frozenset(map(ord, ".,;:?'\"()-"))
@@ -122,7 +122,7 @@ def learn(rows: DataFrame, labels: DataFrame, label: str, sample: int = 40_000,
     """Fit on `rows` (doc_id, features) that have a label. The sample is bounded, so the driver may hold it."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     share = min(1.0, sample / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    chosen = marked.where(in_share("doc_id", share))
     got = rows.join(F.broadcast(chosen), "doc_id").select("features", "y").orderBy("doc_id").collect()
     return Preference(np.array([r["features"] for r in got], float).reshape(-1, len(NAMES)), np.array([r["y"] == 1 for r in got], bool), rivals, cut)
 

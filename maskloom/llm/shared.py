@@ -37,6 +37,11 @@ def crc_mod(key: str, mod: int):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def in_share(key: str, share: float):
+    """Whether a key is in a sample of that share of all keys, by its hash; shares go down to 2^-62."""
+    return F.shiftrightunsigned(F.xxhash64(key), 2) < (1 << 62 if share >= 1 else max(1, int(share * (1 << 62))))
+
+
 def tidy() -> None:
     """Give memory that a finished task no longer needs back to the system: Python workers live on beside the executor's heap."""
     import ctypes

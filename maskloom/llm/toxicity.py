@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import crc_mod, written
+from maskloom.llm.shared import crc_mod, in_share, written
 
 # General English insults.
 INSULTS = ("idiot", "stupid", "moron", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "dumb", "jerk", "imbecile", "garbage", "filth", "vermin", "coward", "liar", "fool", "freak")
@@ -56,7 +56,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame, label: str, text: str = "tex
     """Terms tied to toxic rows, each with its number and the bits of the voters that have it, and the sampled labels (both bounded)."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     share = min(1.0, sample / max(1, marked.count()))
-    chosen = {r["doc_id"]: r["y"] for r in marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).collect()}
+    chosen = {r["doc_id"]: r["y"] for r in marked.where(in_share("doc_id", share)).collect()}
     if not chosen:
         return {}, {}
     known = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, y int").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)).cast("int"))

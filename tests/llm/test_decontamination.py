@@ -1,6 +1,7 @@
 """Edit matching against a plain dynamic programme."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -57,7 +58,52 @@ def test_finds_all_within_the_budget_and_nothing_else(spark):
                 r = found[i, item_id]
                 assert r.distance == best and least_distance(item, text[r.start : r.end], whole=True) == best
     assert (202, 52) in found and (203, 52) not in found and (204, 0) in found
-    assert {r.doc_id for r in d.clean(df, bench).collect()} == {None, *[i for i, _ in docs if i is not None]} - {r.doc_id for r in got}
+    assert (None, 0) in found
+    stay = [(r.doc_id, r.text) for r in d.clean(df, bench).collect()]
+    assert {i for i, _ in stay} == {i for i, _ in docs if i is not None} - {r.doc_id for r in got}
+
+
+def test_clean_judges_each_row_by_its_own_text(spark):
+    """Null and repeated keys: contaminated rows go, clean rows that share a key with one stay, columns of any name and type stay as they are."""
+    item = "a question that the benchmark asks in so many words"
+    rows = [(1, "clean text of one", 1.5, {"a": [1]}), (1, f"it says {item} here", 1.5, None), (None, f"{item}!", 2.5, None), (None, "clean text without a key", None, {"b": []}), (2, None, 0.5, None), (2, "", 0.5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `item id` double, doc map<string,array<int>>")
+    for group in (20_000, 1):
+        out = d.clean(docs, spark.createDataFrame([(1, item), (2, "another item of the benchmark"), (None, "clean text of one")], "item_id long, text string"), group=group)
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        assert sorted(map(repr, out.collect())) == sorted(repr(r) for r in docs.collect() if item not in (r.text or ""))
+    assert d.clean(docs.limit(0), spark.createDataFrame([(1, item)], "item_id long, text string")).collect() == []
+    assert d.clean(docs, spark.createDataFrame([], "item_id long, text string")).count() == 6
+
+
+def test_very_long_texts_of_a_repeated_item_stay_small():
+    """A text of a million characters that repeats an item, beside 2,000 ordinary hits."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    items = [(i, " ".join(word() for _ in range(14))) for i in range(40)]
+    long = " ".join(edited(items[0][1], k % 11, rng) for k in range(1_000_000 // len(items[0][1])))
+    matcher = d.Matcher(items, 0.1)
+    texts = [long] + [word() + " " + edited(items[k % 40][1], 3, rng) + " " + word() for k in range(2000)]
+    tracemalloc.start()
+    found = matcher.find(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    first = next(x for x in found if x[0] == 0 and x[1] == 0)
+    assert first[4] == 0 and normal(long)[first[2] : first[3]] == items[0][1]
+    assert {x[0] for x in found} >= set(range(1, 2001))
+
+
+def test_long_places_in_pieces_find_what_one_pass_finds():
+    """Hits that lie so close that their places join: the best of all pieces is the best of the whole text."""
+    rng = random.Random(6)
+    for n in range(40):
+        item = "".join(rng.choice("abc ") for _ in range(40)).strip()
+        item = normal(item)
+        text = normal("x" + "".join(edited(item, rng.randrange(2, 9), rng) + rng.choice(["", " ", "ab"]) for _ in range(25)))
+        best, budget = least_distance(item, text), int(0.1 * len(item))
+        got = d.Matcher([(7, item)], 0.1).find([text])
+        assert [x[4] for x in got] == ([best] if best <= budget else [])
 
 
 def test_groups_and_empty(spark):

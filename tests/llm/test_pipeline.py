@@ -18,6 +18,8 @@ def folder(spark, tmp_path):
     item = prose(en, 30)
     docs += [(100, docs[3][1], "en"), (101, docs[5][1].upper(), "en"), (102, docs[7][1] + " more", "en")]
     docs += [(110, prose(en, 50) + " " + item + " " + prose(en, 50), "en"), (111, prose(fr, 60) + " " + item.replace("e", "a", 3), "fr")]
+    # Contaminated rows of a null key and of a key that a clean row has as well.
+    docs += [(None, prose(en, 40) + " " + item + " " + prose(en, 40), "en"), (9, prose(en, 45) + " " + item + " " + prose(en, 35), "en")]
     docs += [(140, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(80)), None), (141, "Съешь ещё этих мягких булок", "ru?")]
     docs += [(120, prose(en, 60) + " password = hunter2hunter2x " + prose(en, 10), None), (130, None, "en"), (131, "12 34 !!", "en"), (132, "", None)]
     spark.createDataFrame([(i, t, None if lang == "ru?" else lang, "s", len(t or "")) for i, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
@@ -32,7 +34,7 @@ def test_pipeline(spark, folder):
     out = corpus_pipeline.run(spark, path).collect()
     kept = {r.doc_id for r in out}
     assert kept == set(range(40)) | {120}
-    texts = {i: t for i, t, _ in docs}
+    texts = {i: t for i, t, _ in reversed(docs)}
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     for i in kept:
         ids = [x for r in sorted((r for r in out if r.doc_id == i), key=lambda r: r.start) for x in np.frombuffer(bytes(r.ids), "<u4").tolist()]
