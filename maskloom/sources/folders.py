@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: The local folder of each application that names none, by application id: the setting itself can't be changed in a running session.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in `spark.checkpoint.dir`; where that is unset a new local one, but only in one process: on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="maskloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="maskloom-")
+        _LOCAL[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
