@@ -238,27 +238,6 @@ def morph_close(voxels: DataFrame, keys: list[str], axes: tuple[str, ...]) -> Da
     return wide.join(border(wide, keys, axes), [*keys, *axes], "left_anti")
 
 
-def hd95(a: DataFrame, b: DataFrame, key: str, axes: tuple[str, ...]) -> DataFrame:
-    """95th percentile of the distances between the borders of two masks, both ways; null where one is missing.
-
-    Each border voxel's nearest distance is found in blocks in the task that has the case's two borders."""
-
-    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        case = int((p if len(p) else q)[key].iloc[0])
-        if not len(p) or not len(q):
-            return pd.DataFrame({key: [case], "hd95": [None]})
-        x, y = p[list(axes)].to_numpy(float), q[list(axes)].to_numpy(float)
-        there, back = np.full(len(x), np.inf), np.full(len(y), np.inf)
-        for lo in range(0, len(x), 512):
-            d = ((x[lo : lo + 512, None, :] - y[None, :, :]) ** 2).sum(2)
-            there[lo : lo + 512] = d.min(1)
-            back = np.minimum(back, d.min(0))
-        return pd.DataFrame({key: [case], "hd95": [float(np.percentile(np.sqrt(np.r_[there, back]), 95))]})
-
-    x, y = border(a, [key], axes).select(key, *axes), border(b, [key], axes).select(key, *axes)
-    return x.groupBy(key).cogroup(y.groupBy(key)).applyInPandas(run, f"{key} long, hd95 double")
-
-
 def rle_encode(voxels: DataFrame, keys: list[str], place: Column, size: int) -> DataFrame:
     """Run lengths along `place` (0 to size - 1), background first: a run for each change and the rest."""
     x = voxels.select(*keys, place.alias("p")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskloom.operators.quantiles import percentiles, with_percentiles
 from maskloom.sources.folders import written
 
 
@@ -22,19 +23,10 @@ def welford_merge(states: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def percentile_window(df: DataFrame, keys: list[str], value: str, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
-    """Exact low and high percentile (linear between values) of each group; nulls do not count, and a group of nulls has none.
+    """Exact low and high percentile (linear between values) of each group; nulls and NaN do not count, and a group without values has nulls.
 
-    Values are numbered by range, so that a group of any size spreads over tasks; only the values beside the wanted places meet."""
-    x = ranked(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [value])
-
-    def at(share: float) -> Column:
-        place = (F.col("group_rows") - 1) * share
-        below, above = (F.max(F.when(F.col("position") == f(place) + 1, F.col(value))) for f in (F.floor, F.ceil))
-        part = F.max(place - F.floor(place))
-        return below * (1 - part) + above * part
-
-    found = x.groupBy(*keys).agg(at(lo).alias("window_lower"), at(hi).alias("window_upper"))
-    return df.select(*keys).distinct().join(found, keys, "left") if keys else found
+    Values are counted, not sorted: see `quantiles`."""
+    return percentiles(df, keys, value, {"window_lower": lo, "window_upper": hi})
 
 
 def per_file_cap(df: DataFrame, key: str, unit: Column, cap: int) -> DataFrame:
@@ -43,12 +35,18 @@ def per_file_cap(df: DataFrame, key: str, unit: Column, cap: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= cap).drop("__r")
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """`position` from 1 in the order of all rows, without one task that holds them all.
+def _dealt(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt to tasks by range of `order` and sorted: `__part` and `__row` (from 0) say where each lies. The written table keeps the dealing.
+
+    Rows of equal order are dealt by a hash of all columns, so that only exact repeats stay together."""
+    ends = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])] if df.columns else order
+    dealt = df.repartitionByRange(*ends).sortWithinPartitions(*ends)
+    return written(dealt.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
 
-    Rows are dealt by range and sorted; the written table keeps the dealing for the counts and the numbers alike. The counts are a row per task."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = written(dealt.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """`position` from 1 in the order of all rows, without one task that holds them all. The counts are a row per task."""
+    dealt = _dealt(df, order)
     counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     heads = counts.select("__part", before.alias("__before"))
@@ -58,10 +56,18 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
 def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """`position` from 1 within each group of `keys`, and its rows as `group_rows`; a group may be of any size, since it spreads over tasks.
 
-    Rows are numbered over all groups; a group's own numbers begin after its first."""
-    x = numbered(df, [*keys, *order])
-    first = x.groupBy(*keys).agg(F.min("position").alias("__first"), F.count("*").alias("group_rows"))
-    return x.join(first, keys).withColumn("position", F.col("position") - F.col("__first") + 1).drop("__first")
+    Rows are dealt by range of keys and order. Of each group and task there is a row that says how many of the group's rows come before; it meets the task's rows by group and
+    task, so a large group is not gathered again."""
+    dealt = _dealt(df, [*keys, *order])
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    each = dealt.groupBy("__part", *keys).agg(F.min("__row").alias("__head"), F.count("*").alias("__n"))
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__n").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = each.select(F.col("__part").alias("__at"), *[F.col(f"`{k}`").alias(n) for k, n in names.items()], "__head", before.alias("__before"), F.sum("__n").over(group).alias("group_rows"))
+    same = dealt["__part"] == heads["__at"]
+    for k, n in names.items():
+        same = same & dealt[f"`{k}`"].eqNullSafe(heads[n])
+    return dealt.join(heads, same).withColumn("position", F.col("__before") + F.col("__row") - F.col("__head") + 1).drop("__part", "__row", "__at", "__head", "__before", *names.values())
 
 
 def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
@@ -74,8 +80,7 @@ def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
 def foreground_stats(df: DataFrame, key: str, value: str, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
     """Each volume's foreground (not 0) percentiles, and mean and deviation of its values clipped to them."""
     fg = df.where(F.col(value) != 0)
-    q = percentile_window(fg, [key], value, lo, hi)
-    x = fg.join(q, key).withColumn("c", F.greatest(F.least(F.col(value), F.col("window_upper")), F.col("window_lower")))
+    x = with_percentiles(fg, [key], value, {"window_lower": lo, "window_upper": hi}).withColumn("c", F.greatest(F.least(F.col(value), F.col("window_upper")), F.col("window_lower")))
     return x.groupBy(key).agg(F.first("window_lower").alias("window_lower"), F.first("window_upper").alias("window_upper"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"))
 
 
@@ -92,11 +97,19 @@ def mri_zscore(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.join(foreground_stats(df, key, value), key, "left").withColumn("z", F.when(F.col(value) == 0, 0.0).otherwise(z))
 
 
+def window_zscore(df: DataFrame, key: str, value: str, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
+    """Z-scores of values clipped to their group's percentile window, by the group's own mean and deviation."""
+    moments = df.groupBy(F.col(f"`{key}`").alias("__group")).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    x = with_percentiles(df, [key], value, {"window_lower": lo, "window_upper": hi})
+    x = x.join(moments, x[f"`{key}`"].eqNullSafe(moments["__group"])).drop("__group")
+    return x.withColumn("z", zscore(F.col(value), F.col("window_lower"), F.col("window_upper"), F.col("mean"), F.col("std")))
+
+
 def robust_01(df: DataFrame, key: str, value: str) -> DataFrame:
     """Between the 1st and 99th percentile to 0..1; 0 where these are equal."""
-    q = percentile_window(df, [key], value, 0.01, 0.99)
+    x = with_percentiles(df, [key], value, {"window_lower": 0.01, "window_upper": 0.99})
     span = F.col("window_upper") - F.col("window_lower")
-    return df.join(q, key).withColumn("scaled", F.when(span > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - F.col("window_lower")) / span))).otherwise(0.0))
+    return x.withColumn("scaled", F.when(span > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - F.col("window_lower")) / span))).otherwise(0.0))
 
 
 def to_uint8(df: DataFrame, key: str, value: str) -> DataFrame:

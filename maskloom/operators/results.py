@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.operators.profiles import ranked
+from maskloom.operators.quantiles import with_percentiles_of
 
 ID = ("model", "prompt_mode", "protocol", "dataset_name", "case_id", "modality", "task_id", "task_label", "status")
 #: Upper ends of the right-closed frame bins and their names.
@@ -72,11 +73,18 @@ def case_micro_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> Da
 
 
 def dataset_macro_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Mean per dataset, then the mean of those; datasets and distinct cases. One shuffle by keys and dataset feeds both levels.
+    """Mean per dataset, then the mean of those; datasets, and the distinct cases of the whole group: one that is in two datasets counts once.
 
-    A case belongs to one dataset, so distinct cases add up over datasets."""
-    per = df.groupBy(*keys, "dataset_name").agg(*[F.avg(F.nanvl(m, F.lit(None))).alias(m) for m in metrics], F.countDistinct("case_id").alias("n"))
-    return per.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics], F.count("dataset_name").alias("n_datasets"), F.sum("n").alias("n_cases"))
+    Sums and counts by dataset and case come first; cases then lose their repeats over datasets by a second aggregate on the same keys and case."""
+    values = [F.nanvl(m, F.lit(None)) for m in metrics]
+    each = df.groupBy(*keys, "dataset_name", "case_id").agg(*[a for m, v in zip(metrics, values) for a in (F.sum(v).alias(f"__s_{m}"), F.count(v).alias(f"__n_{m}"))])
+    per = each.groupBy(*keys, "dataset_name").agg(*[F.try_divide(F.sum(f"__s_{m}"), F.sum(f"__n_{m}")).alias(m) for m in metrics])
+    cases = each.where("case_id is not null").select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], "case_id").distinct().groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.count("*").alias("n_cases"))
+    means = per.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics], F.count("dataset_name").alias("n_datasets"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & means[f"`{k}`"].eqNullSafe(cases[f"__k{i}"])
+    return means.join(cases, same, "left").select(*keys, *metrics, "n_datasets", F.coalesce("n_cases", F.lit(0)).alias("n_cases"))
 
 
 def group_breakdowns(df: DataFrame, keys: list[str], levels: list[str], metrics: list[str]) -> DataFrame:
@@ -113,10 +121,10 @@ def efficiency_bins(df: DataFrame, keys: list[str], metrics: list[str]) -> DataF
 
 def dist_summary(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """Rows, ok and failed rows; of the ok rows' metric count, mean, median, sample deviation (0 for one value) and interquartile range."""
-    x = F.when(F.lower("status") == "ok", F.nanvl(metric, F.lit(None)))
-    quart = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(F.lower("status") == "ok").alias("ok"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("s"), quart.alias("q"))
-    return out.select(*keys, "rows", "ok", (F.col("rows") - F.col("ok")).alias("failed"), "n", "mean", F.col("q")[1].alias("median"), F.when(F.col("n") <= 1, 0.0).otherwise(F.col("s")).alias("std"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    x = df.withColumn("__x", F.when(F.lower("status") == "ok", F.nanvl(metric, F.lit(None))))
+    told = x.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(F.lower("status") == "ok").alias("ok"), F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.stddev_samp("__x").alias("s"))
+    out = with_percentiles_of(told, x, keys, "__x", {"__q1": 0.25, "median": 0.5, "__q3": 0.75})
+    return out.select(*keys, "rows", "ok", (F.col("rows") - F.col("ok")).alias("failed"), "n", "mean", "median", F.when(F.col("n") <= 1, 0.0).otherwise(F.col("s")).alias("std"), (F.col("__q3") - F.col("__q1")).alias("iqr"))
 
 
 def dedup_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -141,12 +149,13 @@ def paired_model_diff(df: DataFrame, left: str, right: str, metric: str, order:
 def paired_summary(pairs: DataFrame, keys: list[str], within: tuple[float, ...]) -> DataFrame:
     """Pairs, mean, median, deviation and interquartile range of the difference, shares of either side better, and within bounds."""
     d = F.col("delta")
-    out = pairs.groupBy(*keys).agg(
-        F.count("*").alias("pairs"), F.avg(d).alias("delta_mean"), F.percentile(d, F.lit(0.5)).alias("delta_median"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("delta_std"),
-        (F.percentile(d, F.lit(0.75)) - F.percentile(d, F.lit(0.25))).alias("delta_iqr"), F.avg((d > 0).cast("double") * 100).alias("right_better_pct"), F.avg((d < 0).cast("double") * 100).alias("left_better_pct"),
+    told = pairs.groupBy(*keys).agg(
+        F.count("*").alias("pairs"), F.avg(d).alias("delta_mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("delta_std"),
+        F.avg((d > 0).cast("double") * 100).alias("right_better_pct"), F.avg((d < 0).cast("double") * 100).alias("left_better_pct"),
         *[F.avg((F.abs(d) <= w).cast("double") * 100).alias(f"within_{i + 1}_pct") for i, w in enumerate(within)],
     )
-    return out
+    out = with_percentiles_of(told, pairs, keys, "delta", {"__q1": 0.25, "delta_median": 0.5, "__q3": 0.75}).withColumn("delta_iqr", F.col("__q3") - F.col("__q1"))
+    return out.select(*keys, "pairs", "delta_mean", "delta_median", "delta_std", "delta_iqr", "right_better_pct", "left_better_pct", *[f"within_{i + 1}_pct" for i in range(len(within))])
 
 
 def aggregate_mixed(df: DataFrame, keys: list[str], means: list[str], sums: list[str]) -> DataFrame:

@@ -9,13 +9,26 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.keys import unit
 from maskloom.operators.profiles import numbered, ranked
+from maskloom.operators.quantiles import order_statistics
 from maskloom.sources.folders import written
 
 
 def exact_fraction_split(df: DataFrame, keys: list[str], ident: str, share: float, seed: int) -> DataFrame:
-    """In each group the first floor(n * share) rows by hash go to validation; groups may be of any size."""
-    x = ranked(df.withColumn("__u", unit(F.col(ident), seed)), keys, ["__u", ident])
-    return x.withColumn("split", F.when(F.col("position") <= F.floor(F.col("group_rows") * share), "val").otherwise("train")).drop("__u", "position", "group_rows")
+    """In each group the first floor(n * share) rows by hash, then by ident, go to validation; groups may be of any size.
+
+    The hash of the last of them is an order statistic of its group; only rows that have this very hash are ranked, where not all of them go."""
+    x = df.withColumn("__u", unit(F.col(ident), seed))
+    last = order_statistics(x, keys, "__u", {"__last": lambda n: F.floor(n * F.lit(float(share))) - 1})
+    ends = last.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__last.value").alias("__end"), (F.floor(F.col("__n") * F.lit(float(share))) - F.col("__last.before")).alias("__room"), F.col("__last.equal").alias("__equal"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & x[f"`{k}`"].eqNullSafe(ends[f"__k{i}"])
+    x = x.join(ends, same)
+    tied = F.coalesce((F.col("__u") == F.col("__end")) & (F.col("__room") < F.col("__equal")), F.lit(False))
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(ident))
+    some = x.where(tied).withColumn("split", F.when(turn <= F.col("__room"), "val").otherwise("train"))
+    rest = x.where(~tied).withColumn("split", F.when(F.col("__u") <= F.col("__end"), "val").otherwise("train"))
+    return rest.unionByName(some).drop("__u", "__end", "__room", "__equal", *[f"__k{i}" for i in range(len(keys))])
 
 
 def deterministic_subset(df: DataFrame, ident: str, k: int, seed: int) -> DataFrame:

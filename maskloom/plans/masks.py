@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskloom.operators import masks as M
+from maskloom.operators.distances import hd95 as hd95_of
 from maskloom.plans.base import ORACLE_SQL, query, rounded
 from maskloom.plans.views import VOXELS, table, voxels
 
@@ -200,11 +201,28 @@ def morph_close(spark, sf):
 _EDGES = "e{l} AS (SELECT case_id, y, x FROM f{l} ANTI JOIN (SELECT case_id, y + dy AS y, x + dx AS x FROM f{l} CROSS JOIN " + _SIDE + " m GROUP BY ALL HAVING count(*) = 4) g USING (case_id, y, x))"
 
 
-@query(f"""WITH {VOXELS}, f1 AS (SELECT DISTINCT case_id, y, x FROM voxels WHERE label = 1), f2 AS (SELECT DISTINCT case_id, y, x FROM voxels WHERE label = 2), {_EDGES.format(l=1)}, {_EDGES.format(l=2)},
-  p AS (SELECT a.case_id, a.y, a.x, b.y AS v, b.x AS u, sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d FROM e1 a JOIN e2 b USING (case_id)),
-  n AS (SELECT case_id, min(d) AS d FROM p GROUP BY case_id, y, x UNION ALL SELECT case_id, min(d) FROM p GROUP BY case_id, v, u) SELECT case_id, round(quantile_cont(d, 0.95), 6) AS hd95 FROM n GROUP BY 1""")
+def _hd95_sql(dy: float, dx: float) -> str:
+    d = f"sqrt((a.y - b.y) * (a.y - b.y) * {dy * dy} + (a.x - b.x) * (a.x - b.x) * {dx * dx})"
+    return f"""WITH {VOXELS}, f1 AS (SELECT DISTINCT case_id, y, x FROM voxels WHERE label = 1), f2 AS (SELECT DISTINCT case_id, y, x FROM voxels WHERE label = 2 AND case_id % 5 > 0), {_EDGES.format(l=1)}, {_EDGES.format(l=2)},
+  p AS (SELECT a.case_id, a.y, a.x, b.y AS v, b.x AS u, {d} AS d FROM e1 a JOIN e2 b USING (case_id)),
+  n AS (SELECT case_id, min(d) AS d FROM p GROUP BY case_id, y, x UNION ALL SELECT case_id, min(d) FROM p GROUP BY case_id, v, u), q AS (SELECT case_id, round(quantile_cont(d, 0.95), 6) AS hd95 FROM n GROUP BY 1)
+  SELECT case_id, CASE WHEN case_id IN (SELECT case_id FROM f1) OR case_id IN (SELECT case_id FROM f2) THEN hd95 ELSE 0 END AS hd95 FROM (SELECT s_suppkey AS case_id FROM supplier UNION SELECT -1) c LEFT JOIN q USING (case_id)"""
+
+
+def _hd95(spark, sf, spacing):
+    """Labels 1 and 2 of each case, seen along z; every fifth case lacks the second mask, and case -1 both."""
+    cases = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("case_id")).union(spark.range(-1, 0))
+    return rounded(hd95_of(_flat(spark, sf, 1), _flat(spark, sf, 2).where("case_id % 5 > 0"), "case_id", ("y", "x"), spacing, cases))
+
+
+@query(_hd95_sql(1, 1))
 def hd95(spark, sf):
-    return rounded(M.hd95(_flat(spark, sf, 1), _flat(spark, sf, 2), "case_id", ("y", "x")))
+    return _hd95(spark, sf, None)
+
+
+@query(_hd95_sql(2.5, 0.5))
+def hd95_spaced(spark, sf):
+    return _hd95(spark, sf, (2.5, 0.5))
 
 
 _RLE = f"{VOXELS}, f AS (SELECT DISTINCT case_id, label, z, x * 64 + y AS p FROM voxels)"

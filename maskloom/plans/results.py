@@ -60,7 +60,7 @@ def case_micro_summary(spark, sf):
     return rounded(R.case_micro_summary(_ok(spark, sf), ["model", "prompt_mode"], METRICS))
 
 
-_MACRO = f"macro AS (SELECT model, prompt_mode, avg(dice) AS dice, avg(iou) AS iou, avg(wall_time_sec) AS wall_time_sec, count(*) AS n_datasets, CAST(sum(n) AS BIGINT) AS n_cases FROM (SELECT model, prompt_mode, dataset_name, avg(dice) AS dice, avg(iou) AS iou, avg(wall_time_sec) AS wall_time_sec, count(DISTINCT case_id) AS n FROM ok GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+_MACRO = f"macro AS (SELECT model, prompt_mode, avg(dice) AS dice, avg(iou) AS iou, avg(wall_time_sec) AS wall_time_sec, count(*) AS n_datasets, (SELECT count(DISTINCT case_id) FROM ok o WHERE o.model = p.model AND o.prompt_mode = p.prompt_mode) AS n_cases FROM (SELECT model, prompt_mode, dataset_name, avg(dice) AS dice, avg(iou) AS iou, avg(wall_time_sec) AS wall_time_sec FROM ok GROUP BY 1, 2, 3) p GROUP BY 1, 2)"
 
 
 @query(f"WITH {OK}, {_MACRO} SELECT model, prompt_mode, round(dice, 6) AS dice, round(iou, 6) AS iou, round(wall_time_sec, 6) AS wall_time_sec, n_datasets, n_cases FROM macro")

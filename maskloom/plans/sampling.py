@@ -63,10 +63,7 @@ def mri_zscore(spark, sf):
 
 @query(f"WITH {VALUES}, w AS (SELECT subdataset, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi, avg(value) AS mean, stddev_pop(value) AS std FROM values_ GROUP BY 1) SELECT vox, volume, round((greatest(least(value, hi), lo) - mean) / std, 6) AS z FROM values_ JOIN w USING (subdataset)")
 def window_zscore(spark, sf):
-    v = values(spark, sf)
-    prof = v.groupBy("subdataset").agg(F.percentile("value", F.array(F.lit(0.005), F.lit(0.995))).alias("q"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    x = v.join(prof, "subdataset")
-    return rounded(x.select("vox", "volume", P.zscore(F.col("value"), F.col("q")[0], F.col("q")[1], F.col("mean"), F.col("std")).alias("z")))
+    return rounded(P.window_zscore(values(spark, sf), "subdataset", "value").select("vox", "volume", "z"))
 
 
 @query(f"WITH {VALUES}, q AS (SELECT volume, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM values_ GROUP BY 1) SELECT vox, volume, round(CASE WHEN hi > lo THEN least(1.0, greatest(0.0, (value - lo) / (hi - lo))) ELSE 0 END, 6) AS scaled FROM values_ JOIN q USING (volume)")
