@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lots_of(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema, rows: int = 20_000) -> DataFrame:
-    """`run` on lots of whole groups of `keys`, about `rows` rows in each."""
-    lots = max(1, df.count() // rows)
+def lots_of(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema, rows: int = 20_000, n: int | None = None) -> DataFrame:
+    """`run` on lots of whole groups of `keys`, about `rows` rows in each; `n`: the rows of `df`, where known."""
+    lots = max(1, (df.count() if n is None else n) // rows)
     return df.withColumn("__lot", F.pmod(F.xxhash64(*keys), F.lit(lots))).groupBy("__lot").applyInPandas(lambda lot: run(lot.drop(columns="__lot")), schema)
 
 

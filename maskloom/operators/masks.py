@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskloom.functions.arrays import running_sum
 from maskloom.functions.keys import unit
 from maskloom.operators.boxes import lots_of
+from maskloom.operators.profiles import ranked
+from maskloom.sources.folders import written
 
 AXES = ("z", "y", "x")
 
@@ -47,23 +52,98 @@ def components(points: np.ndarray, group: np.ndarray | None = None) -> np.ndarra
             return label
 
 
-def connected_components(voxels: DataFrame, keys: list[str], axes: tuple[str, ...] = AXES) -> DataFrame:
+def connected_components(voxels: DataFrame, keys: list[str], axes: tuple[str, ...] = AXES, whole: int = 1_000_000, tile: int = 128) -> DataFrame:
     """Component numbers from 1 within each group of `keys`, by falling size, then by the first voxel in `axes` order.
 
-    A mask of one case and label is whole in a task: it fits one worker as it does one image in memory. Small ones share a call."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([*keys, *axes], kind="stable").reset_index(drop=True)
-        group = g.groupby(keys, sort=False, dropna=False).ngroup().to_numpy(np.int64)
-        root = components(g[list(axes)].to_numpy(np.int64), group)
-        first, back, size = np.unique(root, return_inverse=True, return_counts=True)
-        order = np.lexsort((first, -size, group[first]))
-        owner, rank = group[first][order], np.empty(len(first), np.int64)
-        rank[order] = np.arange(1, len(first) + 1) - np.searchsorted(owner, owner)
-        return g.assign(component=rank[back].astype(np.int32))
-
-    schema = voxels.select(*keys, *axes).schema.add("component", T.IntegerType())
-    return lots_of(voxels.select(*keys, *axes), keys, run, schema)
+    Masks of at most `whole` voxels are each done in one task, small ones together in a call. Larger ones are cut into tiles of `tile` places along each axis: components within
+    tiles first, then the links over tile borders, contracted by joins (`tiled_components`); the numbers are the same."""
+    rows = voxels.select(*keys, *axes)
+    sizes = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__n"))
+    n, most = sizes.agg(F.sum("__n"), F.max("__n")).first()
+    schema = rows.schema.add("component", T.IntegerType())
+    if (most or 0) <= whole:
+        return lots_of(rows, keys, lambda g: _numbered(g, keys, axes), schema, n=n or 0)
+    same = reduce(lambda x, y: x & y, [rows[k].eqNullSafe(sizes[f"__{k}"]) for k in keys])
+    small = rows.join(sizes.where(F.col("__n") <= whole), same, "left_semi")
+    large = rows.join(sizes.where(F.col("__n") > whole), same, "left_semi")
+    return lots_of(small, keys, lambda g: _numbered(g, keys, axes), schema, n=n).unionByName(tiled_components(large, keys, axes, tile, whole))
+
+
+def _rooted(g: pd.DataFrame, keys: list[str], axes: tuple[str, ...]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows in order of keys and place, the number of each row's group, and the first row of its component."""
+    g = g.sort_values([*keys, *axes], kind="stable").reset_index(drop=True)
+    group = g.groupby(keys, sort=False, dropna=False).ngroup().to_numpy(np.int64)
+    return g, group, components(g[list(axes)].to_numpy(np.int64), group)
+
+
+def _numbered(g: pd.DataFrame, keys: list[str], axes: tuple[str, ...]) -> pd.DataFrame:
+    g, group, root = _rooted(g, keys, axes)
+    first, back, size = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((first, -size, group[first]))
+    owner, rank = group[first][order], np.empty(len(first), np.int64)
+    rank[order] = np.arange(1, len(first) + 1) - np.searchsorted(owner, owner)
+    return g.assign(component=rank[back].astype(np.int32))
+
+
+def tiled_components(voxels: DataFrame, keys: list[str], axes: tuple[str, ...] = AXES, tile: int = 128, whole: int = 1_000_000) -> DataFrame:
+    """As `connected_components`, for masks of any size: no task holds more than some tiles.
+
+    A component of a tile is named by its first voxel. Voxels on tile faces meet those that touch them in other tiles; the links between names
+    are contracted to each name's smallest (`contracted`). Sizes add up by name, and the numbers of a mask's components come from ranks that spread over tasks."""
+    tiles = [f"__t{i}" for i in range(len(axes))]
+    rows = voxels.select(*keys, *axes).withColumns({t: F.floor(F.col(a) / tile).cast("int") for t, a in zip(tiles, axes)})
+    firsts = [f"__r{i}" for i in range(len(axes))]
+
+    def local(g: pd.DataFrame) -> pd.DataFrame:
+        g, _, root = _rooted(g, [*keys, *tiles], axes)
+        return g.assign(**{r: g[a].to_numpy()[root] for r, a in zip(firsts, axes)})[[*keys, *axes, *firsts]]
+
+    base = voxels.select(*keys, *axes).schema
+    found = lots_of(rows, [*keys, *tiles], local, T.StructType([*base.fields, *[T.StructField(r, base[a].dataType) for r, a in zip(firsts, axes)]]), rows=200_000)
+    name = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(r).alias(f"r{i}") for i, r in enumerate(firsts)])
+    found = written(found.select(*keys, *axes, name.alias("__name")), "tile-components")
+
+    onface = reduce(lambda x, y: x | y, [F.pmod(F.col(a), F.lit(tile)).isin(0, tile - 1) for a in axes])
+    face = found.where(onface)
+    half = [m for m in np.ndindex(*[3] * len(axes)) if m > (1,) * len(axes)]  # each pair of touching places once
+    step = F.explode(F.array(*[F.struct(*[F.lit(int(d) - 1).alias(f"d{i}") for i, d in enumerate(m)]) for m in half]))
+    moved = face.withColumn("__d", step).select("__name", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(a).alias(f"__from{i}") for i, a in enumerate(axes)], *[(F.col(a) + F.col(f"__d.d{i}")).alias(f"__to{i}") for i, a in enumerate(axes)])
+    across = reduce(lambda x, y: x | y, [F.floor(F.col(f"__from{i}") / tile) != F.floor(F.col(f"__to{i}") / tile) for i in range(len(axes))])
+    met = face.select(F.col("__name").alias("__other"), *keys, *axes)
+    touch = [F.col(f"__k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)] + [F.col(f"__to{i}") == F.col(a) for i, a in enumerate(axes)]
+    links = moved.where(across).join(met, reduce(lambda x, y: x & y, touch)).select(F.col("__name").alias("a"), F.col("__other").alias("b")).distinct()
+    roots = contracted(links)
+
+    sizes = found.groupBy("__name").agg(F.count("*").alias("__n")).join(roots, F.col("__name") == F.col("node"), "left").select("__name", F.coalesce("root", "__name").alias("__root"), "__n")
+    whole_sizes = sizes.groupBy("__root").agg(F.sum("__n").alias("__n")).select("__root", (-F.col("__n")).alias("__less"), *[F.col(f"__root.k{i}").alias(f"__k{i}") for i in range(len(keys))])
+    numbers = ranked(whole_sizes, [f"__k{i}" for i in range(len(keys))], ["__less", "__root"]).select(F.col("__root").alias("__of"), F.col("position").cast("int").alias("component"))
+    number = sizes.join(numbers, F.col("__root") == F.col("__of")).select(F.col("__name").alias("__own"), "component")
+    return found.join(number, F.col("__name") == F.col("__own")).select(*keys, *axes, "component")
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """(node, root) for each node of the links (a, b): the smallest node that it is joined to.
+
+    Stars in turn: each node's larger neighbours are hung under its smallest one, then its smaller ones, until nothing changes. Every turn is a minimum by node, reduced before the
+    shuffle, and a join; the turns grow with the logarithm of the longest chain."""
+    edges = written(links.where("a <> b").distinct(), "links")
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    before = mark(edges)
+    while before[0]:
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
+        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, "links")
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        lowest = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        hung = down.join(lowest, F.col("a") == F.col("u")).select("b", "m").unionByName(lowest.select(F.col("u").alias("b"), "m"))
+        edges = written(hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        after = mark(edges)
+        if after == before:
+            break
+        before = after
+    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return stars
 
 
 def component_sizes(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -225,17 +305,45 @@ def border(voxels: DataFrame, keys: list[str], axes: tuple[str, ...]) -> DataFra
     return voxels.join(met.where(F.col("n") == len(moves)), [*keys, *axes], "left_anti")
 
 
-def dilate(voxels: DataFrame, keys: list[str], axes: tuple[str, ...]) -> DataFrame:
-    """Foreground and its side neighbours."""
-    moves = [[0] * len(axes)] + [[(d if a == b else 0) for b in axes] for a in axes for d in (-1, 1)]
-    greet = F.array(*[F.struct(*[(F.col(a) + m).alias(a) for a, m in zip(axes, move)]) for move in moves])
-    return voxels.select(*keys, F.explode(greet).alias("g")).select(*keys, *[F.col(f"g.{a}").alias(a) for a in axes]).distinct()
+def cross(axes: int = 2) -> list[tuple[int, ...]]:
+    """A place and its side neighbours."""
+    return [(0,) * axes] + [tuple(d if i == j else 0 for j in range(axes)) for i in range(axes) for d in (-1, 1)]
+
+
+def ellipse(size: int) -> list[tuple[int, int]]:
+    """Steps (y, x) of an elliptic kernel of `size` x `size` places round its middle (size // 2): in row y as far as the ellipse's width there, rounded half to even."""
+    r = size // 2
+    width = lambda y: round(r * ((r * r - y * y) / (r * r)) ** 0.5) if r else 0
+    return [(y, x) for y in range(-r, size - r) if abs(y) <= r for x in range(-width(y), min(width(y), size - 1 - r) + 1)]
+
+
+def _met(voxels: DataFrame, keys: list[str], axes: tuple[str, ...], kernel: list[tuple[int, ...]], sign: int) -> DataFrame:
+    """For each place the number of voxels whose kernel reaches it."""
+    steps = F.array(*[F.struct(*[(F.col(a) + sign * int(d)).alias(a) for a, d in zip(axes, move)]) for move in kernel])
+    return voxels.select(*keys, F.explode(steps).alias("g")).select(*keys, *[F.col(f"g.{a}").alias(a) for a in axes]).groupBy(*keys, *axes).agg(F.count("*").alias("__n"))
+
+
+def dilate(voxels: DataFrame, keys: list[str], axes: tuple[str, ...], kernel: list[tuple[int, ...]] | None = None) -> DataFrame:
+    """All places that the kernel (default: the side neighbours) reaches from the foreground."""
+    return _met(voxels, keys, axes, kernel or cross(len(axes)), 1).drop("__n")
+
+
+def erode(voxels: DataFrame, keys: list[str], axes: tuple[str, ...], kernel: list[tuple[int, ...]] | None = None) -> DataFrame:
+    """Places from which the whole kernel lies on distinct foreground voxels."""
+    kernel = kernel or cross(len(axes))
+    return _met(voxels, keys, axes, kernel, -1).where(F.col("__n") == len(kernel)).drop("__n")
 
 
-def morph_close(voxels: DataFrame, keys: list[str], axes: tuple[str, ...]) -> DataFrame:
-    """Dilation, then erosion: what keeps all its side neighbours of the dilated mask."""
-    wide = dilate(voxels, keys, axes)
-    return wide.join(border(wide, keys, axes), [*keys, *axes], "left_anti")
+def morph_close(voxels: DataFrame, keys: list[str], axes: tuple[str, ...], kernel: list[tuple[int, ...]] | None = None, shape: dict[str, int] | None = None) -> DataFrame:
+    """Dilation, then erosion. Without `shape` the grid has no end; with it (axis: places) what lies outside the image is not asked, neither by the dilation nor by the erosion."""
+    wide = dilate(voxels, keys, axes, kernel)
+    if not shape:
+        return erode(wide, keys, axes, kernel)
+    kernel = kernel or cross(len(axes))
+    inside = lambda move: reduce(lambda x, y: x & y, [(F.col(a) + int(d)).between(0, shape[a] - 1) for a, d in zip(axes, move)])
+    needed = reduce(lambda x, y: x + y, [inside(move).cast("int") for move in kernel])
+    met = _met(wide.where(inside((0,) * len(axes))), keys, axes, kernel, -1)
+    return met.where(inside((0,) * len(axes)) & (F.col("__n") == needed)).drop("__n")
 
 
 def rle_encode(voxels: DataFrame, keys: list[str], place: Column, size: int) -> DataFrame:
@@ -252,8 +360,8 @@ def rle_encode(voxels: DataFrame, keys: list[str], place: Column, size: int) ->
 
 
 def rle_decode(encoded: DataFrame, keys: list[str]) -> DataFrame:
-    """Places of the foreground runs."""
-    ends = F.transform("counts", lambda x, i: F.aggregate(F.slice("counts", 1, i + 1), F.lit(0).cast("long"), lambda s, e: s + e))
+    """Places of the foreground runs; runs end where their running sums are."""
+    ends = running_sum(F.transform("counts", lambda x: x.cast("long")))
     x = encoded.select(*keys, F.posexplode(F.arrays_zip(F.col("counts").alias("n"), ends.alias("end"))).alias("i", "r")).where("i % 2 = 1 and r.n > 0")
     return x.select(*keys, F.explode(F.sequence(F.col("r.end") - F.col("r.n"), F.col("r.end") - 1)).alias("p"))
 

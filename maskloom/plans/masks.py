@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskloom.operators import masks as M
+from maskloom.operators import regions as Rg
+from maskloom.operators import runs as Rn
 from maskloom.operators.distances import hd95 as hd95_of
 from maskloom.plans.base import ORACLE_SQL, query, rounded
 from maskloom.plans.views import VOXELS, table, voxels
@@ -78,25 +80,7 @@ def hi_axis(spark, sf):
     return p.select("p_partkey", M.hi_axis([F.col("p_size"), F.col("p_partkey") % 40 + 1, F.col("p_partkey") % 23 + 1]).alias("hi_axis"))
 
 
-_BOX = "b AS (SELECT case_id, label, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM voxels GROUP BY 1, 2)"
-
-
-@query(f"WITH {VOXELS}, {_BOX} SELECT *, (z1 - z0) * (y1 - y0) * (x1 - x0) <= 0.75 * 32768 AS is_significant_crop FROM b")
-def bbox_3d(spark, sf):
-    return M.bbox(voxels(spark, sf), ["case_id", "label"], SHAPE)
-
-
-@query(f"WITH {VOXELS} SELECT case_id, z, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1, (max(y) + 1 - min(y)) * (max(x) + 1 - min(x)) <= 0.75 * 4096 AS is_significant_crop FROM voxels GROUP BY 1, 2")
-def bbox_2d(spark, sf):
-    return M.bbox(voxels(spark, sf), ["case_id", "z"], {"y": 64, "x": 64})
-
-
-@query(f"WITH {VOXELS}, {_BOX} SELECT case_id, label, greatest(0, z0 - 3) AS z0, least(8, z1 + 3) AS z1, greatest(0, y0 - 3) AS y0, least(64, y1 + 3) AS y1, greatest(0, x0 - 3) AS x0, least(64, x1 + 3) AS x1 FROM b")
-def bbox_padded(spark, sf):
-    return M.padded(M.bbox(voxels(spark, sf), ["case_id", "label"], SHAPE).drop("is_significant_crop"), SHAPE, 3)
-
-
-# The queries above have a row for each label of a case; these also for labels that a case does not have.
+# A row for each of the labels 1 to 3 of each case, and for each slice; those without foreground have the full extent.
 _ENDS = "min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1"
 _FULL = "coalesce(z0, 0) AS z0, coalesce(z1, 8) AS z1, coalesce(y0, 0) AS y0, coalesce(y1, 64) AS y1, coalesce(x0, 0) AS x0, coalesce(x1, 64) AS x1"
 _ALL = f"{VOXELS}, own AS (SELECT case_id, label, {_ENDS} FROM voxels GROUP BY 1, 2), b AS (SELECT case_id, label, {_FULL} FROM (SELECT DISTINCT case_id FROM voxels) CROSS JOIN (SELECT unnest([1, 2, 3]) AS label) LEFT JOIN own USING (case_id, label))"
@@ -109,17 +93,26 @@ def _boxes(spark, sf):
 
 
 @query(f"WITH {_ALL} SELECT *, (z1 - z0) * (y1 - y0) * (x1 - x0) <= 0.75 * 32768 AS is_significant_crop FROM b")
-def bbox_3d_all(spark, sf):
+def bbox_3d(spark, sf):
     return _boxes(spark, sf)
 
 
 @query(f"WITH {_ALL} SELECT case_id, label, greatest(0, z0 - 3) AS z0, least(8, z1 + 3) AS z1, greatest(0, y0 - 3) AS y0, least(64, y1 + 3) AS y1, greatest(0, x0 - 3) AS x0, least(64, x1 + 3) AS x1 FROM b")
-def bbox_padded_all(spark, sf):
+def bbox_padded(spark, sf):
     return M.padded(_boxes(spark, sf).drop("is_significant_crop"), SHAPE, 3)
 
 
+@query(f"""WITH {VOXELS}, own AS (SELECT case_id, z, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM voxels WHERE label = 1 GROUP BY 1, 2),
+  b AS (SELECT case_id, CAST(z AS INT) AS z, coalesce(y0, 0) AS y0, coalesce(y1, 64) AS y1, coalesce(x0, 0) AS x0, coalesce(x1, 64) AS x1 FROM (SELECT DISTINCT case_id FROM voxels) CROSS JOIN range(0, 8) r(z) LEFT JOIN own USING (case_id, z))
+  SELECT *, (y1 - y0) * (x1 - x0) <= 0.75 * 4096 AS is_significant_crop FROM b""")
+def bbox_2d(spark, sf):
+    v = voxels(spark, sf)
+    images = v.select("case_id").distinct().crossJoin(F.broadcast(spark.range(8).select(F.col("id").cast("int").alias("z"))))
+    return M.bbox(v.where("label = 1").withColumn("z", F.col("z").cast("int")), ["case_id", "z"], {"y": 64, "x": 64}, images)
+
+
 @query(f"WITH {VOXELS}, own AS (SELECT case_id, {_ENDS} FROM voxels WHERE label IN (1, 2) GROUP BY 1) SELECT case_id, {_FULL} FROM (SELECT DISTINCT case_id FROM voxels) LEFT JOIN own USING (case_id)")
-def union_crop_all(spark, sf):
+def union_crop(spark, sf):
     v = voxels(spark, sf)
     return M.bbox(v.where("label in (1, 2)"), ["case_id"], SHAPE, v.select("case_id").distinct()).drop("is_significant_crop")
 
@@ -159,15 +152,6 @@ def stack_slices(spark, sf):
     return voxels(spark, sf).select("case_id", k.alias("k"), "z", "y", "x")
 
 
-# Its earlier name.
-@query(f"WITH {VOXELS} SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY z, y, x) AS INT) AS k, z, y, x FROM voxels")
-def stack_slices_all(spark, sf):
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("case_id").orderBy("z", "y", "x"))
-    return voxels(spark, sf).select("case_id", k.alias("k"), "z", "y", "x")
-
-
 @query(f"WITH {VOXELS} SELECT DISTINCT case_id, z FROM voxels WHERE label = 3")
 def has_foreground_2d(spark, sf):
     v = voxels(spark, sf)
@@ -198,6 +182,18 @@ def morph_close(spark, sf):
     return M.morph_close(_flats(spark, sf), ["case_id", "label"], ("y", "x"))
 
 
+# An elliptic kernel of 5 x 5 in the image of 64 x 64.
+_KERNEL = "(VALUES " + ", ".join(f"({y}, {x})" for y, x in M.ellipse(5)) + ")"
+
+
+@query(f"""WITH {VOXELS}, f AS MATERIALIZED (SELECT DISTINCT case_id, label, y, x FROM voxels), w AS MATERIALIZED (SELECT DISTINCT case_id, label, y + dy AS y, x + dx AS x FROM f CROSS JOIN {_KERNEL} k(dy, dx) WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63),
+  g AS MATERIALIZED (SELECT case_id, label, y - dy AS y, x - dx AS x, count(*) AS n FROM w CROSS JOIN {_KERNEL} k(dy, dx) GROUP BY ALL),
+  need AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, count(*) AS n FROM range(0, 64) a(y) CROSS JOIN range(0, 64) b(x) CROSS JOIN {_KERNEL} k(dy, dx) WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63 GROUP BY 1, 2)
+  SELECT g.case_id, g.label, g.y, g.x FROM g JOIN need USING (y, x) WHERE g.n = need.n""")
+def morph_close_ellipse(spark, sf):
+    return M.morph_close(_flats(spark, sf), ["case_id", "label"], ("y", "x"), M.ellipse(5), {"y": 64, "x": 64})
+
+
 _EDGES = "e{l} AS (SELECT case_id, y, x FROM f{l} ANTI JOIN (SELECT case_id, y + dy AS y, x + dx AS x FROM f{l} CROSS JOIN " + _SIDE + " m GROUP BY ALL HAVING count(*) = 4) g USING (case_id, y, x))"
 
 
@@ -250,21 +246,6 @@ def _runs(spark, sf):
     return M.rle_encode(voxels(spark, sf), ["case_id", "label", "z"], F.col("x") * 64 + F.col("y"), 4096)
 
 
-@query(ORACLE_SQL["rle_encode"])
-def rle_encode_all(spark, sf):
-    return _runs(spark, sf)
-
-
-@query(f"WITH {VOXELS} SELECT case_id, label, z, x * 64 + y AS p FROM voxels")
-def rle_decode_all(spark, sf):
-    return M.rle_decode(_runs(spark, sf), ["case_id", "label", "z"]).withColumn("p", F.col("p").cast("int"))
-
-
-@query(f"WITH {VOXELS} SELECT case_id, label, z, count(*) AS area FROM voxels GROUP BY 1, 2, 3")
-def rle_area_all(spark, sf):
-    return _runs(spark, sf).select("case_id", "label", "z", M.rle_area("counts").alias("area"))
-
-
 _S = f"{VOXELS}, s AS (SELECT case_id, label, y AS slice, count(*) AS area FROM voxels GROUP BY 1, 2, 3)"
 _AXIS = "ax AS (SELECT case_id, label, unnest(range(min(slice), max(slice) + 1)) AS slice FROM s GROUP BY 1, 2), full_axis AS (SELECT ax.case_id, ax.label, ax.slice, s.area FROM ax LEFT JOIN s USING (case_id, label, slice))"
 
@@ -299,10 +280,11 @@ def component_quality_3d(spark, sf):
     return M.component_quality_3d(_all_parts(spark, sf), ["case_id", "label"], "y", 3, 2, 2, True)
 
 
-@query(f"WITH RECURSIVE {VOXELS}, {components_sql('flat', 'voxels', 'case_id, label, z', 'yx')} SELECT case_id, label, z, component, count(*) AS size FROM flat GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3")
+@query(f"WITH RECURSIVE {VOXELS}, {components_sql('flat', 'voxels', 'case_id, label, z', 'yx')} SELECT case_id, label, z, component, CAST(sum(label) AS BIGINT) AS size FROM flat GROUP BY 1, 2, 3, 4 HAVING sum(label) >= 4")
 def filter_small_2d(spark, sf):
+    """A component's size is the sum of its voxels' label, as its mask has them."""
     flat = M.connected_components(voxels(spark, sf), ["case_id", "label", "z"], ("y", "x"))
-    return M.filter_small_2d(flat, ["case_id", "label", "z"], 3)
+    return M.filter_small_2d(flat, ["case_id", "label", "z"], 4, "label")
 
 
 _REASON = """CASE WHEN voxels < 3 THEN 'component_below_minimum_voxels_3d' WHEN q = 0 THEN 'component_below_minimum_slice_area_3d' WHEN q < 2 THEN 'component_below_minimum_slices_3d' WHEN coalesce(longest, 0) < 2 THEN 'component_below_minimum_contiguous_slices_3d' END"""
@@ -315,3 +297,64 @@ def qc_counters(spark, sf):
     q = M.component_quality_3d(_all_parts(spark, sf), ["case_id", "label"], "y", 3, 2, 2, True)
     by = q.groupBy("case_id", "reason").agg(F.count("*").alias("n"))
     return by.groupBy("case_id").agg(F.sum("n").alias("components_3d_found"), F.sum(F.when(F.col("reason").isNotNull(), F.col("n")).otherwise(0)).alias("components_3d_rejected"), F.to_json(F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.struct(F.col("reason").alias("key"), F.col("n").alias("value"))), lambda e: e["key"].isNotNull())))).alias("rejected_by_reason"))
+
+
+# Cleaning on a coarse grid of 17 x 16, where masks are dense enough to have holes. Background places of few free neighbours are held together; such a
+# group is a region if none of its places touches another free place, and small if it has fewer than 5. Islands are those of the filled mask.
+_NEAR = "(SELECT * FROM " + " CROSS JOIN ".join(f"(SELECT unnest([-1, 0, 1]) AS d{a})" for a in "yx") + " WHERE dy <> 0 OR dx <> 0)"
+_CLEAN = f"""{VOXELS}, f AS MATERIALIZED (SELECT DISTINCT case_id, label, CAST(y // 3 AS INT) AS y, CAST(x // 4 AS INT) AS x FROM voxels), m AS (SELECT DISTINCT case_id, label FROM f),
+  free AS MATERIALIZED (SELECT case_id, label, CAST(p // 16 AS INT) AS y, CAST(p % 16 AS INT) AS x FROM m CROSS JOIN range(0, 272) r(p) ANTI JOIN (SELECT case_id, label, y * 16 + x AS p FROM f) USING (case_id, label, p)),
+  pair AS MATERIALIZED (SELECT a.case_id, a.label, a.y, a.x, b.y AS v, b.x AS u FROM free a CROSS JOIN {_NEAR} d JOIN free b ON b.case_id = a.case_id AND b.label = a.label AND b.y = a.y + dy AND b.x = a.x + dx),
+  few AS MATERIALIZED (SELECT case_id, label, y, x FROM free LEFT JOIN (SELECT case_id, label, y, x, count(*) AS n FROM pair GROUP BY ALL) USING (case_id, label, y, x) WHERE coalesce(n, 0) <= 3),
+  {components_sql("hole", "few", "case_id, label", "yx")},
+  open AS (SELECT DISTINCT h.case_id, h.label, h.component FROM hole h JOIN pair p USING (case_id, label, y, x) ANTI JOIN few w ON w.case_id = p.case_id AND w.label = p.label AND w.y = p.v AND w.x = p.u),
+  small AS (SELECT case_id, label, component FROM hole ANTI JOIN open USING (case_id, label, component) GROUP BY ALL HAVING count(*) < 5),
+  filled AS (SELECT case_id, label, y, x FROM hole SEMI JOIN small USING (case_id, label, component)), g AS MATERIALIZED (SELECT * FROM f UNION ALL SELECT * FROM filled),
+  {components_sql("parts", "g", "case_id, label", "yx")},
+  size AS (SELECT case_id, label, component, count(*) AS n, max(count(*)) OVER (PARTITION BY case_id, label) AS most FROM parts GROUP BY 1, 2, 3),
+  clean AS MATERIALIZED (SELECT case_id, label, y, x FROM parts JOIN size USING (case_id, label, component) WHERE n >= 5 OR (most < 5 AND component = 1)),
+  touched AS (SELECT case_id, label FROM small UNION SELECT case_id, label FROM size WHERE n < 5),
+  box AS MATERIALIZED (SELECT case_id, label, (case_id, label) IN (SELECT (case_id, label) FROM touched) AS changed, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM clean GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_CLEAN} SELECT case_id, label, y, x, changed FROM clean JOIN box USING (case_id, label)")
+def remove_small_regions(spark, sf):
+    return Rg.small_regions(_coarse(spark, sf), ["case_id", "label"], 17, 16, 5)
+
+
+def _coarse(spark, sf):
+    return voxels(spark, sf).select("case_id", "label", F.floor(F.col("y") / 3).alias("y"), F.floor(F.col("x") / 4).alias("x"))
+
+
+@query(f"""WITH RECURSIVE {_CLEAN}, k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY changed, label) AS r FROM box),
+  o AS (SELECT j.case_id, j.r, list(i.r) AS over_ FROM k i JOIN k j ON i.case_id = j.case_id AND i.r < j.r
+    WHERE greatest(0, least(i.x1, j.x1) - greatest(i.x0, j.x0)) * greatest(0, least(i.y1, j.y1) - greatest(i.y0, j.y0)) > 0.9 * ((i.x1 - i.x0) * (i.y1 - i.y0) + (j.x1 - j.x0) * (j.y1 - j.y0) - greatest(0, least(i.x1, j.x1) - greatest(i.x0, j.x0)) * greatest(0, least(i.y1, j.y1) - greatest(i.y0, j.y0))) GROUP BY 1, 2),
+  c AS MATERIALIZED (SELECT k.case_id, k.r, coalesce(o.over_, []) AS over_ FROM k LEFT JOIN o USING (case_id, r)),
+  t AS (SELECT case_id, 1::BIGINT AS r, [1::BIGINT] AS kept FROM c WHERE r = 1 UNION ALL SELECT t.case_id, c.r, CASE WHEN list_has_any(t.kept, c.over_) THEN t.kept ELSE list_append(t.kept, c.r) END FROM t JOIN c ON c.case_id = t.case_id AND c.r = t.r + 1),
+  stay AS (SELECT k.* FROM k SEMI JOIN (SELECT case_id, unnest(kept) AS r FROM (SELECT case_id, arg_max(kept, r) AS kept FROM t GROUP BY 1)) USING (case_id, r)),
+  q AS (SELECT case_id, label, x * 17 + y AS p FROM clean), rr AS (SELECT case_id, label, p - row_number() OVER (PARTITION BY case_id, label ORDER BY p) AS g, p FROM q), ss AS (SELECT case_id, label, min(p) AS a, count(*) AS n FROM rr GROUP BY case_id, label, g),
+  tt AS (SELECT *, a - coalesce(lag(a + n) OVER (PARTITION BY case_id, label ORDER BY a), 0) AS gap FROM ss), uu AS (SELECT case_id, label, flatten(list([CAST(gap AS BIGINT), n] ORDER BY a)) AS c FROM tt GROUP BY 1, 2)
+  SELECT case_id, label, changed, x0, y0, x1, y1, CASE WHEN list_sum(uu.c) < 272 THEN list_append(uu.c, CAST(272 - list_sum(uu.c) AS BIGINT)) ELSE uu.c END AS counts FROM stay JOIN uu USING (case_id, label)""")
+def clean_masks(spark, sf):
+    return Rg.cleaned_masks(_coarse(spark, sf), "case_id", "label", 17, 16, 5, 0.9)
+
+
+# Run lengths of labels 1 and 2 of each slice, put together as runs; the SQL has voxels.
+def _label_runs(spark, sf, label):
+    return Rn.of_counts(_runs(spark, sf).where(F.col("label") == label), ["case_id", "z"])
+
+
+_SETS = {"difference": "a AND NOT b", "union": "a OR b", "intersection": "a AND b"}
+
+
+@query("WITH " + _RLE + ", v AS (SELECT case_id, z, p, bool_or(label = 1) AS a, bool_or(label = 2) AS b FROM f WHERE label IN (1, 2) GROUP BY 1, 2, 3), " + ", ".join(
+    f"by_{n} AS (SELECT '{n}' AS rule, case_id, z, count(*) AS area, min(p // 64) AS line0, max(p // 64) + 1 AS line1, min(p % 64) AS offset0, max(p % 64) + 1 AS offset1 FROM v WHERE {w} GROUP BY 2, 3)" for n, w in _SETS.items())
+    + " " + " UNION ALL ".join(f"SELECT * FROM by_{n}" for n in _SETS))
+def run_algebra(spark, sf):
+    """Area and box of the difference, union and intersection of two labels' runs."""
+    a, b = _label_runs(spark, sf, 1), _label_runs(spark, sf, 2)
+    keys, parts = ["case_id", "z"], []
+    for name in _SETS:
+        runs = getattr(Rn, name)(a, b, keys)
+        parts.append(Rn.area(runs, keys).join(Rn.box(runs, keys, 64), keys).select(F.lit(name).alias("rule"), *keys, "area", "line0", "line1", "offset0", "offset1"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -310,13 +310,6 @@ def remove_islands(spark, sf):
     return R.remove_islands(parts, ["case_id", "label"], 6)
 
 
-@query(f"WITH {VOXELS} SELECT case_id, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM voxels WHERE label IN (1, 2) GROUP BY 1")
-def union_crop(spark, sf):
-    v = voxels(spark, sf)
-    both = v.where("label = 1").unionByName(v.where("label = 2"))
-    return M.bbox(both, ["case_id"], {"z": 8, "y": 64, "x": 64}).drop("is_significant_crop")
-
-
 @query(f"WITH {VOXELS}, k AS (SELECT case_id, z FROM voxels WHERE label = 1 GROUP BY 1, 2 HAVING count(*) >= 30) SELECT case_id, z, count(*) AS voxels FROM voxels SEMI JOIN k USING (case_id, z) GROUP BY 1, 2")
 def frame_keep(spark, sf):
     v = voxels(spark, sf)
