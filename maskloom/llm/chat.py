@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
 
-from maskloom.llm.columns import let, running_sum
+from maskloom.functions.arrays import let, running_sum
 
 _TURNS = "array<struct<role:string,text:string>>"
 #: Levels of nesting that paths go down to; what lies deeper counts as a leaf.

@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.columns import let, running, running_sum
+from maskloom.functions.arrays import let, running, running_sum
 
 
 def _any_case(words: str) -> str:
