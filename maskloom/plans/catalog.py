@@ -8,6 +8,7 @@ from maskloom.functions import keys as K
 from maskloom.operators import grouping as G
 from maskloom.plans.base import query
 from maskloom.plans.views import FILES, MASKS, SEQUENCES, files, mask_files, sequences, table
+from maskloom.sources.tables import tree_hash
 
 _BASE = "regexp_extract(path, '([^/]*)$', 1)"
 _DIR = "regexp_replace(path, '/?[^/]*$', '')"
@@ -131,6 +132,14 @@ def input_hash(spark, sf):
     return f.select("source", F.sha2(F.concat(F.array_join("p", "\0"), nul), 256).alias("input_hash"), F.md5(F.array_join("p", ";").cast("binary")).alias("config_hash"))
 
 
+# Leaves of equal path are one with their number; nodes by the first 6, 4, 2 and 0 hex digits.
+@query(f"""WITH {FILES}, l AS (SELECT split_part(path, '/', 1) AS source, sha256(path) AS h, count(*) AS n FROM files GROUP BY 1, 2),
+  a AS (SELECT source, h[1:6] AS pre, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS h FROM l GROUP BY 1, 2), b AS (SELECT source, pre[1:4] AS pre, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM a GROUP BY 1, 2),
+  c AS (SELECT source, pre[1:2] AS pre, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM b GROUP BY 1, 2) SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS tree_hash FROM c GROUP BY 1""")
+def input_tree_hash(spark, sf):
+    return tree_hash(files(spark, sf).withColumn("source", F.split("path", "/")[0]), ["source"], "path")
+
+
 @query(f"WITH {FILES} SELECT path, CASE WHEN regexp_full_match({_BASE}, 'case(\\d+)_img\\d+\\.png') THEN regexp_extract({_BASE}, 'case(\\d+)_', 1) END AS by_file, CASE WHEN regexp_full_match({_BASE}, 'case(\\d+)_img\\d+\\.png') THEN regexp_extract({_BASE}, 'case(\\d+)_', 1) ELSE {_SPLIT} END AS by_folder, {_STEM} AS by_name, regexp_extract(path, '^([^/]+)/', 1) AS by_path FROM files")
 def extract_id(spark, sf):
     p, pat = F.col("path"), r"case(?P<id>\d+)_img\d+\.png"

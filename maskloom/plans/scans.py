@@ -66,18 +66,26 @@ def _group_rows(spark, sf):
 
 @query(f"WITH {_G} SELECT modality, subdataset, split, identifier, images, masks FROM g")
 def groups_scan(spark, sf):
+    """A document in parts of up to 7 groups, read again."""
+    path = _folder(spark)
+    T.write_groups(_group_rows(spark, sf), path, 7)
+    return T.read_groups(spark, path).drop("position")
+
+
+@query(f"WITH {_G} SELECT modality, subdataset, split, identifier, images, masks FROM g")
+def groups_scan_nested(spark, sf):
+    """The same from one nested row per subdataset."""
     path = _folder(spark)
     nested = T.nested(_group_rows(spark, sf))
     nested.select(F.array(F.struct("modality", "name", "train", "test")).alias("subdatasets")).write.json(path)
     return T.groups(spark.read.schema(T.GROUPS).json(path)).drop("position")
 
 
-@query(f"WITH {_G} SELECT modality, subdataset AS name, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test FROM g GROUP BY 1, 2")
+@query(f"WITH {_G}, n AS (SELECT modality, subdataset AS name, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test FROM g GROUP BY 1, 2) SELECT *, (train + 6) // 7 + (test + 6) // 7 AS parts FROM n")
 def index_sink(spark, sf):
     path = _folder(spark)
-    T.nested(_group_rows(spark, sf)).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-    size = lambda c: F.size(F.from_json(F.get_json_object("value", f"$.{c}"), "array<struct<identifier string>>")).cast("long").alias(c)
-    return spark.read.text(path).select(F.get_json_object("value", "$.modality").alias("modality"), F.get_json_object("value", "$.name").alias("name"), size("train"), size("test"))
+    T.write_groups(_group_rows(spark, sf), path, 7)
+    return T.group_heads(spark, path).withColumnRenamed("subdataset", "name")
 
 
 _LINES = "l AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' WHEN event_id % 10 = 1 THEN substr(props, 1, 4) ELSE props END AS value FROM events)"
@@ -137,9 +145,9 @@ def mask_stats_append(spark, sf):
 
 @query("SELECT doc_id, coalesce(l.quality, 9) = 1 AS ok, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS origin FROM documents d LEFT JOIN labels l USING (doc_id)")
 def qc_cache_merge(spark, sf):
-    old = table(spark, sf, "documents").select("doc_id", F.lit(False).alias("ok"), F.lit("old").alias("origin"))
-    new = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"), F.lit("new").alias("origin"))
-    return T.cache_merge(old, new, ["doc_id"])
+    path = _folder(spark)
+    T.upsert(path, table(spark, sf, "documents").select("doc_id", F.lit(False).alias("ok"), F.lit("old").alias("origin")), ["doc_id"])
+    return T.upsert(path, table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"), F.lit("new").alias("origin")), ["doc_id"])
 
 
 @query("SELECT DISTINCT p_brand AS dataset, 'm' || (p_partkey // 2 % 70) AS path, true AS ok FROM part WHERE p_partkey % 2 = 1 AND p_size % 7 > 0")

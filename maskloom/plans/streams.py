@@ -36,11 +36,13 @@ def stream_dedup_key(spark, sf):
     return _run(spark, L.unique_keys(_stream(spark, sf), ["model", "dataset", "k"], "ts", "1000 days").select("model", "dataset", "k"), "append")
 
 
-@query(f"WITH {LOG}, n AS (SELECT model, dataset, count(*) AS c FROM log GROUP BY 1, 2), t AS (SELECT dataset, max(c) AS total FROM n GROUP BY 1) SELECT CAST(model AS VARCHAR) AS model, dataset, CAST(b * 10 AS BIGINT) AS percent FROM n JOIN t USING (dataset) CROSS JOIN range(1, 11) r(b) WHERE b <= c * 100 // (total * 10)")
+@query(f"""WITH {LOG}, n AS (SELECT model, dataset, count(*) AS c FROM log GROUP BY 1, 2), t AS (SELECT dataset, max(c) AS total FROM n GROUP BY 1)
+  SELECT CAST(model AS VARCHAR) AS model, dataset, 'milestone' AS event, CAST(b * 10 AS BIGINT) AS percent FROM n JOIN t USING (dataset) CROSS JOIN range(1, 11) r(b) WHERE b <= c * 100 // (total * 10)
+  UNION ALL SELECT CAST(model AS VARCHAR), dataset, 'complete', 100 FROM n JOIN t USING (dataset) WHERE c >= total""")
 def stream_milestones(spark, sf):
     per = table(spark, sf, "events").groupBy((F.col("user_id") % 5).alias("m"), "event_type").count()
     totals = {r["event_type"]: r["n"] for r in per.groupBy("event_type").agg(F.max("count").alias("n")).collect()}  # a row per event type
-    return _run(spark, L.milestones(_stream(spark, sf), ["model", "dataset"], totals), "append")
+    return _run(L.stateful(spark), L.milestones(_stream(spark, sf), ["model", "dataset"], totals, "ts", "1000 days"), "append")
 
 
 @query(f"WITH {LOG} SELECT dataset, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM log GROUP BY 1")
@@ -71,6 +73,7 @@ def heartbeat_gap(spark, sf):
 
 @query(f"WITH {LOG} SELECT dataset, count(*) AS done, round(count(*) * 100.0 / 5000, 6)::DOUBLE AS percent, round(avg(value), 6) AS mean_seconds, round(greatest(0, 5000 - count(*)) * avg(value), 3) AS eta_seconds FROM log GROUP BY 1")
 def progress_eta(spark, sf):
-    s = _run(spark, L.running_summary(_stream(spark, sf), ["dataset"], "value"), "complete")
-    out = s.select("dataset", F.col("rows").alias("done"), (F.col("rows") * 100.0 / 5000).cast("double").alias("percent"), F.col("mean").alias("mean_seconds"), (F.greatest(F.lit(0), 5000 - F.col("rows")) * F.col("mean")).alias("eta_seconds"))
+    summary = _run(spark, L.running_summary(_stream(spark, sf), ["dataset"], "value"), "complete")
+    totals = table(spark, sf, "events").select(F.col("event_type").alias("dataset"), F.lit(5000).alias("total")).distinct()
+    out = L.progress(summary, "rows", "mean", totals, "dataset", "total")
     return rounded(out).withColumn("eta_seconds", F.round("eta_seconds", 3))

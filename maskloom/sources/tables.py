@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import IntegerType, StructField, StructType
+
 from maskloom.functions.keys import ext_of, parse_pairs
+from maskloom.operators.profiles import ranked
 
 #: Columns of a dataset catalog that hold comma lists.
 LISTS = ("modality", "image_file_type", "mask_file_type", "train_folders", "test_folders", "mask_folders")
@@ -44,12 +47,42 @@ def groups(doc: DataFrame) -> DataFrame:
 
 
 def nested(rows: DataFrame) -> DataFrame:
-    """The document of `groups` from rows (modality, subdataset, split, identifier, images, masks), as one JSON text per subdataset."""
+    """The document of `groups` from rows (modality, subdataset, split, identifier, images, masks), one row per subdataset: for subdatasets that fit a row. `write_groups` is for all."""
     g = F.struct("identifier", "images", "masks")
     part = lambda s: F.array_sort(F.filter(F.collect_list(F.when(F.col("split") == s, g)), lambda x: x.isNotNull())).alias(s)
     return rows.groupBy("modality", F.col("subdataset").alias("name")).agg(part("train"), part("test"))
 
 
+#: Columns of a part of a groups document, and of its heads.
+PART = "modality string, subdataset string, split string, part long, first long, groups array<struct<identifier string, images array<string>, masks array<string>>>"
+HEAD = "modality string, subdataset string, train long, test long, parts long"
+
+
+def write_groups(rows: DataFrame, path: str, most: int = 10_000) -> None:
+    """A groups document of any size as JSON lines below `path`, written by Spark's committer: `parts` has rows of up to `most` groups of a subdataset and split in order, `heads` a row per
+    subdataset with its groups and parts. The heads come last, so a document without them is not whole."""
+    x = ranked(rows.select("modality", "subdataset", "split", "identifier", "images", "masks"), ["modality", "subdataset", "split"], ["identifier", "images", "masks"])
+    x = x.withColumn("part", F.floor((F.col("position") - 1) / most))
+    g = F.array_sort(F.collect_list(F.struct("position", F.struct("identifier", "images", "masks").alias("g"))))
+    parts = x.groupBy("modality", "subdataset", "split", "part").agg((F.col("part") * most + 1).alias("first"), F.transform(g, lambda e: e["g"]).alias("groups"))
+    parts.write.option("compression", "gzip").json(f"{path}/parts")
+    n = rows.sparkSession.read.schema(PART).json(f"{path}/parts").select("modality", "subdataset", "split", F.size("groups").alias("n"))
+    count = lambda split: F.coalesce(F.sum(F.when(F.col("split") == split, F.col("n"))), F.lit(0)).cast("long").alias(split)
+    n.groupBy("modality", "subdataset").agg(count("train"), count("test"), F.count("*").alias("parts")).write.json(f"{path}/heads")
+
+
+def group_heads(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(HEAD).json(f"{path}/heads")
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a document in parts, as those of `groups`, of the subdatasets that have a head."""
+    parts, heads = spark.read.schema(PART).json(f"{path}/parts"), group_heads(spark, path)
+    same = parts["modality"].eqNullSafe(heads["modality"]) & parts["subdataset"].eqNullSafe(heads["subdataset"])
+    x = parts.join(heads, same, "left_semi").select("modality", "subdataset", "split", "first", F.posexplode("groups").alias("i", "g"))
+    return x.select("modality", "subdataset", "split", (F.col("first") - 1 + F.col("i")).alias("position"), "g.identifier", "g.images", "g.masks")
+
+
 def tolerant_json(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """Parsed rows of JSON lines (column `value`), and counts of blank and malformed lines."""
     x = lines.withColumn("blank", F.trim("value") == "").withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
@@ -62,16 +95,52 @@ def fresh_stats(cache: DataFrame, files: DataFrame) -> DataFrame:
     return cache.join(files.select("path", "length", "mtime"), ["path", "length", "mtime"], "left_semi")
 
 
-def append_stats(path: str, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Append the rows whose keys the cache at `path` does not have yet, and return the cache; nulls count as values."""
-    spark = rows.sparkSession
+#: Column and number of the parts that a cache is laid out in, by a hash of its keys.
+BUCKET, BUCKETS = "cache_bucket", 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    new = rows.dropDuplicates(keys)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        old = spark.read.schema(rows.schema).parquet(path).select(*[F.col(k).alias(f"__{k}") for k in keys])
-        new = new.join(old, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
-    new.write.mode("append").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def in_buckets(rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def bucket_rows(spark: SparkSession, path: str, schema, new: DataFrame) -> DataFrame:
+    """The rows of a cache laid out in buckets that lie in those of `new` (a column BUCKET): other parts are not read."""
+    touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # as many as there are buckets at most
+    return spark.read.schema(StructType([*schema.fields, StructField(BUCKET, IntegerType())])).parquet(path).where(F.col(BUCKET).isin(touched))
+
+
+def _same_keys(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+
+
+def append_stats(path: str, rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Append the rows whose keys the cache at `path` does not have yet, and return the cache; nulls count as values.
+
+    The cache is laid out by a hash of the keys (always the same number of buckets); only the parts that new keys may lie in are read, and no file is written anew."""
+    spark = rows.sparkSession
+    new = in_buckets(rows.dropDuplicates(keys), keys, buckets)
+    if _exists(spark, path):
+        old = bucket_rows(spark, path, rows.schema, new).select(*[F.col(k).alias(f"__{k}") for k in keys])
+        new = new.join(old, _same_keys(keys), "left_anti")
+    new.repartition(F.col(BUCKET)).write.mode("append").partitionBy(BUCKET).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def upsert(path: str, rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Put rows in the cache at `path` in place of those with the same keys, and return the cache; of `rows` with the same keys one stays.
+
+    The cache is laid out as by `append_stats`. Only the parts that have a key of `rows` are read and replaced, by dynamic partition overwrite: the files of all others stay as they are."""
+    spark = rows.sparkSession
+    new = in_buckets(rows.dropDuplicates(keys), keys, buckets)
+    if _exists(spark, path):
+        new = cache_merge(bucket_rows(spark, path, rows.schema, new).select(*new.columns), new, [*keys, BUCKET])
+    new.repartition(F.col(BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
 def resume_rows(jsonl: DataFrame, csv: DataFrame, keys: list[str], order: str) -> tuple[str | None, DataFrame]:
@@ -96,6 +165,20 @@ def cache_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__new").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def tree_hash(rows: DataFrame, keys: list[str], text: str, steps: tuple[int, ...] = (6, 4, 2, 0)) -> DataFrame:
+    """keys and `tree_hash`: a digest of the texts of each group, the same in any order and dealing, without a group in one place.
+
+    A leaf is the SHA-256 of a text with its number, `hash:number`. Leaves whose hashes begin with the same 6 hex digits make a node, the SHA-256 of the sorted leaves joined by commas; nodes of the same
+    4 digits the next one, and so on to the root. Digests of parts add up: leaves of equal hash add their numbers. Null texts do not count; a group of nulls has the digest of nothing."""
+    leaf = rows.where(F.col(text).isNotNull()).groupBy(*keys, F.sha2(F.col(text).cast("string"), 256).alias("h")).agg(F.count("*").alias("n"))
+    node = leaf.select(*keys, F.substring("h", 1, steps[0]).alias("at"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("h"))
+    for size in steps:
+        if not size:  # groups of nulls join at the root
+            node = node.unionByName(rows.select(*keys).distinct().select(*keys, F.lit("").alias("at"), F.lit(None).cast("string").alias("h")))
+        node = node.groupBy(*keys, F.substring("at", 1, size).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
+    return node.select(*keys, F.col("h").alias("tree_hash"))
+
+
 def write_by_model(df: DataFrame, path: str, parts: int = 8) -> DataFrame:
     """Results as Parquet by model, and the rows of each. Models are few and large: each is dealt over `parts` tasks."""
     df.withColumn("__part", F.floor(F.rand(7) * parts)).repartition("model", "__part").drop("__part").write.mode("overwrite").partitionBy("model").parquet(path)
