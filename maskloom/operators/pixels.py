@@ -92,8 +92,7 @@ def best_threshold(sweep: DataFrame, keys: list[str], score: str) -> DataFrame:
 
 def training_style_metrics(px: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
     """Over frames with truth alone: mean frame score and whole-volume score at each threshold."""
-    some = px.withColumn("__any", F.max("gt").over(Window.partitionBy("case_id", "frame_idx"))).where("__any = 1")
-    frames = threshold_sweep(some, [*keys, "case_id", "frame_idx"], thresholds)
+    frames = threshold_sweep(px, [*keys, "case_id", "frame_idx"], thresholds).where("tp + fn > 0")  # the sweep's own positives tell which frames have truth
     volume = _scores(frames.groupBy(*keys, "case_id", "threshold").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")], F.avg("dice").alias("slice_dice"), F.avg("iou").alias("slice_iou")), "volume_")
     return volume.groupBy(*keys, "threshold").agg(*[F.avg(x).alias(x) for x in ("slice_dice", "slice_iou", "volume_dice", "volume_iou")])
 

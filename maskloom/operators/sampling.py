@@ -179,3 +179,29 @@ def ema(df: DataFrame, keys: list[str], order: str, value: str, beta: float = 0.
     x = ranked(df.select(*keys, order, value), keys, [order, value])
     weight = F.pow(F.lit(beta), F.col("group_rows") - F.col("position")) * F.when(F.col("position") == 1, 1.0).otherwise(1 - beta)
     return x.groupBy(*keys).agg(F.count("*").cast("int").alias("steps"), F.sum(weight * F.col(value)).alias("ema"))
+
+
+def prompt_plan(frames: DataFrame, mode: str, usable: dict[str, Column], preferred: Column, strict: bool = True) -> DataFrame:
+    """The prompt of each frame (case, frame_idx) that has a usable one: `usable` tells for each kind whether the frame has it.
+
+    In a mode that is a kind, that kind alone; in mode `mixed` the preferred kind, or else another one, in the order given. A case without any is an error when the plan is read, or with `strict`
+    off has no rows."""
+    if mode != "mixed" and mode not in usable:
+        raise ValueError(f"no such prompt mode: {mode}")
+    kinds = usable if mode == "mixed" else {mode: usable[mode]}
+    have = lambda k: F.when(F.coalesce(kinds[k], F.lit(False)), k)
+    wanted = F.coalesce(*[F.when(preferred == k, have(k)) for k in kinds], *[have(k) for k in kinds]) if mode == "mixed" else have(mode)
+    told = frames.select("case", "frame_idx", wanted.alias("prompt"))
+    plan = told.where(F.col("prompt").isNotNull())
+    if not strict:
+        return plan
+    none = told.groupBy("case").agg(F.count("prompt").alias("n")).where("n = 0")
+    fail = F.raise_error(F.concat(F.lit(f"no usable {mode} prompt in case "), F.col("case").cast("string")))
+    return plan.unionByName(none.select("case", F.lit(None).cast(told.schema["frame_idx"].dataType).alias("frame_idx"), fail.cast("string").alias("prompt")))
+
+
+def task_label(rows: DataFrame, task: str, names: DataFrame) -> DataFrame:
+    """`rows` with `label`: the task's display name of `names` (task, display), else the task with spaces for underscores, else `unknown`."""
+    ends = names.select(F.col("task").alias("__task"), F.col("display").alias("__display"))
+    x = rows.join(ends, rows[task] == ends["__task"], "left")
+    return x.withColumn("label", F.coalesce("__display", F.replace(F.col(task), F.lit("_"), F.lit(" ")), F.lit("unknown"))).drop("__task", "__display")

@@ -11,7 +11,9 @@ from maskloom.operators.boxes import uncropped
 from maskloom.plans.base import query, rounded
 from maskloom.plans.masks import components_sql
 from maskloom.plans.views import FILES, MASKS, PIXELS, VOXELS, files, mask_files, pixels, table, voxels
+from maskloom.sources import tables as T
 from maskloom.sources.folders import new_folder
+from maskloom.sources.heads import header_reason
 
 _EXT = "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(?i)(\\.nii\\.gz|\\.ppm\\.gz|\\.[^.]+)$', 1))"
 _STEM = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(?i)(\\.nii\\.gz|\\.ppm\\.gz|\\.[^.]+)$', '')"
@@ -169,6 +171,25 @@ def corrupt_pair_filter(spark, sf):
     return x.groupBy(R.corrupt_reason(F.col("length"), F.col("head"), F.col("path")).alias("reason")).agg(F.count("*").alias("files"))
 
 
+@query("""SELECT CASE WHEN doc_id % 11 = 0 THEN 'zero_bytes' WHEN doc_id % 4 = 0 THEN 'bad_gzip' WHEN doc_id % 4 = 1 THEN CASE doc_id % 3 WHEN 0 THEN 'short_header' WHEN 1 THEN 'bad_magic' END WHEN doc_id % 4 = 2 THEN 'bad_header_length' END AS reason, count(*) AS files FROM documents GROUP BY 1""")
+def corrupt_header_filter(spark, sf):
+    """Heads of compressed volumes: some no gzip at all, some cut, some with another length or magic."""
+    import gzip
+
+    @F.pandas_udf("binary")
+    def packed(raw):
+        return raw.map(lambda b: gzip.compress(bytes(b), 1))
+
+    d = F.col("doc_id")
+    zeros = lambda n: F.repeat(F.lit("00"), n)
+    size = F.when(d % 4 == 2, "5D010000").otherwise("5C010000")
+    magic = F.when((d % 4 == 1) & (d % 3 == 1), "6E2B3200").otherwise("6E2B3100")
+    raw = F.unhex(F.concat(size, zeros(340), magic, F.repeat(F.lit("AB"), 900)))
+    head = packed(F.when((d % 4 == 1) & (d % 3 == 0), F.substring(raw, 1, 200)).otherwise(raw))
+    x = files(spark, sf).select(F.lit("a.nii.gz").alias("path"), F.when(d % 11 == 0, 0).otherwise(500).alias("length"), F.when(d % 4 == 0, F.unhex(F.lit("504E47"))).otherwise(head).alias("head"))
+    return x.groupBy(header_reason(F.col("length"), F.col("head"), F.col("path")).alias("reason")).agg(F.count("*").alias("files"))
+
+
 @query("SELECT p_partkey, 'i' || p_partkey AS image, 'm' || p_partkey AS mask FROM part WHERE p_type = 'ECONOMY' AND p_size % 2 = 0")
 def first_pair_filter(spark, sf):
     p, k = table(spark, sf, "part"), F.col("p_partkey").cast("string")
@@ -180,18 +201,7 @@ def first_pair_filter(spark, sf):
 def artifact_scan(spark, sf):
     path = _folder(spark)
     table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").write.option("header", True).csv(f"{path}/results_v2.csv")
-    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    exists = lambda p: fs(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs(p))
-    out = None
-    for kind, names in (("results", ["results.csv", "results_v2.csv"]), ("memory", ["memory.csv"])):
-        found = next((f"{path}/{n}" for n in names if exists(f"{path}/{n}")), None)
-        if found:
-            df = spark.read.option("header", True).csv(found)
-            one = df.agg(F.lit(kind).alias("artifact"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"))
-        else:
-            one = spark.createDataFrame([(kind, 0, 0)], "artifact string, rows long, columns int")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return T.artifact_counts(spark, T.artifacts(spark, path, {"results": ["results.csv", "results_v2.csv"], "memory": ["memory.csv"]}))
 
 
 @query("SELECT doc_id, quality = 1 AS ok FROM labels WHERE quality = 1 OR doc_id % 2 = 0")
@@ -199,8 +209,7 @@ def qc_cache_scan(spark, sf):
     path = _folder(spark)
     rows = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"), (F.col("doc_id") % 2).alias("params"))
     rows.repartition("params").write.partitionBy("params").parquet(path)
-    cache = spark.read.parquet(path)
-    return cache.where("params = 0").select("doc_id", "ok").unionByName(cache.where("params = 1 and ok").select("doc_id", "ok"))
+    return T.quality_cache(spark, path, "params", 0, [1]).select("doc_id", "ok")
 
 
 @query("SELECT p_type AS task, list_sort(list(DISTINCT p_brand)) AS datasets FROM part GROUP BY 1")

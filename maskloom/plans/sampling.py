@@ -248,10 +248,8 @@ def mixed_prompt_type(spark, sf):
 @query(f"""WITH {FRAMES}, want AS (SELECT *, CASE WHEN frame_idx % 2 = 0 THEN 'box' ELSE 'point' END AS pref, area > 200 AS box_ok, area > 50 AS point_ok FROM frames)
   SELECT "case", frame_idx, CASE WHEN pref = 'box' AND box_ok THEN 'box' WHEN pref = 'point' AND point_ok THEN 'point' WHEN box_ok THEN 'box' WHEN point_ok THEN 'point' END AS prompt FROM want WHERE box_ok OR point_ok""")
 def prompt_plan(spark, sf):
-    f = frames(spark, sf)
-    pref = F.when(F.col("frame_idx") % 2 == 0, "box").otherwise("point")
-    box, point = F.when(F.col("area") > 200, "box"), F.when(F.col("area") > 50, "point")
-    return f.select("case", "frame_idx", F.when(pref == "box", F.coalesce(box, point)).otherwise(F.coalesce(point, box)).alias("prompt")).where("prompt is not null")
+    usable = {"box": F.col("area") > 200, "point": F.col("area") > 50}
+    return S.prompt_plan(frames(spark, sf), "mixed", usable, F.when(F.col("frame_idx") % 2 == 0, "box").otherwise("point"), strict=False)
 
 
 @query("""WITH RECURSIVE x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id, value) AS k FROM events), e AS (SELECT user_id, k, value AS ema FROM x WHERE k = 1 UNION ALL SELECT x.user_id, x.k, e.ema * 0.9 + x.value * 0.1 FROM e JOIN x ON x.user_id = e.user_id AND x.k = e.k + 1)

@@ -9,6 +9,7 @@ from maskloom.functions import keys as K
 from maskloom.operators import boxes as B
 from maskloom.operators import records as R2
 from maskloom.operators import results as R
+from maskloom.operators import sampling as S
 from maskloom.plans.base import query, rounded
 from maskloom.plans.views import CASES, FILES, OK, case_results, files, table
 from maskloom.sources import tables as T
@@ -229,8 +230,7 @@ def task_label(spark, sf):
     s = table(spark, sf, "supplier")
     task = F.when(F.col("s_suppkey") % 3 == 0, "liver").when(F.col("s_suppkey") % 3 == 1, "task_one")
     names = spark.createDataFrame([("liver", "Liver (ct)")], "task string, display string")
-    x = s.withColumn("task", task).join(F.broadcast(names), "task", "left")
-    return x.select("s_suppkey", F.coalesce("display", F.replace("task", F.lit("_"), F.lit(" ")), F.lit("unknown")).alias("label"))
+    return S.task_label(s.withColumn("task", task), "task", names).select("s_suppkey", "label")
 
 
 @query("SELECT o_orderkey, coalesce(nullif(trim(CASE WHEN o_orderkey % 4 = 0 THEN ' ' WHEN o_orderkey % 4 = 1 THEN o_orderstatus END), ''), CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN NULL END, 'unknown') AS meta FROM orders")

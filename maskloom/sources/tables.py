@@ -179,6 +179,24 @@ def tree_hash(rows: DataFrame, keys: list[str], text: str, steps: tuple[int, ...
     return node.select(*keys, F.col("h").alias("tree_hash"))
 
 
+def artifacts(spark: SparkSession, folder: str, names: dict[str, list[str]]) -> dict[str, DataFrame | None]:
+    """For each kind of artifact the first of its CSV files that is in the folder, read as text columns; None where none is."""
+    found = {kind: next((f"{folder}/{n}" for n in own if _exists(spark, f"{folder}/{n}")), None) for kind, own in names.items()}
+    return {kind: spark.read.option("header", True).csv(path) if path else None for kind, path in found.items()}
+
+
+def artifact_counts(spark: SparkSession, found: dict[str, DataFrame | None]) -> DataFrame:
+    """artifact, rows, columns; zeros for a missing one."""
+    one = lambda kind, df: df.agg(F.lit(kind).alias("artifact"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns")) if df is not None else spark.range(1).select(F.lit(kind).alias("artifact"), F.lit(0).cast("long").alias("rows"), F.lit(0).alias("columns"))
+    return reduce(DataFrame.unionByName, [one(kind, df) for kind, df in found.items()])
+
+
+def quality_cache(spark: SparkSession, path: str, params: str, own: int, trusted: list[int]) -> DataFrame:
+    """Rows of a quality cache laid out by parameter set: all of the set `own`, and of the sets in `trusted` those that passed; the parts of other sets are not read."""
+    cache = spark.read.parquet(path).where(F.col(params).isin(own, *trusted))
+    return cache.where((F.col(params) == own) | F.col("ok")).drop(params)
+
+
 def write_by_model(df: DataFrame, path: str, parts: int = 8) -> DataFrame:
     """Results as Parquet by model, and the rows of each. Models are few and large: each is dealt over `parts` tasks."""
     df.withColumn("__part", F.floor(F.rand(7) * parts)).repartition("model", "__part").drop("__part").write.mode("overwrite").partitionBy("model").parquet(path)
