@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.llm import decontamination, language, near_dedup, packing, secrets
-from maskloom.llm.shared import written
+from maskloom.llm.shared import discard, written
 from maskloom.llm.token_ids import tokenizer_path
 
 #: Documents whose nearest profile is farther than this (as a share of the most possible) are in no known language. Texts of a learnt language
@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a benchmark item was found."""
+    """Drop rows in whose text a benchmark item was found; keys play no part, so rows without one or with another row's are judged by themselves."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -69,6 +69,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:  # what a stage has read is not needed any more
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
