@@ -66,7 +66,11 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[st
         upto = F.sum("__count").over(Window.partitionBy(*own, "__a", "__b").orderBy("__band").rowsBetween(Window.unboundedPreceding, -1))
         cut = cut.withColumn("__start", F.col("__base") + F.coalesce(upto, F.lit(0)))
         hit = _same(asked, cut, keys) & (asked["__lo"] == cut["__a"]) & (asked["__hi"] == cut["__b"]) & (asked["place"] >= cut["__start"]) & (asked["place"] < cut["__start"] + cut["__count"])
-        state = written(asked.join(cut, hit).select(*[asked[f"`{k}`"] for k in keys], "__n", "name", "place", F.col("__start").alias("__before"), F.col("__count").alias("__c"), F.col("__min").alias("__lo"), F.col("__max").alias("__hi")), "order-statistics")
+        found = asked.join(cut, hit).select(*[asked[f"`{k}`"] for k in keys], "__n", "name", "place", F.col("__start").alias("__before"), F.col("__count").alias("__c"), F.col("__min").alias("__lo"), F.col("__max").alias("__hi"))
+        if some["most"] <= FEW:  # single values: nothing is left open
+            parts.append(found)
+            break
+        state = written(found, "order-statistics")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.operators.profiles import ranked
 from maskloom.operators.quantiles import with_percentiles_of
+from maskloom.sources.folders import written
 
 ID = ("model", "prompt_mode", "protocol", "dataset_name", "case_id", "modality", "task_id", "task_label", "status")
 #: Upper ends of the right-closed frame bins and their names.
@@ -148,7 +149,7 @@ def paired_model_diff(df: DataFrame, left: str, right: str, metric: str, order:
 
 def paired_summary(pairs: DataFrame, keys: list[str], within: tuple[float, ...]) -> DataFrame:
     """Pairs, mean, median, deviation and interquartile range of the difference, shares of either side better, and within bounds."""
-    d = F.col("delta")
+    d, pairs = F.col("delta"), written(pairs.select(*keys, "delta"), "pairs")  # a join that is read more than once
     told = pairs.groupBy(*keys).agg(
         F.count("*").alias("pairs"), F.avg(d).alias("delta_mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("delta_std"),
         F.avg((d > 0).cast("double") * 100).alias("right_better_pct"), F.avg((d < 0).cast("double") * 100).alias("left_better_pct"),

@@ -84,6 +84,7 @@ def primary_bucket(items: DataFrame, seed: int, slots: int = 8) -> DataFrame:
         held = spark.createDataFrame([(*k, n) for k, n in fill.items()], x.select(*bucket).schema.add("held", "long"))
         order = F.struct((F.col("held") / F.col("size")).alias("share"), "held", "size", "u", "task")
         best = x.where(F.col("turn") == turn).join(held, bucket).groupBy("idx", "dim").agg(F.min(order).alias("b")).select("idx", "dim", F.col("b.task").alias("task"))
+        best = written(best, "bucket-turn")  # counted here and given in the end
         parts.append(best)
         for r in best.groupBy(*bucket).count().collect():
             fill[r["dim"], r["task"]] += r["count"]

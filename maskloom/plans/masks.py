@@ -176,8 +176,12 @@ def mask_border(spark, sf):
     return M.border(_flats(spark, sf), ["case_id", "label"], ("y", "x"))
 
 
-@query(f"""WITH {VOXELS}, f AS MATERIALIZED (SELECT DISTINCT case_id, label, y, x FROM voxels), w AS MATERIALIZED (SELECT case_id, label, y, x FROM f UNION SELECT case_id, label, y + dy, x + dx FROM f CROSS JOIN {_SIDE} m),
-  g AS MATERIALIZED (SELECT case_id, label, y + dy AS y, x + dx AS x, count(*) AS n FROM w CROSS JOIN {_SIDE} m GROUP BY ALL) SELECT w.case_id, w.label, w.y, w.x FROM w JOIN g USING (case_id, label, y, x) WHERE n = 4""")
+# A place stays if it and its four sides are in the widened mask: five rows that fall on it.
+_FIVE = ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))
+
+
+@query(f"""WITH {VOXELS}, f AS (SELECT DISTINCT case_id, label, y, x FROM voxels), w AS ({" UNION ".join(f"SELECT case_id, label, y + {dy} AS y, x + {dx} AS x FROM f" for dy, dx in _FIVE)})
+  SELECT case_id, label, y, x FROM ({" UNION ALL ".join(f"SELECT case_id, label, y + {dy} AS y, x + {dx} AS x FROM w" for dy, dx in _FIVE)}) GROUP BY case_id, label, y, x HAVING count(*) = 5""")
 def morph_close(spark, sf):
     return M.morph_close(_flats(spark, sf), ["case_id", "label"], ("y", "x"))
 
