@@ -29,7 +29,7 @@ from maskloom.functions.arrays import let, running_sum
 
 _TURNS = "array<struct<role:string,text:string>>"
 #: Levels of nesting that paths go down to; what lies deeper counts as a leaf.
-DEPTH = 4
+DEPTH = 5
 
 
 class Said(NamedTuple):

@@ -182,4 +182,29 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETW
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) <= 3"""
 
 
-ORACLE_SQL: dict[str, str] = {"op7_secrets": _secrets_sql(), "op11_chat_format": _chat_sql(), "op12_hard_negatives": _hard_negatives_sql()}
+def _spelling_sql() -> str:
+    """The hash by its definition, bit by bit over the bytes; near words by the places where a code point is left out; roots step by step."""
+    from maskloom.llm import spelling as s
+
+    return f"""WITH RECURSIVE runs AS (
+  SELECT id, r, count(*) AS k FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[{s.LETTERS}]{{6,}}')), '{s._UPPER}', '{s._LOWER}') AS r FROM documents) GROUP BY 1, 2),
+points AS (SELECT r, k, list_transform(string_split(id || ':' || r, ''), lambda ch: unicode(ch)::BIGINT) AS p FROM runs),
+bytes AS (SELECT r, k, flatten(list_transform(p, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 | (c >> 6), 128 | (c & 63)] END)) AS b FROM points),
+steps AS (SELECT r, k, [4294967295::BIGINT] || flatten(list_transform(b, lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1])) AS t FROM bytes),
+hashed AS (SELECT r, k, xor(list_reduce(t, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h FROM steps),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, k FROM hashed)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+places AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT p.word, p.n, w.word AS near, w.n AS near_n FROM places p JOIN words w ON w.word = p.head || p.tail),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM places a JOIN places b ON a.head = b.head AND a.tail = b.tail AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT word, near, near_n FROM shorter UNION ALL SELECT near, word, n FROM shorter),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM pairs),
+told AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word AND b.r = 1),
+way AS (SELECT word, form AS at FROM told WHERE form IS NOT NULL UNION ALL SELECT way.word, t.form FROM way JOIN told t ON t.word = way.at WHERE t.form IS NOT NULL),
+ends AS (SELECT way.word, way.at AS root FROM way JOIN told t ON t.word = way.at WHERE t.form IS NULL)
+SELECT t.word, t.form, coalesce(e.root, t.word) AS root, t.n, t.n_near, t.form_n FROM told t LEFT JOIN ends e ON e.word = t.word"""
+
+
+ORACLE_SQL: dict[str, str] = {"op13_spelling_variants": _spelling_sql(), "op7_secrets": _secrets_sql(), "op11_chat_format": _chat_sql(), "op12_hard_negatives": _hard_negatives_sql()}

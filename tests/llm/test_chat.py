@@ -98,7 +98,7 @@ def test_nulls_ties_repeats_and_an_empty_table(spark):
     assert set(digested(spark, [])) == {-7}
 
 
-@pytest.mark.parametrize("name,table", [("op11_chat_format", "conversations"), ("op12_hard_negatives", "embeddings")])
+@pytest.mark.parametrize("name,table", [("op11_chat_format", "conversations"), ("op12_hard_negatives", "embeddings"), ("op13_spelling_variants", "documents")])
 def test_the_queries_equal_their_sql(spark, name, table):
     con = duckdb.connect()
     con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
