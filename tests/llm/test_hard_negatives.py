@@ -28,7 +28,7 @@ def brute(rows):
 
 
 def table(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame([(i, y, e if e is None else [x if x is None else float(x) for x in e], s) for i, y, e, s in rows], SCHEMA)
 
 
 def random_rows(n, dim, labels, seed, step=1, coarse=None):
