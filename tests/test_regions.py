@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from maskloom.operators import masks as M
@@ -128,3 +129,36 @@ def test_run_algebra_equals_sets_of_places(spark):
         back = {r["k"]: r["counts"] for r in runs.to_counts(out, ["k"], 96).collect()}
         assert all(sum(c) == 96 and sum(c[1::2]) == len(want[k]) for k, c in back.items())
     assert {r["k"]: list(r["counts"]) for r in runs.to_counts(a, ["k"], 96).collect()} == {r["k"]: list(r["counts"]) for r in enc["a"].collect()}
+
+
+def side_border(m, axes):
+    return {p for p in m if any(tuple(a + b for a, b in zip(p, move)) not in m for move in M.cross(axes)[1:])}
+
+
+@pytest.mark.parametrize("axes", [1, 2, 3])
+def test_masks_over_several_tiles_in_one_shuffle_row_a_voxel(spark, axes):
+    """Masks that cross the borders of tiles, with negative places and repeated rows; borders, closings with and without an image, and no row of a voxel for each place of the kernel."""
+    rng, names = random.Random(axes), ("z", "y", "x")[3 - axes :]
+    size, low = {1: (300,), 2: (140, 150), 3: (21, 40, 130)}[axes], {1: -130, 2: -70, 3: -9}[axes]
+    masks = {}
+    for k, share in enumerate((0.02, 0.6, 0.97)):
+        box = [tuple(rng.randrange(low, low + n) for n in size) for _ in range(30)]
+        block = [(rng.randrange(-5, 20),) * axes for _ in range(1)][0]
+        dense = [tuple(b + i for b, i in zip(block, step)) for step in np.ndindex(*[min(n, 25 if axes == 3 else 90) for n in size])]
+        masks[k if k else None] = {p for p in dense if rng.random() < share} | set(box)
+    px = spark.createDataFrame([(k, *p) for k, m in masks.items() for p in m] * 2, "k int, " + ", ".join(f"{n} int" for n in names))
+    held = lambda df: {k: {tuple(r[n] for n in names) for r in rows} for k, rows in _by(df.collect())}
+
+    def _by(rows):
+        assert len(rows) == len(set(rows))
+        return [(k, [r for r in rows if r["k"] == k]) for k in masks]
+
+    assert held(M.border(px, ["k"], names)) == {k: side_border(m, axes) for k, m in masks.items()}
+    for kernel in (M.cross(axes), [tuple(rng.randrange(-5, 6) for _ in range(axes)) for _ in range(4)]):
+        wide = {k: {tuple(a + b for a, b in zip(p, d)) for p in m for d in kernel} for k, m in masks.items()}
+        near = {k: {tuple(a - b for a, b in zip(p, d)) for p in m for d in kernel} for k, m in wide.items()}
+        step = lambda p, d: tuple(a + b for a, b in zip(p, d))
+        assert held(M.morph_close(px, ["k"], names, kernel)) == {k: {p for p in m if all(step(p, d) in wide[k] for d in kernel)} for k, m in near.items()}
+        shape = dict(zip(names, (100, 90, 80)))
+        inside = lambda p: all(0 <= a < shape[n] for a, n in zip(p, names))
+        assert held(M.morph_close(px, ["k"], names, kernel, shape)) == {k: {p for p in m if inside(p) and any(inside(step(p, d)) for d in kernel) and all(step(p, d) in wide[k] or not inside(step(p, d)) for d in kernel)} for k, m in near.items()}
