@@ -152,3 +152,14 @@ def test_a_local_session_without_a_shared_folder_has_one_of_its_own(spark):
 
     first = shared_folder(Bare())
     assert first == shared_folder(Bare()) and os.path.isdir(first[7:])
+
+
+def test_tables_that_are_folders_of_part_files_have_one_row(spark, tmp_path):
+    """A table is a file or a folder of parts; below a folder that has the extension itself the tables are told from the root on."""
+    root = tmp_path / "all.parquet"
+    spark.range(300).repartition(3).write.parquet(str(root / "b.parquet"))
+    spark.range(2).coalesce(1).write.parquet(str(tmp_path / "one"))
+    (root / "a.parquet").write_bytes(next((tmp_path / "one").glob("part-*.parquet")).read_bytes())
+    for path in (str(root), f"file://{root}/"):
+        got = {r["path"]: (r["files"], r["length"] > 0) for r in T.list_tables(spark, path, ".parquet").collect()}
+        assert got == {"a.parquet": (1, True), "b.parquet": (3, True)}
