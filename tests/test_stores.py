@@ -163,3 +163,16 @@ def test_tables_that_are_folders_of_part_files_have_one_row(spark, tmp_path):
     for path in (str(root), f"file://{root}/"):
         got = {r["path"]: (r["files"], r["length"] > 0) for r in T.list_tables(spark, path, ".parquet").collect()}
         assert got == {"a.parquet": (1, True), "b.parquet": (3, True)}
+
+
+def test_a_large_model_is_dealt_over_tasks_by_its_size(spark, tmp_path):
+    """One model of a few MB with an advised size of 256 KB: many files, none much larger; eight tasks a model would have made at most eight."""
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        df = spark.range(0, 600_000, 1, 16).selectExpr("if(id % 1000 = 0, 'small', 'large') as model", "sha2(cast(id as string), 256) as text")
+        got = {r["model"]: r["rows"] for r in T.write_by_model(df, str(tmp_path / "m")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert got == {"small": 600, "large": 599_400}
+    assert len(list((tmp_path / "m" / "model=large").glob("*.parquet"))) > 8
