@@ -151,17 +151,49 @@ def nearest_squares(sources: DataFrame, targets: DataFrame, keys: list[str], axe
     return _in_lots(both, line, rows.count() + targets.count(), met, out, 20_000)
 
 
-def hd95(a: DataFrame, b: DataFrame, key: str, axes: tuple[str, ...], spacing: tuple[float, ...] | None = None, cases: DataFrame | None = None) -> DataFrame:
+#: Pairs of border voxels up to which all pairs of a case are held against each other in one call.
+PAIRS = 1 << 20
+
+
+def _of_pairs(edges: DataFrame, key: str, axes: tuple[str, ...], spacing: tuple[float, ...], n: int) -> DataFrame:
+    """key and hd95 of the cases with both borders, whose pairs fit a call; some cases share one."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g, cases = _groups_of(g, [key], "__side")
+        at, side, heads, out = g[list(axes)].to_numpy(float), g["__side"].to_numpy(), [], []
+        for i, j in cases:
+            cut = i + int(np.searchsorted(side[i:j], 1))
+            if i < cut < j:
+                d2 = reduce(np.add, ((at[i:cut, c, None] - at[None, cut:j, c]) ** 2 * float(size) ** 2 for c, size in enumerate(spacing)))
+                d = np.sort(np.sqrt(np.r_[d2.min(1), d2.min(0)]))
+                place = (len(d) - 1) * 0.95
+                low, high, part = d[int(np.floor(place))], d[int(np.ceil(place))], place - np.floor(place)
+                heads.append(i), out.append(low if low == high else low * (1 - part) + high * part)
+        return g.iloc[heads][[key]].assign(hd95=np.array(out, float))
+
+    schema = T.StructType([*edges.select(key).schema.fields, T.StructField("hd95", T.DoubleType())])
+    return _in_lots(edges, [key], n, run, schema, 20_000)
+
+
+def hd95(a: DataFrame, b: DataFrame, key: str, axes: tuple[str, ...], spacing: tuple[float, ...] | None = None, cases: DataFrame | None = None, pairs: int = PAIRS) -> DataFrame:
     """95th percentile (linear between values) of the distances between the borders of two masks, both ways; `spacing` has a voxel's size along each axis.
 
-    One row for each `key` of `cases`, or else of either mask: 0 where both masks are empty, null where one is. A null key is a case."""
+    One row for each `key` of `cases`, or else of either mask: 0 where both masks are empty, null where one is. A null key is a case.
+    Cases of at most `pairs` pairs of border voxels are done in a call; larger ones by the distance transform on lines."""
+    spacing = spacing or (1.0,) * len(axes)
     sides = [m.select(key, *axes).withColumn("__side", F.lit(i)) for i, m in enumerate((a, b))]
-    flat = written(sides[0].unionByName(sides[1]).distinct(), "two-masks")
-    edges = written(border(flat, [key, "__side"], axes).select(key, "__side", *axes), "borders")
-    found = nearest_squares(edges, edges.withColumn("__side", 1 - F.col("__side")), [key, "__side"], axes, spacing or (1.0,) * len(axes))
-    q = percentiles(written(found.select(key, F.sqrt("d2").alias("d")), "border-distances"), [key], "d", {"hd95": 0.95})
-    sides = edges.groupBy(F.col(key).alias("__case")).agg(F.countDistinct("__side").alias("__sides"))
-    told = sides.join(q, sides["__case"].eqNullSafe(q[key]), "left").select("__case", "__sides", "hd95")
+    edges = written(border(sides[0].unionByName(sides[1]), [key, "__side"], axes).select(key, "__side", *axes), "borders")
+    count = lambda side: F.count_if(F.col("__side") == side)
+    sizes = edges.groupBy(F.col(key).alias("__case")).agg(F.count("*").alias("__n"), F.countDistinct("__side").alias("__sides"), (count(0) * count(1)).alias("__pairs"))
+    n, most = sizes.agg(F.sum("__n"), F.max("__pairs")).first()
+    same = edges[key].eqNullSafe(F.col("__case"))
+    small = edges if (most or 0) <= pairs else edges.join(sizes.where(F.col("__pairs") <= pairs), same, "left_semi")
+    q = _of_pairs(small, key, axes, spacing, n or 0)
+    if (most or 0) > pairs:
+        large = written(edges.join(sizes.where(F.col("__pairs") > pairs), same, "left_semi"), "large-borders")
+        found = nearest_squares(large, large.withColumn("__side", 1 - F.col("__side")), [key, "__side"], axes, spacing)
+        q = q.unionByName(percentiles(written(found.select(key, F.sqrt("d2").alias("d")), "border-distances"), [key], "d", {"hd95": 0.95}))
+    told = sizes.join(q, sizes["__case"].eqNullSafe(q[key]), "left").select("__case", "__sides", "hd95")
     every = (edges if cases is None else cases).select(key).distinct()
     out = every.join(told, every[key].eqNullSafe(told["__case"]), "left")
     return out.select(key, F.when(F.col("__sides").isNull(), 0.0).otherwise(F.col("hd95")).alias("hd95"))

@@ -65,3 +65,18 @@ def test_a_mask_of_a_million_border_voxels(spark):
     d = np.r_[[x for x in range(2000) for _ in range(500)], np.tile([0, 1], 500)].astype(float)
     assert distances.hd95(a, b, "case", ("y", "x")).first()["hd95"] == pytest.approx(float(np.percentile(d, 95)))
     assert math.isfinite(float(np.percentile(d, 95)))
+
+
+def test_small_cases_write_no_lines_and_lines_say_the_same(spark, monkeypatch):
+    """Cases whose pairs fit a call need no table of line distances; of cases of both kinds each is done by its own way, with the same results."""
+    rng = random.Random(8)
+    masks = [[(c, rng.randrange(20), rng.randrange(20)) for c in [None, 1, 2, 3] for _ in range((c or 1) * 12)] for _ in range(2)]
+    a, b = (spark.createDataFrame(m, "case long, y int, x int") for m in masks)
+    made, write = [], distances.written
+    monkeypatch.setattr(distances, "written", lambda df, name: made.append(name) or write(df, name))
+    told = lambda **how: {r["case"]: round(r["hd95"], 9) for r in distances.hd95(a, b, "case", ("y", "x"), (2.5, 0.5), **how).collect()}
+    small = told()
+    assert made == ["borders"] and small.keys() == {None, 1, 2, 3}
+    assert told(pairs=500) == small and "line-distances" in made
+    for c in small:
+        assert small[c] == pytest.approx(brute(*({p[1:] for p in m if p[0] == c} for m in masks), (2.5, 0.5)), abs=1e-8)
