@@ -143,3 +143,29 @@ def test_large_voxel_tables_are_dealt_once_in_parts_that_grow(spark, monkeypatch
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(case_id" in plan and ", 30)" in plan
         assert sorted(map(repr, df.collect())) == rows
+
+
+def test_many_shuffle_partitions_do_not_keep_voxels_from_being_dealt(spark, monkeypatch):
+    """Parts go by rows alone: with more shuffle partitions than parts, these would be put together again by their bytes."""
+    from maskloom.plans import registry, views
+
+    monkeypatch.setattr(views, "ROWS", 2_000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        for name in ("rle_encode", "rle_area", "rle_decode"):
+            plan = registry.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange ") == 1 and ", 30), REPARTITION_BY_NUM" in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_run_lengths_of_repeated_places_by_hand(spark):
+    """Runs at both ends, single places, whole and repeated ones; places are sorted once, by two windows over one order."""
+    masks = {1: [0, 1, 1, 2, 5, 9, 9], 2: [3], 3: list(range(10)), 4: [9, 8, 8, 0], 5: [1, 3, 5]}
+    v = spark.createDataFrame([(k, p) for k, m in masks.items() for p in m], "k int, q int")
+    coded = M.rle_encode(v, ["k"], M.F.col("q"), 10)
+    plan = coded._jdf.queryExecution().executedPlan().toString()  # before it runs: a plan that has run shows its first form as well
+    assert plan.count("Window [") == 2 and plan.count("Sort [") == 1
+    assert {r.k: r.counts for r in coded.collect()} == {1: [0, 3, 2, 1, 3, 1], 2: [3, 1, 6], 3: [0, 10], 4: [0, 1, 7, 2], 5: [1, 1, 1, 1, 1, 1, 4]}
+    assert sorted(map(tuple, M.rle_decode(coded, ["k"]).collect())) == sorted((k, p) for k, m in masks.items() for p in set(m))
