@@ -179,45 +179,47 @@ def word_events(known: Vocabulary, at: np.ndarray, classes: np.ndarray, index: n
     return place, hashed(one[place], 1) | hashed(two[place], 2) << 16 | own << 32, slot[place]
 
 
-def statistics(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """cell, n: how often each class follows each context (cell = context * CLASSES + class), over all tokens of `texts`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            held = []
-            for b in parts(whole):
-                index, words, per = tokenized(b.column(0))
-                seq, context, _ = sequences(vocabulary.find(words)[1][index], per)
-                held.append(np.unique((context * CLASSES + seq).astype(np.int32), return_counts=True))
-            if held:
-                cells, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([k for _, k in held]))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(n.astype(np.int64))], ["cell", "n"])
-            tidy()
-
-    return texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def word_statistics(texts: DataFrame, vocabulary: Vocabulary, rows: int) -> DataFrame:
-    """event, n: how often each word of a shared class follows the words before, over all tokens of `texts` (event = outcome << 40 | context)."""
+def statistics(texts: DataFrame, vocabulary: Vocabulary, rows: int) -> DataFrame:
+    """event, n over all tokens of `texts`, in one pass: how often each word of a shared class follows the words before (event = outcome << 40 | context), and,
+    below 0, how often each class follows each context (event = -1 - cell, cell = context * CLASSES + class)."""
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+        events, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return events.astype(np.int64), np.bincount(back, np.concatenate([k for _, k in held]), len(events)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            held = []
+            cells, held = [], []
             for b in parts(whole):
                 index, words, per = tokenized(b.column(0))
-                _, context, slot = word_events(shared.value, *shared.value.find(words), index, per, rows)
+                at, classes = shared.value.find(words)
+                seq, context, _ = sequences(classes[index], per)
+                cells.append(np.unique((context * CLASSES + seq).astype(np.int32), return_counts=True))
+                _, context, slot = word_events(shared.value, at, classes, index, per, rows)
                 held.append(np.unique(context | slot << 40, return_counts=True))
             if held:
-                events, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([k for _, k in held]), len(events))
-                yield pa.RecordBatch.from_arrays([pa.array(events), pa.array(n.astype(np.int64))], ["event", "n"])
+                cell, n = summed(cells)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - cell), pa.array(n)], ["event", "n"])
+                event, n = summed(held)
+                yield pa.RecordBatch.from_arrays([pa.array(event), pa.array(n)], ["event", "n"])
             tidy()
 
     return texts.select("text").mapInArrow(run, "event long, n long").groupBy("event").agg(F.sum("n").alias("n"))
 
 
+def summed_rows(rows: np.ndarray, first: np.ndarray, few: int = 8) -> np.ndarray:
+    """Sums of the rows from each of `first` to the next: short stretches together, place by place, long ones each by itself (reduceat goes by single cells)."""
+    n, out = np.diff(np.r_[first, len(rows)]), rows[first]
+    for j in np.flatnonzero(n > few).tolist():
+        np.add.reduce(rows[first[j] : first[j] + n[j]], axis=0, out=out[j])
+    more = np.flatnonzero((n > 1) & (n <= few))
+    for k in range(1, few):
+        more = more[n[more] > k]
+        out[more] += rows[first[more] + k]
+    return out
+
+
 class WordModel:
     """Softmax over the outcomes of a class with hashed rows of weights for the words before."""
 
@@ -225,46 +227,62 @@ class WordModel:
         self.bias, self.rows = bias, rows
         self.w = np.zeros((2 * rows, SLOTS), np.float32)
 
-    def log_p(self, context: np.ndarray) -> np.ndarray:
+    def scores(self, context: np.ndarray) -> np.ndarray:
+        """Logarithms of the outcomes' shares but for the sum, 0 at most."""
         one, two, own = context & 0xFFFF, (context >> 16 & 0xFFFF) + self.rows, context >> 32
-        s = self.bias[own] + self.w[one]
+        s = self.bias[own]
+        s += self.w[one]
         s += self.w[two]
         s -= s.max(1, keepdims=True)
+        return s
+
+    def log_p(self, context: np.ndarray) -> np.ndarray:
+        s = self.scores(context)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
     def chosen(self, context: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """ln P of each outcome in its context; contexts that come again are worked out once."""
-        seen, back = np.unique(context, return_inverse=True)
-        order = np.argsort(back, kind="stable")
-        ends, out = np.searchsorted(back[order], np.arange(0, len(seen) + 4096, 4096)), np.zeros(len(context), np.float32)
-        for k in range(0, len(seen), 4096):
-            own = order[ends[k // 4096] : ends[k // 4096 + 1]]
-            out[own] = self.log_p(seen[k : k + 4096])[back[own] - k, slot[own]]
+        order, out = np.argsort(context), np.zeros(len(context), np.float32)
+        context = context[order]
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][: len(context)])
+        number, seen = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(context)])), context[first]
+        ends = np.r_[first[::4096], len(context)]
+        for k, lo, hi in zip(range(0, len(seen), 4096), ends[:-1], ends[1:]):
+            s, own, lane = self.scores(seen[k : k + 4096]), order[lo:hi], number[lo:hi] - k
+            picked = s[lane, slot[own]]
+            out[own] = picked - np.log(np.exp(s, out=s).sum(1))[lane]
         return out
 
     def steps(self, event: np.ndarray, counts: np.ndarray, passes: int, rate: float = 0.3) -> np.ndarray:
-        """Adaptive gradient steps over (context, outcome) counts; returns the tokens that touched each row. The first counts of a row move it little."""
-        context, back = np.unique(event & 0xFFFFFFFFFF, return_inverse=True)
-        total, by_context = np.bincount(back, counts).astype(np.float32), np.argsort(back, kind="stable")
-        ends = np.r_[0, np.cumsum(np.bincount(back))]
+        """Adaptive gradient steps over distinct (context, outcome) with their counts; returns the tokens that touched each row. The first counts of a row move it little."""
+        by_context = np.argsort((event & 0xFFFFFFFFFF) << 7 | event >> 40)  # one context's together, by outcome
+        event, counts = event[by_context], counts[by_context]
+        context = event & 0xFFFFFFFFFF
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][: len(context)])
+        context, slot, ends = context[first], event >> 40, np.r_[first, len(event)]
+        total = np.diff(np.r_[0, np.cumsum(counts)][ends]).astype(np.float32)
         rows = np.stack([context & 0xFFFF, (context >> 16 & 0xFFFF) + self.rows])
         squares = np.ones(self.w.shape, np.float32)
-        order = np.argsort(context * np.int64(0x9E3779B97F4A7C15 - (1 << 64)), kind="stable")
+        order = np.argsort(context * np.int64(0x9E3779B97F4A7C15 - (1 << 64)))
         for _ in range(passes):
             for lo in range(0, len(order), 4096):
                 part = order[lo : lo + 4096]
-                g = np.exp(self.log_p(context[part]))
-                g *= -total[part, None]
+                g = self.scores(context[part])
+                np.exp(g, out=g)
+                g *= -total[part, None] / g.sum(1, keepdims=True)
                 n = ends[part + 1] - ends[part]
                 lane = np.repeat(np.arange(len(part)), n)
-                own = by_context[np.arange(n.sum()) + np.repeat(ends[part] - np.r_[0, np.cumsum(n)[:-1]], n)]
-                g[lane, event[own] >> 40] += counts[own]
+                own = np.arange(n.sum()) + np.repeat(ends[part] - np.r_[0, np.cumsum(n)[:-1]], n)
+                g[lane, slot[own]] += counts[own]
                 for f in rows[:, part]:
                     by = np.argsort(f, kind="stable")
                     first = np.flatnonzero(np.r_[True, f[by][1:] != f[by][:-1]])
-                    move, at = np.add.reduceat(g[by], first, axis=0), f[by][first]
-                    squares[at] += move * move
-                    self.w[at] += rate * move / np.sqrt(squares[at])
+                    move, at = summed_rows(g[by], first), f[by][first]
+                    square = squares[at] + move * move
+                    squares[at] = square
+                    move *= np.float32(rate)
+                    move /= np.sqrt(square, out=square)
+                    self.w[at] += move
         return np.bincount(rows[0], total, 2 * self.rows) + np.bincount(rows[1], total, 2 * self.rows)
 
 
@@ -366,7 +384,6 @@ def train_words(events: DataFrame, bias: np.ndarray, rows: int, rounds: int = 2,
     table = events.select("event", "n", F.pmod(F.xxhash64(F.col("event").bitwiseAND(F.lit((1 << 40) - 1))), F.lit(shares)).alias("share"))
 
     def steps(own: WordModel, g: pd.DataFrame) -> np.ndarray:
-        g = g.sort_values("event", kind="stable")
         return own.steps(g["event"].to_numpy(np.int64), g["n"].to_numpy(np.int64), passes)
 
     averaged(table, model, steps, rounds)
@@ -391,10 +408,11 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     known = Vocabulary({bytes(r["word"]): r["n"] for r in counts.where((step >= least) | (F.length("word") == 0)).collect()})
     rarer = counts.where((step < least) & (F.length("word") > 0))
     known.outside = outside_totals(rarer)
-    model = train(written(statistics(training, known), "lm-statistics"))
     # A feature row for every 256 training tokens, up to the bound that the tasks' memory sets.
     rows_each = 1 << min(most_rows.bit_length() - 1, max(8, int(n_all).bit_length() - 8))
-    words_model = train_words(written(word_statistics(training, known, rows_each), "lm-events"), known.bias, rows_each)
+    events = written(statistics(training, known, rows_each), "lm-events")
+    model = train(written(events.where("event < 0").select((-1 - F.col("event")).alias("cell"), "n"), "lm-statistics"))
+    words_model = train_words(events.where("event >= 0"), known.bias, rows_each)
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
     arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
     shared = spark.sparkContext.broadcast((known, model, words_model))  # all are bounded by parameters
@@ -404,19 +422,19 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
 
         known, model, words_model = shared.value
         first = TaskContext.get().partitionId() << 33
-        table: dict[int, int] = {}
+        table = np.full((CLASSES + 1) ** 2, -1)  # a context's row in `logs`
         logs = np.zeros((0, CLASSES), np.float32)
         for whole in batches:
             for b in parts(whole):
                 index, words, per = tokenized(b.column(1))
                 at, classes = known.find(words)
                 seq, context, starts = sequences(classes[index], per)
-                seen, back = np.unique(context, return_inverse=True)
-                new = np.array([c for c in seen.tolist() if c not in table], np.int64)
+                seen = np.flatnonzero(np.bincount(context, minlength=len(table)))
+                new = seen[table[seen] < 0]
                 if len(new):
-                    table.update(zip(new.tolist(), range(len(logs), len(logs) + len(new))))
+                    table[new] = np.arange(len(logs), len(logs) + len(new))
                     logs = np.concatenate([logs, model.log_p(model.features(new)) / np.float32(np.log(10))])
-                rows = np.array([table[c] for c in seen.tolist()], np.int64)[back]
+                rows = table[context]
                 here = at >= 0
                 inside, counted = -known.outside[np.maximum(0, classes - SINGLE - SUFFIXES)], np.zeros(len(at))
                 inside[here], counted[here] = known.within[at[here]], known.log_count[at[here]]

@@ -131,6 +131,39 @@ def test_word_softmax_learns_and_gradient_is_right():
     assert (p.argmax(1) == np.arange(6)).all() and np.allclose(p.sum(1), 1, atol=1e-4)
 
 
+def test_counts_of_classes_and_words_come_from_one_pass(spark):
+    """Both counts equal a walk over the tokens; the texts are cut into words once."""
+    lm = language_model
+    texts = ["a b a c", "b a  a", None, "c zz b a"] * 3
+    known = lm.Vocabulary({f"w{i}".encode(): 900 - i for i in range(200)} | {b"": 12, b"a": 3, b"b": 3, b"c": 2})
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    out = lm.statistics(df, known, 256)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    cells, events = {}, {}
+    for t in texts:
+        words = tokens(t)
+        at, classes = known.find(pa.array([w.encode() for w in words], pa.binary()))
+        for i, c in enumerate(classes):
+            one, two = classes[i - 1] if i else lm.BEGIN, classes[i - 2] if i > 1 else lm.BEGIN
+            cell = (two * (lm.CLASSES + 1) + one) * lm.CLASSES + c
+            cells[-1 - cell] = cells.get(-1 - cell, 0) + 1
+        own = [w.encode() for w in words[:-1]]
+        if own:
+            at, classes = known.find(pa.array(own, pa.binary()))
+            _, context, slot = lm.word_events(known, at, classes, np.arange(len(own)), np.array([len(own)]), 256)
+            for e in (context | slot << 40).tolist():
+                events[e] = events.get(e, 0) + 1
+    assert events and {r.event: r.n for r in out.collect()} == cells | events
+
+
+def test_rows_are_summed_by_stretches():
+    rng = np.random.default_rng(2)
+    n = np.r_[1, 2, 8, 9, 300, 1, 7, 1]
+    rows, first = rng.random((n.sum(), 5)), np.cumsum(n) - n
+    assert np.allclose(language_model.summed_rows(rows, first), np.add.reduceat(rows, first, axis=0), rtol=1e-12)
+    assert language_model.summed_rows(rows[:0], first[:0]).shape == (0, 5)
+
+
 def test_the_same_model_from_any_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = language_model.crc_mod("doc_id", 7) == 2
